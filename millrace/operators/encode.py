@@ -199,7 +199,7 @@ class Binning(NumericStep):
             limits = base_facts(full, columns)
             edges = {c: _even(f["min"], f["max"], n) for c, f in limits.items()}
             if strategy == "kmeans":
-                edges = _lloyd(full, edges, self.options["max_rounds"])
+                edges = _lloyd(full, edges, {c: f["std_pop"] or 0.0 for c, f in limits.items()}, self.options["max_rounds"])
         return {c: {"mean": means[c], "edges": edges[c]} for c in columns}
 
     @classmethod
@@ -224,10 +224,11 @@ def _merged(edges):
     return edges[:1] + [b for a, b in zip(edges, edges[1:]) if b - a > MIN_BIN]
 
 
-def _lloyd(df, edges, rounds):
+def _lloyd(df, edges, spread, rounds):
     """One-dimensional k-means from even bins, all columns in one job per round.
 
-    The bins of one round give sums and counts per bin; only those reach the driver.
+    Only the means per bin reach the driver. A column is done when its centres move
+    by less than a ten-thousandth of its variance (sum of squared moves).
     """
     centres = {c: [(a + b) / 2 for a, b in zip(e, e[1:])] for c, e in edges.items() if len(e) > 2}
     df = df.select(*centres).persist() if centres else df
@@ -246,7 +247,8 @@ def _lloyd(df, edges, rounds):
         moved = {c: list(centres[c]) for c in active}
         for r in rows:
             moved[r["column"]][r["at"]] = r["m"]
-        active = {c for c in active if any(abs(a - b) > 1e-9 * (1 + abs(a)) for a, b in zip(moved[c], centres[c]))}
+        active = {c for c in active
+                  if sum((a - b) ** 2 for a, b in zip(moved[c], centres[c])) > 1e-4 * spread[c] ** 2}
         centres.update(moved)
     if centres:
         df.unpersist()

@@ -7,6 +7,7 @@ is decomposed. Projections are plain column arithmetic.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +76,21 @@ def _dot(terms: list[tuple[Column, float]]) -> Column:
     return parts[0]
 
 
+# Products written out as column arithmetic; more would outgrow the generated code.
+MAX_TERMS = 256
+
+
+def _multiply(columns: list[Column], loadings: list[list[float]]) -> Column:
+    """All components of a batch by one matrix product."""
+    weights = np.array(loadings).T
+
+    @F.pandas_udf("array<double>")
+    def product(*values: pd.Series) -> pd.Series:
+        return pd.Series(list(np.column_stack([v.to_numpy(dtype=float) for v in values]) @ weights))
+
+    return product(*columns)
+
+
 class Projection(Step):
     """Replaces the numeric columns by components; the other columns pass through."""
 
@@ -91,10 +107,17 @@ class Projection(Step):
     @staticmethod
     def project(df, params):
         used = params["columns"]
-        centred = [(filled(c, params["mean"][c]) - params["mean"][c]) / params["scale"][c] for c in used]
-        new = [_dot(list(zip(centred, weights))).alias(f"{params['prefix']}{i + 1}")
-               for i, weights in enumerate(params["loadings"])]
-        return df.select(*[col(c) for c in df.columns if c not in used], *new)
+        # Centred once, in a projection of its own, and used by every component.
+        centred = df.withColumns({c: (filled(c, params["mean"][c]) - params["mean"][c]) / params["scale"][c]
+                                  for c in used})
+        keep = [col(c) for c in df.columns if c not in used]
+        names = [f"{params['prefix']}{i + 1}" for i in range(len(params["loadings"]))]
+        if len(used) * len(names) > MAX_TERMS:
+            return centred.select(*keep, _multiply([col(c) for c in used], params["loadings"]).alias("__s")).select(
+                *keep, *[F.get("__s", F.lit(i)).alias(n) for i, n in enumerate(names)])
+        new = [_dot([(col(c), w) for c, w in zip(used, weights)]).alias(n)
+               for n, weights in zip(names, params["loadings"])]
+        return centred.select(*keep, *new)
 
 
 @step("pca")

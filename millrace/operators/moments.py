@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.runtime import agg_rows
-from millrace.schema import dbl
+from millrace.schema import col, doubles
 
 NARROW = 12
 
@@ -45,20 +45,22 @@ def _by_aggregates(df, columns):
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     exprs = []
     for i, j in pairs:
-        x, y = dbl(columns[i]), dbl(columns[j])
-        exprs += [F.covar_samp(x, y), F.corr(x, y)]
-    got = agg_rows(df, exprs)
+        x, y = col(columns[i]), col(columns[j])
+        # Variances over the complete pairs; `corr` itself fails on a constant column.
+        exprs += [F.covar_samp(x, y), F.var_samp(F.when(y.isNotNull(), x)), F.var_samp(F.when(x.isNotNull(), y))]
+    got = agg_rows(doubles(df, columns), exprs)
     cov, corr = np.full((d, d), np.nan), np.full((d, d), np.nan)
     for k, (i, j) in enumerate(pairs):
-        c, r = got[2 * k], got[2 * k + 1]
+        c, vx, vy = got[3 * k:3 * k + 3]
         cov[i, j] = cov[j, i] = np.nan if c is None else c
-        corr[i, j] = corr[j, i] = np.nan if r is None else r
+        if vx and vy:
+            corr[i, j] = corr[j, i] = c / math.sqrt(vx) / math.sqrt(vy)
     return PairMoments(columns, cov, corr)
 
 
 def _by_batches(df, columns):
     d = len(columns)
-    centre = np.array([m if m is not None else 0.0 for m in agg_rows(df, [F.avg(dbl(c)) for c in columns])])
+    centre = np.array([m if m is not None else 0.0 for m in agg_rows(doubles(df, columns), [F.avg(col(c)) for c in columns])])
 
     def partials(batches):
         n, s, ss, p = (np.zeros((d, d)) for _ in range(4))
@@ -77,7 +79,7 @@ def _by_batches(df, columns):
         yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "n": n.ravel(), "s": s.ravel(),
                             "t": s.T.ravel(), "ss": ss.ravel(), "tt": ss.T.ravel(), "p": p.ravel()})
 
-    rows = (df.select(*[dbl(c).alias(f"x{i}") for i, c in enumerate(columns)])
+    rows = (doubles(df, columns).toDF(*[f"x{i}" for i in range(d)])
             .mapInPandas(partials, "i int, j int, n double, s double, t double, ss double, tt double, p double")
             .groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "s", "t", "ss", "tt", "p")]).collect())
     cov, corr = np.full((d, d), np.nan), np.full((d, d), np.nan)

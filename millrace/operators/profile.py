@@ -39,9 +39,9 @@ def base_facts(df: DataFrame, columns: list[str] | None = None) -> dict[str, dic
     columns = S.numeric(df) if columns is None else columns
     exprs: list[Column] = []
     for c in columns:
-        x = dbl(c)
+        x = col(c)
         exprs += [F.count(x), F.avg(x), F.stddev_samp(x), F.stddev_pop(x), F.min(x), F.max(x), F.skewness(x)]
-    got = agg_rows(df, exprs) if exprs else []
+    got = agg_rows(S.doubles(df, columns), exprs) if exprs else []
     out = {}
     for i, c in enumerate(columns):
         n, mean, std, std_pop, low, high, g1 = got[7 * i:7 * i + 7]
@@ -86,7 +86,7 @@ def bounds(facts: dict, factor: float) -> tuple[float, float] | None:
 
 
 def outside(name: str, limits: tuple[float, float] | None) -> Column:
-    """True where a present value lies outside; never null."""
+    """True where a present value lies outside; never null, and false for NaN."""
     if limits is None:
         return F.lit(False)
     x = dbl(name)
@@ -109,7 +109,7 @@ def outlier_counts(df: DataFrame, factor: float = 1.5, skip_constant_spread: boo
     any_flag = F.lit(False)
     for flag in flags.values():
         any_flag = any_flag | flag
-    got = agg_rows(df, [F.count_if(f) for f in flags.values()] + [F.count_if(any_flag)])
+    got = agg_rows(S.doubles(df, list(flags)), [F.count_if(f) for f in flags.values()] + [F.count_if(any_flag)])
     return dict(zip(flags, got)), got[-1]
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.runtime import AGG_CHUNK, agg_rows
-from millrace.schema import dbl
+from millrace.schema import col, doubles
 
 SMALL_CELLS = 8_000_000   # rows x columns for the one-aggregate path
 COLLECT_VALUES = 20_000   # distinct values of one interval that may reach the driver
@@ -33,11 +33,12 @@ def percentiles(df: DataFrame, columns: list[str], probs: list[float],
     """
     if not columns:
         return {}
+    df = doubles(df, columns)
     if counts is None:
-        counts = dict(zip(columns, agg_rows(df, [F.count(dbl(c)) for c in columns])))
+        counts = dict(zip(columns, agg_rows(df, [F.count(col(c)) for c in columns])))
     if sum(counts[c] for c in columns) <= SMALL_CELLS:
         probes = F.array(*[F.lit(float(p)) for p in probs])
-        found = agg_rows(df, [F.percentile(dbl(c), probes) for c in columns])
+        found = agg_rows(df, [F.percentile(col(c), probes) for c in columns])
         return {c: list(v) if v is not None else [None] * len(probs) for c, v in zip(columns, found)}
     wanted = {c: sorted({r for p in probs for r in _ranks(p, counts[c])}) for c in columns if counts[c]}
     values = select_ranks(df, wanted, counts)
@@ -73,7 +74,7 @@ class _Span:
     ranks: list[int] = field(default_factory=list)
 
     def holds(self) -> Column:
-        x = dbl(self.column)
+        x = col(self.column)
         inside = x.isNotNull()
         if self.low is not None:
             inside = inside & (x > self.low)
@@ -107,7 +108,7 @@ def _tagged(df: DataFrame, spans: list[_Span], value) -> DataFrame:
 def _read_small(df, spans, found) -> None:
     for start in range(0, len(spans), 50):
         part = spans[start:start + 50]
-        rows = (_tagged(df, part, lambda i, s: dbl(s.column))
+        rows = (_tagged(df, part, lambda i, s: col(s.column))
                 .groupBy("span", "v").count().orderBy("span", "v").collect())
         seen = {i: s.base for i, s in enumerate(part)}
         waiting = {i: list(s.ranks) for i, s in enumerate(part)}
@@ -129,14 +130,14 @@ def _narrow(df, spans, found) -> list[_Span]:
                 shares.add(min(1.0, max(0.0, at + shift)))
         probes.append(F.array(*[F.lit(x) for x in sorted(shares)]))
     sketches = agg_rows(df, [
-        F.percentile_approx(F.when(s.holds(), dbl(s.column)), p, ACCURACY)
+        F.percentile_approx(F.when(s.holds(), col(s.column)), p, ACCURACY)
         for s, p in zip(spans, probes)
     ])
     splitters = [sorted(set(sk)) for sk in sketches]
     tallies: dict[tuple[int, int], int] = {}
     for start in range(0, len(spans), AGG_CHUNK):
         part = spans[start:start + AGG_CHUNK]
-        rows = (_tagged(df, part, lambda i, s: _slot(dbl(s.column), splitters[start + i], 0))
+        rows = (_tagged(df, part, lambda i, s: _slot(col(s.column), splitters[start + i], 0))
                 .groupBy("span", "v").count().collect())
         tallies.update({(start + r["span"], r["v"]): r["count"] for r in rows})
     narrower = []

@@ -105,8 +105,8 @@ def _filled_spread(df, columns) -> dict[str, dict]:
 
     exprs = [F.count(F.lit(1))]
     for c in columns:
-        exprs += [F.count(dbl(c)), F.avg(dbl(c)), F.stddev_pop(dbl(c))]
-    got = agg_rows(df, exprs)
+        exprs += [F.count(col(c)), F.avg(col(c)), F.stddev_pop(col(c))]
+    got = agg_rows(S.doubles(df, columns), exprs)
     rows = got[0]
     out = {}
     for i, c in enumerate(columns):

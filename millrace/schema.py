@@ -66,6 +66,13 @@ def dbl(name: str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def doubles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Only the given columns, as doubles without NaN; one cast per column however often it is used."""
+    floats = (T.FloatType, T.DoubleType)
+    return df.select(*[(dbl(c) if isinstance(df.schema[c].dataType, floats) else col(c).cast("double")).alias(c)
+                       for c in columns])
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Missing floats become null, so that aggregates skip them."""
     floats = _pick(df, lambda t: isinstance(t, (T.FloatType, T.DoubleType)))

@@ -30,8 +30,8 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of a sum does not show."""
-    return df.select(*[F.round(col(f.name), digits).alias(f.name) if f.dataType.typeName() == "double"
+    """Doubles rounded, so that the order of a sum does not show; -0.0 becomes 0.0."""
+    return df.select(*[(F.round(col(f.name), digits) + 0.0).alias(f.name) if f.dataType.typeName() == "double"
                        else col(f.name) for f in df.schema.fields])
 
 

@@ -170,7 +170,7 @@ m AS (SELECT (SELECT quantile_cont(q, 0.5) FROM d) AS q0,
   (SELECT f FROM d WHERE f IS NOT NULL GROUP BY f ORDER BY count(*) DESC, f LIMIT 1) AS f0),
 i AS (SELECT coalesce(q, q0) AS q, coalesce(f, f0) AS f, s FROM d, m),
 z AS (SELECT avg(q) AS a, stddev_pop(q) AS b FROM i)
-SELECT round((q - a) / b, 6) AS q, s, f = 'A' AS f_A, f = 'N' AS f_N, f = 'R' AS f_R FROM i, z""")
+SELECT round((q - a) / b, 6) + 0.0 AS q, s, f = 'A' AS f_A, f = 'N' AS f_N, f = 'R' AS f_R FROM i, z""")
 def _(t):
     df = t("lineitem").selectExpr("case when l_linenumber % 3 = 0 then null else l_quantity end as q",
                                   "case when l_linenumber % 5 = 0 then null else l_returnflag end as f",
@@ -198,7 +198,7 @@ m AS (SELECT avg(o_totalprice) AS m FROM gaps),
 f AS (SELECT o_orderkey, o_orderstatus, coalesce(o_totalprice, m) AS p FROM gaps, m),
 q AS (SELECT quantile_cont(p, 0.05) AS lo, quantile_cont(p, 0.95) AS hi FROM f),
 z AS (SELECT avg(greatest(least(p, hi), lo)) AS a, stddev_pop(greatest(least(p, hi), lo)) AS b FROM f, q)
-SELECT o_orderkey, round((greatest(least(o_totalprice, hi), lo) - a) / b, 6) AS o_totalprice,
+SELECT o_orderkey, round((greatest(least(o_totalprice, hi), lo) - a) / b, 6) + 0.0 AS o_totalprice,
   (dense_rank() OVER (ORDER BY o_orderstatus) - 1)::DOUBLE AS o_orderstatus FROM orders, q, z""")
 def _(t):
     """Fitted on the table with gaps, saved, loaded, and replayed on the table without."""

@@ -19,13 +19,13 @@ FILLED = f"""WITH {ORDERS_WITH_GAPS}, p AS (SELECT o_orderkey, coalesce(o_totalp
 
 
 @query("standardised", FILLED + """, s AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM p)
-SELECT o_orderkey, round((x - mx) / sx, 6) AS o_totalprice, round((y - my) / sy, 6) AS o_custkey FROM p, s""")
+SELECT o_orderkey, round((x - mx) / sx, 6) + 0.0 AS o_totalprice, round((y - my) / sy, 6) + 0.0 AS o_custkey FROM p, s""")
 def _(t):
     return rounded(Standardize(**KEY).fit_transform(prices(t)))
 
 
 @query("min_max_scaled", FILLED + """, s AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p)
-SELECT o_orderkey, round((x - lx) / (hx - lx) * 2 - 1, 6) AS o_totalprice, round((y - ly) / (hy - ly) * 2 - 1, 6) AS o_custkey
+SELECT o_orderkey, round((x - lx) / (hx - lx) * 2 - 1, 6) + 0.0 AS o_totalprice, round((y - ly) / (hy - ly) * 2 - 1, 6) + 0.0 AS o_custkey
 FROM p, s""")
 def _(t):
     return rounded(MinMax(low=-1.0, high=1.0, **KEY).fit_transform(prices(t)))
@@ -37,7 +37,7 @@ def quartile(c, p):
 
 @query("robust_scaled", FILLED + f""", s AS (SELECT {quartile('x', .5)} AS mx, {quartile('x', .75)} - {quartile('x', .25)} AS sx,
   {quartile('y', .5)} AS my, {quartile('y', .75)} - {quartile('y', .25)} AS sy FROM p)
-SELECT o_orderkey, round((x - mx) / sx, 6) AS o_totalprice, round((y - my) / sy, 6) AS o_custkey FROM p, s""")
+SELECT o_orderkey, round((x - mx) / sx, 6) + 0.0 AS o_totalprice, round((y - my) / sy, 6) + 0.0 AS o_custkey FROM p, s""")
 def _(t):
     return rounded(RobustScale(**KEY).fit_transform(prices(t)))
 

@@ -69,7 +69,7 @@ def _(t):
 
 
 @query("correlation_matrix", union_sql([
-    f"SELECT '{a}' AS row_col, '{b}' AS col_col, round(corr({a}::DOUBLE, {b}::DOUBLE), 6) AS value FROM lineitem"
+    f"SELECT '{a}' AS row_col, '{b}' AS col_col, round(corr({a}::DOUBLE, {b}::DOUBLE), 6) + 0.0 AS value FROM lineitem"
     for a in LINEITEM_NUMERIC for b in LINEITEM_NUMERIC]))
 def _(t):
     return rounded(P.correlation_matrix(t("lineitem")))
@@ -96,7 +96,7 @@ def _(t):
 
 
 @query("skewed_columns", "SELECT * FROM (" + union_sql([
-    f"SELECT '{c}' AS \"column\", round(skewness({c}), 6) AS skew FROM events"
+    f"SELECT '{c}' AS \"column\", round(skewness({c}), 6) + 0.0 AS skew FROM events"
     for c in ("event_id", "user_id", "value")]) + ") WHERE abs(skew) >= 1.0")
 def _(t):
     return rounded(P.skewed_columns(t("events")))
@@ -242,7 +242,7 @@ class HealthSql:
         positive = " + ".join(f"(abs(coalesce(skew_{c}, 0)) >= 1.0 AND min_{c} > 0)::INT" for c in numeric)
         high = " + ".join(f"(dist_{c} > 20)::INT" for c in categorical)
         inconsistent = " + ".join(f"(num_{c} >= 0.85)::INT" for c in strings)
-        pairs = " + ".join(f"(abs(coalesce(corr_{a}_{b}, 0)) >= 0.9)::INT" for a, b in self.pairs)
+        pairs = " + ".join(["0"] + [f"(abs(coalesce(corr_{a}_{b}, 0)) >= 0.9)::INT" for a, b in self.pairs])
         stds = ", ".join(f"nullif(std_{c}, 0)" for c in numeric)
         self.ctes = f"""WITH {ctes + ', ' if ctes else ''}fence AS (SELECT {', '.join(facts)} FROM {source}),
         outl AS (SELECT {outl}, count_if({any_flag}) AS outlier_rows FROM {source}, fence),
@@ -267,7 +267,7 @@ class HealthSql:
             if c in self.categorical:
                 parts.append((c, "distinct", f"dist_{c}"))
         return self.ctes + "\n" + union_sql([
-            f"SELECT '{c}' AS \"column\", '{m}' AS metric, round(({e})::DOUBLE, 6) AS value FROM h" for c, m, e in parts])
+            f"SELECT '{c}' AS \"column\", '{m}' AS metric, round(({e})::DOUBLE, 6) + 0.0 AS value FROM h" for c, m, e in parts])
 
     def score(self):
         return self.ctes + """, p AS (SELECT least(25.0, 100.0 * missing / (n * n_cols)) AS a,
@@ -370,7 +370,7 @@ def _(t):
 
 
 # A table with copies, skew, outliers and numbers kept as text.
-@query("health_report_events", EVENTS_HEALTH.report().replace("corr_", "corr_"))
+@query("health_report_events", EVENTS_HEALTH.report())
 def _(t):
     return rounded(H.health_table(event_values(t)))
 

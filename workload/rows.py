@@ -67,10 +67,11 @@ def _(t):
 
 
 @query("incomplete_rows", f"""WITH {CUSTOMERS_WITH_GAPS}, e AS (SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN ''
-  ELSE c_name END AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM gaps)
+  ELSE c_name END AS c_name, c_nationkey::DOUBLE AS c_nationkey, c_acctbal, c_mktsegment FROM gaps)
 SELECT * FROM e WHERE c_nationkey IS NULL OR c_acctbal IS NULL OR c_name = ''""")
 def _(t):
     df = customers_with_gaps(t).withColumn("c_name", F.expr("case when c_custkey % 13 = 0 then '' else c_name end"))
+    df = df.withColumn("c_nationkey", F.col("c_nationkey").cast("double"))
     return R.incomplete_rows(df)
 
 

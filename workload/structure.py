@@ -10,7 +10,7 @@ from workload.base import LINEITEM_NUMERIC, embedding_columns, query, rounded, u
 
 
 @query("covariance_matrix", union_sql([
-    f"SELECT '{a}' AS row_col, '{b}' AS col_col, round(covar_samp({a}::DOUBLE, {b}::DOUBLE), 3) AS value FROM lineitem"
+    f"SELECT '{a}' AS row_col, '{b}' AS col_col, round(covar_samp({a}::DOUBLE, {b}::DOUBLE), 3) + 0.0 AS value FROM lineitem"
     for a in LINEITEM_NUMERIC for b in LINEITEM_NUMERIC]))
 def _(t):
     return rounded(L.covariance_matrix(t("lineitem")), 3)
@@ -19,7 +19,7 @@ def _(t):
 WIDE = 64
 # All pairs of two entries; the many-column path adds up Arrow batches.
 COV_LONG = """WITH c AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
-SELECT 'e' || a.i AS row_col, 'e' || b.i AS col_col, round(covar_samp(a.x, b.x), 6) AS value
+SELECT 'e' || a.i AS row_col, 'e' || b.i AS col_col, round(covar_samp(a.x, b.x), 6) + 0.0 AS value
 FROM c a JOIN c b USING (vec_id) GROUP BY a.i, b.i"""
 
 
@@ -55,8 +55,8 @@ def _(t):
 
 
 @query("pca_scores", f"""WITH {TWO}
-SELECT c.o_orderkey, round(s1 * ((x - mx) * cos(th) + (y - my) * sin(th)), 2) AS "PC1",
-  round(s2 * ((x - mx) * -sin(th) + (y - my) * cos(th)), 2) AS "PC2" FROM c, v""")
+SELECT c.o_orderkey, round(s1 * ((x - mx) * cos(th) + (y - my) * sin(th)), 2) + 0.0 AS "PC1",
+  round(s2 * ((x - mx) * -sin(th) + (y - my) * cos(th)), 2) + 0.0 AS "PC2" FROM c, v""")
 def _(t):
     df = t("orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return rounded(L.Pca(exclude=["o_orderkey"]).fit_transform(df), 2)
