@@ -11,17 +11,7 @@ from pyspark.sql import functions as F
 def literal_lookup(c: Column, table: dict[str, Any]) -> Column:
     """Value of a string in a table, null where it is not in it.
 
-    A balanced choice, so that a lookup costs the logarithm of the table's size.
+    Costs a walk over the table, so it is for the few words that passed a filter.
     """
-    keys = sorted(table, key=lambda k: k.encode())
-
-    def branch(low: int, high: int) -> Column:
-        if low >= high:
-            return F.lit(None)
-        mid = (low + high) // 2
-        here = F.when(c == F.lit(keys[mid]), F.lit(table[keys[mid]]))
-        if low < mid:
-            here = here.when(c < F.lit(keys[mid]), branch(low, mid))
-        return here.otherwise(branch(mid + 1, high)) if mid + 1 < high else here
-
-    return branch(0, len(keys))
+    pairs = [F.lit(x) for k in sorted(table) for x in (k, table[k])]
+    return F.element_at(F.create_map(*pairs), c)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from millrace.runtime import agg_rows
 from millrace.schema import col, doubles
 
-NARROW = 12
+NARROW = 4
 
 
 @dataclass

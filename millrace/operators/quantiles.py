@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from millrace.runtime import AGG_CHUNK, agg_rows
 from millrace.schema import col, doubles
 
-SMALL_CELLS = 8_000_000   # rows x columns for the one-aggregate path
+SMALL_CELLS = 1_000_000   # rows x columns for the one-aggregate path
 COLLECT_VALUES = 20_000   # distinct values of one interval that may reach the driver
 ACCURACY = 10_000         # sketch accuracy: rank error at most rows / ACCURACY
 

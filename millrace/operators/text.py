@@ -107,12 +107,16 @@ class TfIdf(Vectorizer):
     def apply(df, params):
         idf = params["idf"]
         counted = count_terms(df, TfIdf.tokens(params), list(idf), "__tf")
+        if not idf:
+            return counted.withColumn(params["output"], F.array().cast("array<struct<term:string,value:double>>")).drop("__tf")
         weighted = F.transform(F.col("__tf"), lambda e: F.struct(
-            e["term"].alias("term"), (e["n"] * literal_lookup(e["term"], idf).cast("double")).alias("value")))
+            e["term"].alias("term"), (e["n"] * literal_lookup(e["term"], idf)).alias("value")))
         length = F.sqrt(F.aggregate(F.col("__w"), F.lit(0.0), lambda s, e: s + e["value"] * e["value"]))
         return (counted.withColumn("__w", weighted).withColumn("__len", length)
-                .withColumn(params["output"], F.transform("__w", lambda e: F.struct(
-                    e["term"].alias("term"), (e["value"] / F.col("__len")).alias("value"))))
+                # The length is an argument, not part of the function, so it is not made anew per term.
+                .withColumn(params["output"], F.zip_with(
+                    "__w", F.array_repeat("__len", F.size("__w")), lambda e, size: F.struct(
+                        e["term"].alias("term"), (e["value"] / size).alias("value"))))
                 .drop("__tf", "__w", "__len"))
 
     def describe(self, params):
@@ -235,7 +239,8 @@ class NormalizeText(Step):
         if params["remove_special"]:
             out = F.regexp_replace(out, f"[^a-zA-Z0-9{SPACE}]", "")
         if params["lemmas"]:
-            words = F.transform(space_tokens(out), lambda w: F.coalesce(literal_lookup(w, params["lemmas"]), w))
+            words = F.transform(space_tokens(out), lambda w: F.when(
+                w.isin(*params["lemmas"]), literal_lookup(w, params["lemmas"])).otherwise(w))
             out = F.array_join(words, " ")
         return df.withColumn(name, F.coalesce(out, F.lit("")))
 
