@@ -29,7 +29,7 @@ def top_terms(df: DataFrame, tokens: Column, k: int) -> list[tuple[str, int]]:
     """The k most frequent tokens of all rows with their counts; ties by token."""
     if k > MAX_TERMS:
         raise ValueError(f"max_features may be at most {MAX_TERMS}")
-    counts = df.select(F.explode(tokens).alias("term")).groupBy("term").count()
+    counts = df.select(F.explode_outer(tokens).alias("term")).filter("term is not null").groupBy("term").count()
     return [tuple(r) for r in counts.orderBy(F.desc("count"), F.asc("term")).limit(k).collect()]
 
 
@@ -70,8 +70,13 @@ class Vectorizer(Step):
 
     @staticmethod
     def long_form(df: DataFrame, key: list[str], out: str) -> DataFrame:
-        """Rows (key, term, value)."""
-        return df.select(*[col(k) for k in key], F.explode(out).alias("e")).select(*[col(k) for k in key], "e.*")
+        """Rows (key, term, value).
+
+        The outer form with a filter behind it: the plain one has Spark infer a
+        filter on the array, push it down and so make the array several times.
+        """
+        rows = df.select(*[col(k) for k in key], F.explode_outer(out).alias("e")).filter("e is not null")
+        return rows.select(*[col(k) for k in key], "e.*")
 
     @staticmethod
     def wide_form(df: DataFrame, terms: list[str], out: str) -> DataFrame:
@@ -97,7 +102,7 @@ class TfIdf(Vectorizer):
         found = F.array_distinct(F.filter(self.tokens(p), lambda t: t.isin(*vocabulary)))
         rows = df.count()
         holding = {r["t"]: r["count"] for r in
-                   df.select(F.explode(found).alias("t")).groupBy("t").count().collect()} if vocabulary else {}
+                   df.select(F.explode_outer(found).alias("t")).filter("t is not null").groupBy("t").count().collect()} if vocabulary else {}
         import math
 
         p["idf"] = {t: math.log((1 + rows) / (1 + holding[t])) + 1 for t in vocabulary}
