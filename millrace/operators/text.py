@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace import schema as S
@@ -68,16 +68,6 @@ class Vectorizer(Step):
         top = top_terms(df, self.tokens(p), p["max_features"])
         return sorted(t for t, _ in top)
 
-    @staticmethod
-    def long_form(df: DataFrame, key: list[str], out: str) -> DataFrame:
-        """Rows (key, term, value).
-
-        The outer form with a filter behind it: the plain one has Spark infer a
-        filter on the array, push it down and so make the array several times.
-        """
-        rows = df.select(*[col(k) for k in key], F.explode_outer(out).alias("e")).filter("e is not null")
-        return rows.select(*[col(k) for k in key], "e.*")
-
     @staticmethod
     def wide_form(df: DataFrame, terms: list[str], out: str) -> DataFrame:
         """One column per term, missing terms 0."""
@@ -154,6 +144,28 @@ class NGramCounts(Vectorizer):
         return {"n_features": len(params["vocabulary"]), "top_ngrams": params["vocabulary"][:20]}
 
 
+def term_counts(df: DataFrame, key: list[str], tokens: Column, table: DataFrame) -> DataFrame:
+    """Rows (key, term, n, ...) of the terms in a table of at most MAX_TERMS rows, whose columns are added."""
+    words = df.select(*[col(k) for k in key], F.explode(tokens).alias("term"))
+    return (words.join(F.broadcast(table), "term").groupBy(*[col(k) for k in key], *table.columns)
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def tfidf_long(df: DataFrame, key: list[str], fitted: Fitted) -> DataFrame:
+    """TF-IDF as rows (key, term, value)."""
+    idf = df.sparkSession.createDataFrame(list(fitted.params["idf"].items()), "term string, idf double")
+    weighted = term_counts(df, key, TfIdf.tokens(fitted.params), idf).withColumn("w", F.col("n") * F.col("idf"))
+    # One row's terms, so at most the vocabulary's size.
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*[col(k) for k in key])))
+    return weighted.select(*[col(k) for k in key], "term", (F.col("w") / length).alias("value"))
+
+
+def ngrams_long(df: DataFrame, key: list[str], fitted: Fitted) -> DataFrame:
+    """N-gram counts as rows (key, term, n)."""
+    terms = df.sparkSession.createDataFrame([(t,) for t in fitted.params["vocabulary"]], "term string")
+    return term_counts(df, key, NGramCounts.tokens(fitted.params), terms).select(*[col(k) for k in key], "term", "n")
+
+
 # ---------------------------------------------------------------- sentiment
 
 @step("sentiment")
