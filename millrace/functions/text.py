@@ -27,15 +27,15 @@ def space_tokens(c: Column) -> Column:
 
 def ngrams(tokens: Column, low: int, high: int) -> Column:
     """Runs of low..high tokens, joined by single spaces."""
-    runs = []
-    for n in range(low, high + 1):
-        if n == 1:
-            runs.append(tokens)
-            continue
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-        runs.append(F.coalesce(
-            F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")),
-            F.array().cast("array<string>")))
+    # Each length grows from the one before by pairing whole arrays: a function over
+    # positions would make the tokens anew for every position.
+    grown, runs = tokens, []
+    for n in range(1, high + 1):
+        if n > 1:
+            later = F.slice(tokens, n, F.greatest(F.size(tokens), F.lit(1)))
+            grown = F.filter(F.zip_with(grown, later, lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
+        if n >= low:
+            runs.append(grown)
     return runs[0] if len(runs) == 1 else F.concat(*runs)
 
 
