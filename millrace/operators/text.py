@@ -214,7 +214,7 @@ class Sentiment(Step):
 
         compound = F.col("sentiment_compound")
         out = scored.withColumns({
-            "sentiment_compound": F.round(s / F.sqrt(s * s + Sentiment.ALPHA), 4),
+            "sentiment_compound": F.round(s / F.sqrt(s * s + Sentiment.ALPHA), 4) + 0.0,
             "sentiment_pos": share(pos), "sentiment_neu": share(neu), "sentiment_neg": share(neg),
         }).withColumn("sentiment_label", F.when(compound >= Sentiment.POSITIVE, "positive")
                       .when(compound <= Sentiment.NEGATIVE, "negative").otherwise("neutral"))
