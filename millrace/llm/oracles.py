@@ -21,7 +21,7 @@ WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coal
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs),
 parts AS (SELECT doc_id, i, line, translate(line, '{UPPER}', '{LOWER}') AS low, regexp_extract_all(line, {WORDS}) AS w FROM lines),
 marked AS (SELECT doc_id, i, line, low, len(w) AS n, length(array_to_string(w, '')) AS chars, ({_LOUD}) AS marks,
-  len(list_filter(w, x -> x IN ({_quoted(rules.SEPARATOR_WORDS)}))) AS seps,
+  len(list_filter(w, lambda x: x IN ({_quoted(rules.SEPARATOR_WORDS)}))) AS seps,
   row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth FROM parts WHERE len(w) > 0),
 judged AS (SELECT *, (marks >= {rules.MARKS} AND 2 * marks > n) OR (seps >= {rules.SEPARATORS} AND 4 * seps >= n)
   OR (n <= {rules.BOILERPLATE_WORDS} AND ({_PHRASES})) AS failed FROM marked),
