@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millrace.llm import license_scan
 from millrace.llm import quality_rules as rules
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -39,3 +40,33 @@ ruled AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND 100 * lost_chars <= {rules.MAX_LOST} * word_chars AS kept, n_failed_lines, lost_chars FROM ruled
 """
+
+_TEMPLATES = ", ".join("('%s', [%s], %d)" % (label, ", ".join(f"'{w}'" for w in words), license_scan.need(len(words)))
+                       for _, label, words in license_scan._templates())
+_PHRASE_TESTS = " ".join(
+    "WHEN " + " AND ".join(f"{c} = '{w}'" for c, w in zip("abc", phrase)) + f" THEN '{label}'"
+    for phrase, label in license_scan.PHRASES)
+
+LICENSE_SCAN = rf"""
+WITH docs AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
+tokens AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) - 1 AS i
+  FROM (SELECT doc_id, regexp_extract_all(low, '{license_scan.WORD}') AS w FROM docs)),
+triples AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM tokens WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+hits AS (SELECT doc_id, i, CASE {_PHRASE_TESTS} END AS label FROM triples),
+base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi FROM hits WHERE label IS NOT NULL GROUP BY doc_id),
+templates AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(label, words, need)),
+blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(block, '{license_scan.WORD}')) AS words
+  FROM (SELECT doc_id, unnest(string_split_regex(low, '{license_scan.BLOCK_END}')) AS block FROM docs)),
+found AS (SELECT doc_id, label, len(list_intersect(b.words, t.words)) / len(t.words) AS share FROM blocks b, templates t
+  WHERE len(b.words) >= need AND len(b.words) <= {license_scan.MAX_BLOCK} * len(t.words)
+    AND len(list_intersect(b.words, t.words)) >= need),
+best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id),
+base_names AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS names
+  FROM (SELECT DISTINCT doc_id, label FROM hits WHERE label IS NOT NULL) GROUP BY doc_id),
+names AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS names
+  FROM (SELECT doc_id, label FROM hits WHERE label IS NOT NULL UNION SELECT doc_id, label FROM found) GROUP BY doc_id)
+SELECT doc_id, len(regexp_extract_all(low, '{license_scan.WORD}'))::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base,
+  lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(base_names.names, '') AS base_labels,
+  coalesce(names.names, '') AS labels, CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(best.share, 0.0) END::DOUBLE AS score
+FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN base_names USING (doc_id) LEFT JOIN names USING (doc_id)
+"""
