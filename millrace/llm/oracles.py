@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import license_scan
+from millrace.llm import license_scan, line_dedup
 from millrace.llm import quality_rules as rules
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -70,3 +70,17 @@ SELECT doc_id, len(regexp_extract_all(low, '{license_scan.WORD}'))::BIGINT AS n_
   coalesce(names.names, '') AS labels, CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(best.share, 0.0) END::DOUBLE AS score
 FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN base_names USING (doc_id) LEFT JOIN names USING (doc_id)
 """
+
+LINE_DEDUP = rf"""
+WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
+worded AS (SELECT * FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+classes AS (SELECT line, length(line) AS n, min((doc_id, no)) AS first FROM worded GROUP BY line),
+near AS (SELECT a.line, min(b.first) AS first FROM classes a JOIN classes b ON b.n BETWEEN a.n - 1 AND a.n + 1
+    AND least(a.n, b.n) >= {line_dedup.NEAR_FROM} AND b.first < a.first AND a.line != b.line
+    AND (left(a.line, a.n // 2 - 1) = left(b.line, a.n // 2 - 1) OR right(a.line, a.n // 2 - 1) = right(b.line, a.n // 2 - 1))
+  WHERE levenshtein(a.line, b.line) <= 1 GROUP BY a.line),
+matched AS (SELECT w.doc_id, w.no, coalesce(near.first, c.first) AS match, (near.first IS NOT NULL)::INTEGER AS n_edits
+  FROM worded w JOIN classes c USING (line) LEFT JOIN near USING (line))
+SELECT doc_id, no::INTEGER AS line_no, match[1] AS match_doc_id, match[2]::INTEGER AS match_line_no, n_edits
+FROM matched WHERE match < (doc_id, no)
+"""

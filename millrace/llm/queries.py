@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import byte_bpe, license_scan, packing, quality_rules, simhash, token_counts
+from millrace.llm import byte_bpe, license_scan, line_dedup, packing, quality_rules, simhash, token_counts
 from millrace.llm import oracles as sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, capacity=4096, end_id=1)
 
 
+@query("op6_line_dedup", sql.LINE_DEDUP)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+
+
 @query("op7_license_scan", sql.LICENSE_SCAN)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
