@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import license_scan, line_dedup
+from millrace.llm import license_scan, line_dedup, url_filter
 from millrace.llm import quality_rules as rules
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -84,3 +84,20 @@ matched AS (SELECT w.doc_id, w.no, coalesce(near.first, c.first) AS match, (near
 SELECT doc_id, no::INTEGER AS line_no, match[1] AS match_doc_id, match[2]::INTEGER AS match_line_no, n_edits
 FROM matched WHERE match < (doc_id, no)
 """
+
+URL_FILTER = rf"""
+WITH parsed AS (SELECT page_id, regexp_replace(lower(regexp_extract(coalesce(url, ''), '{url_filter.HOST}', 1)), '\.+$', '') AS host,
+    list_filter(string_split(regexp_extract(coalesce(url, ''), '{url_filter.PATH}', 1), '/'), lambda s: s != '') AS path,
+    DATE '2024-01-01' + (page_id * 53 % 366)::INTEGER AS fetched FROM pages),
+entries AS (SELECT lower(CASE WHEN page_id % 20 IN (1, 7) THEN host WHEN page_id % 20 IN (3, 13) THEN regexp_replace(host, '^[^.]*\.', '')
+      ELSE concat_ws('/', host, path[1]) END) AS rule, page_id % 20 IN (1, 3, 11) AS added,
+    DATE '2024-01-01' + (page_id * 37 % 360)::INTEGER AS day FROM parsed WHERE page_id % 20 IN (1, 3, 7, 11, 13, 17)),
+history AS (SELECT rule, day, bool_or(added) AS added FROM entries WHERE rule != '' GROUP BY rule, day),
+spans AS (SELECT rule, day AS since, added, lead(day) OVER (PARTITION BY rule ORDER BY day) AS until FROM history),
+hits AS (SELECT p.page_id, s.rule, s.since, row_number() OVER (PARTITION BY p.page_id ORDER BY length(s.rule) DESC, s.rule) AS nth
+  FROM parsed p JOIN spans s ON s.added AND s.since <= p.fetched AND (s.until IS NULL OR p.fetched < s.until)
+    AND (p.host = s.rule OR ends_with(p.host, '.' || s.rule)
+      OR (contains(s.rule, '/') AND starts_with(p.host || '/' || array_to_string(p.path, '/') || '/', s.rule || '/'))))
+SELECT p.page_id, p.host, p.fetched, h.rule IS NOT NULL AS blocked, h.rule, h.since
+FROM parsed p LEFT JOIN hits h ON h.page_id = p.page_id AND h.nth = 1
+"""

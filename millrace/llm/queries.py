@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, license_scan, line_dedup, packing, quality_rules, simhash, token_counts
+from millrace.llm import (byte_bpe, hilbert, knn_quality, license_scan, line_dedup, packing, quality_rules, simhash, token_counts,
+                          url_filter)
 from millrace.llm import oracles as sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +38,38 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
 
+@query("op2_hilbert_search")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def fetched(pages: DataFrame) -> DataFrame:
+    """`pages` has no fetch time, so one is made from the id, over a year and a day."""
+    return pages.select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(page_id * 53 % 366 as int))").alias("fetched"))
+
+
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A list log made from the pages: three of ten hosts, parent domains and path beginnings come and go."""
+    host, path = url_filter.host_of(F.col("url")), url_filter.segments_of(F.col("url"))
+    kind = F.col("page_id") % 20
+    rule = (F.when(kind.isin(1, 7), host).when(kind.isin(3, 13), F.regexp_replace(host, r"^[^.]*\.", ""))
+            .when(kind.isin(11, 17), F.concat_ws("/", host, F.get(path, F.lit(0)))))
+    return pages.filter(kind.isin(1, 3, 7, 11, 13, 17)).select(
+        rule.alias("rule"), F.when(kind.isin(1, 3, 11), "add").otherwise("remove").alias("action"),
+        F.expr("date_add(date'2024-01-01', cast(page_id * 37 % 360 as int))").alias("at"))
+
+
+@query("op3_url_filter", sql.URL_FILTER)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(fetched(pages), dated_list(pages))
+
+
+@query("op4_knn_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op5_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, capacity=4096, end_id=1)
