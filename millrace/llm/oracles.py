@@ -98,6 +98,6 @@ hits AS (SELECT p.page_id, s.rule, s.since, row_number() OVER (PARTITION BY p.pa
   FROM parsed p JOIN spans s ON s.added AND s.since <= p.fetched AND (s.until IS NULL OR p.fetched < s.until)
     AND (p.host = s.rule OR ends_with(p.host, '.' || s.rule)
       OR (contains(s.rule, '/') AND starts_with(p.host || '/' || array_to_string(p.path, '/') || '/', s.rule || '/'))))
-SELECT p.page_id, p.host, p.fetched, h.rule IS NOT NULL AS blocked, h.rule, h.since
+SELECT p.page_id, p.host, p.fetched::VARCHAR AS fetched, h.rule IS NOT NULL AS blocked, h.rule, h.since::VARCHAR AS since
 FROM parsed p LEFT JOIN hits h ON h.page_id = p.page_id AND h.nth = 1
 """

@@ -62,7 +62,8 @@ def dated_list(pages: DataFrame) -> DataFrame:
 @query("op3_url_filter", sql.URL_FILTER)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter.judge(fetched(pages), dated_list(pages))
+    judged = url_filter.judge(fetched(pages), dated_list(pages))
+    return judged.withColumns({c: F.col(c).cast("string") for c in ("fetched", "since")})
 
 
 @query("op4_knn_quality")
@@ -98,3 +99,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
