@@ -151,11 +151,13 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
             .agg(F.collect_set("line_no").alias("__gone")))
     joined = docs.join(gone, col(id_col).eqNullSafe(F.col("__id")), "left")
     parts = F.split(col(text_col), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    # `__parts` is used twice, so Spark keeps it as a column and does not split anew for every line.
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), col(text_col)).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(F.col("__parts"), i)), "\n"))
-    cleaned = joined.withColumn("__parts", parts).withColumn("__text", text)
-    cleaned = cleaned.filter(F.col("__gone").isNull() | F.col("__text").rlike(r"\S"))
+    worded = F.size(F.filter(parts, lambda line: line.rlike(r"\S")))
+    left = joined.filter(F.col("__gone").isNull() | (F.size("__gone") < worded))
+    cleaned = left.withColumn("__parts", parts).withColumn("__text", text)
     return cleaned.select(*[F.col("__text").alias(c) if c == text_col else
                             F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == length_col else col(c)
                             for c in docs.columns])
