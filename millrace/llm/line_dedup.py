@@ -48,15 +48,14 @@ def _place(id_: str = "id", no: str = "no") -> Column:
 
 
 def _keys() -> list[Column]:
-    """For the shorter length l = n, then n - 1: the hash of all but one segment; its low bits say which."""
+    """For l = n, then l = n - 1 as the shorter length, and each segment: the hash of all but that segment."""
     n, out = F.length("line"), []
     for shorter in (0, 1):
         size = n - shorter
         for j in range(PARTS):
             begin, end = F.floor(size * j / PARTS).cast("int"), F.floor(size * (j + 1) / PARTS).cast("int")
-            rest = F.xxhash64(size, F.substr("line", F.lit(1), begin), F.right("line", size - end))
-            key = rest.bitwiseAND(F.lit(-2 * PARTS)).bitwiseOR(F.lit(shorter * PARTS + j))
-            out.append(F.when(size >= NEAR_FROM, key))
+            rest = F.xxhash64(size, F.lit(j), F.substr("line", F.lit(1), begin), F.right("line", size - end))
+            out.append(F.when(size >= NEAR_FROM, rest))
     return out
 
 
@@ -86,10 +85,10 @@ def deletions(line: str, slots: int) -> tuple[np.ndarray, np.ndarray]:
 
 def near_matches(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """h1, h2, near: for each class of lines the earliest place of a line one edit away, if that is earlier."""
-    keys = classes.select("h1", F.explode(F.array(*[F.col(f"k{i}") for i in range(2 * PARTS)])).alias("key")).filter("key is not null")
+    keys = (classes.select("h1", F.posexplode(F.array(*[F.col(f"k{i}") for i in range(2 * PARTS)])).alias("slot", "key"))
+            .filter("key is not null"))
     shared = keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("key")
-    mask = F.bit_or(F.expr(f"shiftleft(1, cast(key & {2 * PARTS - 1} as int))"))
-    chosen = (keys.join(shared, "key", "left_semi").groupBy("h1").agg(mask.alias("slots"))
+    chosen = (keys.join(shared, "key", "left_semi").groupBy("h1").agg(F.bit_or(F.expr("shiftleft(1, slot)")).alias("slots"))
               .join(classes.select("h1", "h2", "first"), "h1"))
     chosen = settle(chosen, "chosen")
     few = chosen.count() * 64 <= BROADCAST_BYTES
