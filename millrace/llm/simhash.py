@@ -2,8 +2,8 @@
 
 The 64-bit fingerprints link at `RADIUS` = 3 or fewer differing bits. Two such fingerprints have a point between
 them that is at most 1 bit from the one and at most 2 from the other. The points of a whole ball of 2 are 2,081
-for each fingerprint, so they are listed in two steps. First one of four 16-bit blocks is left out (some block
-holds a differing bit) and each fingerprint emits what is left and all its variants at 1 bit, 4 * 49 in all.
+for each fingerprint, so they are listed in two steps. First one of three blocks of bits is left out (some block
+holds a differing bit) and each fingerprint emits what is left and all its variants at 1 bit, 131 in all.
 Fingerprints that are alone on all their variants have no link. The others emit the full points that go with a
 shared variant. On a point, everything within 2 bits links with anything within 1 bit, so all members get a link to
 the least such one: links grow with the members, never with their pairs, and no link is lost. Equal fingerprints
@@ -29,7 +29,7 @@ from millrace.runtime import settle
 from millrace.schema import col
 
 RADIUS = 3
-BLOCK = 16
+BLOCKS = [(0, 22), (22, 43), (43, 64)]  # bit ranges, of which one is left out at a time
 SHINGLE = 3
 SEED = 42
 
@@ -59,44 +59,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(col(id_col).alias("id"), run(text).alias("fp"))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def _emit(rows: list[tuple]) -> Column:
-    """An array of (block, keep, flip, cost) to explode; at most a few hundred literals."""
-    return F.explode(F.array(*[F.struct(F.lit(b).cast("byte").alias("b"), F.lit(_signed(keep)).alias("keep"),
-                                        F.lit(_signed(flip)).alias("flip"), F.lit(cost).cast("byte").alias("cost"))
-                               for b, keep, flip, cost in rows]))
+def _masks(bits: list[int]) -> Column:
+    """An array of 64-bit masks to explode."""
+    return F.array(*[F.lit(x - (1 << 64) if x >> 63 else x) for x in bits])
 
 
 def links(fps: DataFrame) -> DataFrame:
     """a, b for distinct fingerprints `fp`: links that join exactly those that chains of <= 3 bits join."""
-    full = (1 << 64) - 1
-    inside = [((1 << BLOCK) - 1) << (BLOCK * b) for b in range(4)]
-    outer = [(b, full ^ inside[b], flip, int(flip > 0)) for b in range(4)
-             for flip in [0, *(1 << i for i in range(64) if not inside[b] >> i & 1)]]
-    variants = (fps.select("fp", _emit(outer).alias("e"))
-                .select("fp", "e.b", F.col("fp").bitwiseAND(F.col("e.keep")).bitwiseXOR(F.col("e.flip")).alias("v"), "e.cost"))
-    shared = (variants.withColumn("n", F.count("*").over(Window.partitionBy("v", "b"))).filter("n > 1")
-              .select("fp", "b", "v", "cost"))
-    # The left-out block comes back: unchanged or at 1 bit, and at 2 bits where nothing else was changed.
     points = None
-    for b in range(4):
-        ones = [1 << (BLOCK * b + i) for i in range(BLOCK)]
-        flips = [(b, inside[b], f, 1) for f in ones]
-        twos = [(b, inside[b], f | g, 2) for i, f in enumerate(ones) for g in ones[:i]]
-        none = [(b, inside[b], 0, 0)]
-        own = shared.filter(F.col("b") == b).select("fp", "v", F.col("cost").alias("d"))
-        for rows, part in ((none + flips, own), (twos, own.filter("d = 0"))):
-            made = part.select("fp", "v", "d", _emit(rows).alias("e")).select(
-                "fp", F.col("v").bitwiseOR(F.col("fp").bitwiseAND(F.col("e.keep"))).bitwiseXOR(F.col("e.flip")).alias("p"),
-                (F.col("d") + F.col("e.cost")).alias("cost"))
-            points = made if points is None else points.unionByName(made)
-    at = Window.partitionBy("p")
-    star = points.withColumn("hub", F.min(F.when(F.col("cost") <= 1, F.col("fp"))).over(at))
-    return (star.filter("hub is not null and hub != fp").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
-            .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct())
+    for begin, end in BLOCKS:
+        inside = [1 << i for i in range(begin, end)]
+        outside = [1 << i for i in range(64) if not begin <= i < end]
+        keep = F.col("fp").bitwiseAND(_masks([sum(outside)])[0])
+        variants = fps.select("fp", F.explode(_masks([0, *outside])).alias("flip")).select(
+            "fp", keep.bitwiseXOR(F.col("flip")).alias("v"))
+        shared = variants.withColumn("n", F.count("*").over(Window.partitionBy("v"))).filter("n > 1")
+        shared = shared.select("fp", "v", F.bit_count(keep.bitwiseXOR(F.col("v"))).alias("d"))
+        # The block comes back: unchanged or at 1 bit, and at 2 bits where nothing else was changed.
+        near = [0, *inside]
+        far = [x | y for i, x in enumerate(inside) for y in inside[:i]]
+        back = F.when(F.col("d") == 0, _masks(near + far)).otherwise(_masks(near))
+        own = F.col("fp").bitwiseAND(_masks([sum(inside)])[0])
+        made = shared.select("fp", "v", "d", F.explode(back).alias("flip")).select(
+            "fp", F.col("v").bitwiseOR(own.bitwiseXOR(F.col("flip"))).alias("p"), (F.col("d") + F.bit_count("flip")).alias("cost"))
+        points = made if points is None else points.unionByName(made)
+    hub = F.min(F.when(F.col("cost") <= 1, F.col("fp"))).over(Window.partitionBy("p"))
+    star = points.withColumn("hub", hub).filter("hub != fp").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    return star.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
