@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.schema import col, nan_to_null
+from millrace.sources.dialect import csv_read_options
 
 FORMATS = ("csv", "json", "jsonl", "parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, **options) -> DataFrame:
-    """CSV with a header row; give a schema to save the pass that infers one."""
-    reader = spark.read.option("header", True).options(**options)
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, multi_line: bool = True,
+             **options) -> DataFrame:
+    """CSV in the engine's dialect; give a schema to save the pass that infers one.
+
+    `multi_line=False` splits large files among tasks and is for files without line breaks in fields.
+    """
+    reader = spark.read.options(**csv_read_options(multi_line)).options(**options)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
@@ -73,7 +78,7 @@ def read_object(spark: SparkSession, bucket: str, key: str, access_key: str | No
     if schema:
         reader = reader.schema(schema)
     if file_format == "csv":
-        return reader.option("header", True).option("inferSchema", schema is None).csv(path)
+        return reader.options(**csv_read_options()).option("inferSchema", schema is None).csv(path)
     if file_format == "json":
         return reader.option("multiLine", True).json(path)
     return reader.parquet(path)

@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-
-# Moments keep their microseconds.
-MOMENTS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+from millrace.sources.dialect import CSV_WRITE
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
     """CSV with a header row, or Parquet; one file per task, no index column."""
     if fmt == "csv":
-        # Quoted empty text stays apart from a missing value.
-        df.write.mode(mode).options(**MOMENTS).option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+        df.write.mode(mode).options(**CSV_WRITE).csv(path)
     elif fmt == "parquet":
         df.write.mode(mode).parquet(path)
     else:

@@ -13,16 +13,38 @@ from millrace.sources.writers import write_table
 from workload.base import query, rounded
 
 
-@query("csv_round_trip", "SELECT * FROM orders")
-def _(t):
-    df = t("orders")
-    path = scratch_path(df.sparkSession, "orders") + ".csv"
+def through_csv(df, schema=None):
+    """Written and read again by the engine's own functions; inferred types may be narrower than the written ones."""
+    path = scratch_path(df.sparkSession, "round-trip") + ".csv"
     write_table(df, path, "csv")
-    back = read_table(df.sparkSession, path)
-    # Inferred types may be narrower than the ones that were written.
+    back = read_table(df.sparkSession, path, schema=schema)
     return back.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in df.schema.fields])
 
 
+@query("csv_round_trip", "SELECT * FROM orders")
+def _(t):
+    return through_csv(t("orders"))
+
+
+@query("csv_round_trip_documents", "SELECT * FROM documents")
+def _(t):
+    """Texts with line breaks, quotes and commas."""
+    return through_csv(t("documents"))
+
+
+@query("csv_round_trip_events", "SELECT * FROM events")
+def _(t):
+    """JSON texts, all in quotes that hold quotes."""
+    return through_csv(t("events"))
+
+
+@query("csv_empty_and_missing", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN NULL
+  ELSE ' ' || o_orderpriority || chr(10) || '"' END AS note FROM orders""")
+def _(t):
+    note = F.expr("case when o_orderkey % 3 = 0 then '' when o_orderkey % 3 = 1 then null else concat(' ', o_orderpriority, '\n\"') end")
+    return through_csv(t("orders").select("o_orderkey", note.alias("note")))
+
+
 @query("json_round_trip", "SELECT * FROM part")
 def _(t):
     df = t("part")
@@ -72,9 +94,9 @@ def _(t):
 
 @query("json_nested_list", """SELECT user_id, event_id, round(value, 2) AS value FROM events""")
 def _(t):
-    # One response per user, day and type with its events in a list under data.items.
+    # One response per user and page of a hundred ids, with its events in a list under data.items.
     item = F.struct("event_id", "value")
-    responses = t("events").groupBy("user_id", F.col("event_id").alias("page"), "event_type").agg(
+    responses = t("events").groupBy("user_id", F.floor(F.col("event_id") / 100).alias("page")).agg(
         F.to_json(F.struct(F.struct(F.collect_list(item).alias("items")).alias("data"))).alias("body"))
     rows = json_rows(responses.select("user_id", "body"), "body", "event_id bigint, value double", "data.items")
     return rounded(rows, 2)
@@ -87,8 +109,7 @@ def _(t):
     for fmt in ("csv", "parquet"):
         path = f"{scratch_path(spark, 'events')}.{fmt}"
         write_table(df, path, fmt)
-        back = (spark.read.schema(df.schema).option("header", True).option("escape", '"').csv(path)
-                if fmt == "csv" else spark.read.parquet(path))
+        back = read_table(spark, path, schema=df.schema if fmt == "csv" else None)
         part = back.select(F.lit(fmt).alias("format"), *df.columns)
         out = part if out is None else out.unionByName(part)
     return out
