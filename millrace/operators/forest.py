@@ -16,9 +16,10 @@ from millrace.runtime import settle
 
 TREES = 100
 SAMPLE = 256
-# Rows the tree samples are drawn from; enough that the samples of two trees
-# rarely meet, and bounded whatever the table's size.
-POOL = 20_000
+# Rows dealt to a tree before it takes its SAMPLE, as a multiple of SAMPLE: so many that a tree practically never gets
+# fewer than it needs.
+MARGIN = 1.5
+BLOCK = 2048  # rows that walk down all trees together
 
 
 def mean_path(n: float) -> float:
@@ -56,12 +57,36 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
 
 
 def _trees(df: DataFrame, columns: list[str], rows: int, seed: int) -> list[dict]:
-    share = POOL * 1.1 / max(rows, 1)
-    pool = df if share >= 1 else df.sample(share, seed)
-    pool = settle(pool, "pool").withColumn("__id", F.monotonically_increasing_id())
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("__id", "tree", F.lit(seed)), "__id")
-    drawn = drawn.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= SAMPLE).drop("__n", "__id")
+    """Trees on samples of the whole table, drawn by hashes of the rows' values, so that files and partitions don't matter.
+
+    Each copy of a row is dealt to each tree with probability `share`. How often a row with n copies is dealt is one
+    binomial draw, and most rows draw 0, which a comparison decides; only the rest become (copy, tree) pairs.
+    """
+    share = min(1.0, SAMPLE * MARGIN / max(rows, 1))
+    hashed = df.withColumn("h", F.xxhash64(*columns, F.lit(seed)))
+    draw = (F.shiftrightunsigned(F.xxhash64("h", F.lit(1)), 11) + 1) / F.lit(float(1 << 53))  # in (0, 1]
+    none = F.exp(F.col("n") * F.lit(TREES * math.log1p(-share))) if share < 1 else F.lit(0.0)
+    counts = hashed.groupBy("h").agg(F.count("*").alias("n")).filter(draw > none)
+
+    @F.pandas_udf("array<struct<tree:int,ord:bigint>>")
+    def deal(h: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for key, copies in zip(h.to_numpy(), n.to_numpy()):
+            rng = np.random.default_rng([seed, int(key) & (1 << 64) - 1])
+            pairs = int(copies) * TREES
+            got = pairs if share >= 1 else 0
+            while not got:  # given that it is not 0
+                got = int(rng.binomial(pairs, share))
+            picked = rng.choice(pairs, got, replace=False)  # about TREES * SAMPLE * MARGIN over all rows
+            out.append([{"tree": int(p % TREES), "ord": int(o)} for p, o in zip(picked, rng.integers(1 << 62, size=len(picked)))])
+        return pd.Series(out, dtype=object)
+
+    dealt = counts.select("h", F.explode(deal("h", "n")).alias("d")).select("h", "d.*")
+    order = Window.partitionBy("tree").orderBy("ord", "h")
+    taken = settle(dealt.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SAMPLE).drop("nth", "ord"), "dealt")
+    wanted = F.broadcast(taken.select("h").distinct())  # at most TREES * SAMPLE hashes
+    values = settle(hashed.join(wanted, "h").dropDuplicates(["h"]), "drawn")
+    drawn = taken.join(F.broadcast(values), "h").drop("h")
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(key[0])])
@@ -75,25 +100,28 @@ def _trees(df: DataFrame, columns: list[str], rows: int, seed: int) -> list[dict
 
 
 def score_column(columns: list[Column], trees: list[dict], sample: int) -> Column:
-    """Anomaly score 2^(-mean depth / expected depth), batch by batch."""
-    packed = [(np.array(t["feature"]), np.array(t["cut"]), np.array(t["left"]), np.array(t["right"]),
-               np.array(t["path"])) for t in trees]
+    """Anomaly score 2^(-mean depth / expected depth); a block of rows walks down all trees together."""
+    starts = np.cumsum([0, *(len(t["feature"]) for t in trees)])[:-1]
+    feature, cut, path = (np.concatenate([np.asarray(t[k], float) for t in trees]) for k in ("feature", "cut", "path"))
+    own = np.arange(len(feature))
+    left, right = (np.concatenate([np.asarray(t[k]) + a for t, a in zip(trees, starts)]) for k in ("left", "right"))
+    leaf = feature < 0
+    left, right, feature = np.where(leaf, own, left), np.where(leaf, own, right), np.where(leaf, 0, feature).astype(int)
     depth = math.ceil(math.log2(max(sample, 2)))
     expected = mean_path(sample) or 1.0
 
     @F.pandas_udf("double")
     def score(*values: pd.Series) -> pd.Series:
         x = np.column_stack([v.to_numpy(dtype=float) for v in values])
-        rows = np.arange(len(x))
-        total = np.zeros(len(x))
-        for feature, cut, left, right, path in packed:
-            at = np.zeros(len(x), dtype=int)
+        out = np.empty(len(x))
+        for a in range(0, len(x), BLOCK):
+            block = x[a:a + BLOCK]
+            flat, base = block.ravel(), (np.arange(len(block)) * block.shape[1])[:, None]
+            at = np.tile(starts, (len(block), 1))
             for _ in range(depth):
-                f = feature[at]
-                step_down = np.where(x[rows, np.maximum(f, 0)] <= cut[at], left[at], right[at])
-                at = np.where(f < 0, at, step_down)
-            total += path[at]
-        return pd.Series(np.exp2(-total / len(packed) / expected))
+                at = np.where(flat[base + feature[at]] <= cut[at], left[at], right[at])
+            out[a:a + BLOCK] = path[at].sum(axis=1)
+        return pd.Series(np.exp2(-out / len(trees) / expected))
 
     return score(*columns)
 
@@ -110,21 +138,35 @@ class IsolationForest(NumericStep):
         return {"contamination": 0.1, "remove_outliers": True, "seed": 42}
 
     def learn(self, df):
+        means, trees, sample, rows = self._grown(df)
+        values = [filled(c, m) for c, m in means.items()]
+        scores = settle(df.select(score_column(values, trees, sample).alias("score")), "scores")
+        return self._params(means, trees, sample, rows, scores, "score")
+
+    def _grown(self, df):
         columns = chosen(df, self.options, "outlier detection")
         spread = _filled_spread(df, columns)
         means = {c: f["mean"] for c, f in spread.items() if f["mean"] is not None}
         rows = next(iter(spread.values()))["rows"]
-        names = list(means)
         table = df.select(*[filled(c, m).alias(f"f{i}") for i, (c, m) in enumerate(means.items())])
-        trees = _trees(table, table.columns, rows, self.options["seed"])
-        sample = min(SAMPLE, rows)
-        scores = settle(table.select(score_column([F.col(c) for c in table.columns], trees, sample).alias("score")),
-                        "scores")
-        limit = percentiles(scores, ["score"], [1 - self.options["contamination"]], {"score": rows})["score"][0]
-        flagged = scores.filter(F.col("score") > limit).count()
-        return {"means": {c: means[c] for c in names}, "trees": trees, "sample": sample, "limit": limit,
+        return means, _trees(table, table.columns, rows, self.options["seed"]), min(SAMPLE, rows), rows
+
+    def _params(self, means, trees, sample, rows, scores, name):
+        limit = percentiles(scores, [name], [1 - self.options["contamination"]], {name: rows})[name][0]
+        flagged = scores.filter(F.col(name) > limit).count()
+        return {"means": means, "trees": trees, "sample": sample, "limit": limit,
                 "remove": self.options["remove_outliers"], "rows": rows, "flagged": flagged}
 
+    def fit_transform(self, df):
+        """As fit and transform, but every row is scored once: rows are settled with their scores, which then decide."""
+        if not self.options["remove_outliers"]:
+            return df
+        means, trees, sample, rows = self._grown(df)
+        values = [filled(c, m) for c, m in means.items()]
+        scored = settle(df.withColumn("__score", score_column(values, trees, sample)), "scored")
+        params = self._params(means, trees, sample, rows, scored, "__score")
+        return scored.filter(F.col("__score") <= params["limit"]).drop("__score")
+
     @staticmethod
     def scored(df: DataFrame, params: dict) -> DataFrame:
         """Adds `anomaly_score` and `is_outlier`."""

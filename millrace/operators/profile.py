@@ -45,6 +45,8 @@ def base_facts(df: DataFrame, columns: list[str] | None = None) -> dict[str, dic
     out = {}
     for i, c in enumerate(columns):
         n, mean, std, std_pop, low, high, g1 = got[7 * i:7 * i + 7]
+        if n and low == high:  # sums of a constant keep rounding noise where partial sums meet
+            mean, std, std_pop, g1 = low, 0.0 if n > 1 else std, 0.0, None
         skew = None
         if n and n > 2:
             skew = 0.0 if g1 is None or math.isnan(g1) else g1 * math.sqrt(n * (n - 1)) / (n - 2)

@@ -25,18 +25,19 @@ COLLECT_VALUES = 20_000   # distinct values of one interval that may reach the d
 ACCURACY = 10_000         # sketch accuracy: rank error at most rows / ACCURACY
 
 
-def percentiles(df: DataFrame, columns: list[str], probs: list[float],
-                counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
+def percentiles(df: DataFrame, columns: list[str], probs: list[float], counts: dict[str, int] | None = None,
+                small_cells: int | None = None) -> dict[str, list[float | None]]:
     """Percentiles of each column over its non-missing values, in the order of `probs`.
 
-    `counts` (non-missing values per column) saves the counting job.
+    `counts` (non-missing values per column) saves the counting job. Up to `small_cells` values (default SMALL_CELLS) take
+    the one-aggregate path; both ways are exact.
     """
     if not columns:
         return {}
     df = doubles(df, columns)
     if counts is None:
         counts = dict(zip(columns, agg_rows(df, [F.count(col(c)) for c in columns])))
-    if sum(counts[c] for c in columns) <= SMALL_CELLS:
+    if sum(counts[c] for c in columns) <= (SMALL_CELLS if small_cells is None else small_cells):
         probes = F.array(*[F.lit(float(p)) for p in probs])
         found = agg_rows(df, [F.percentile(col(c), probes) for c in columns])
         return {c: list(v) if v is not None else [None] * len(probs) for c, v in zip(columns, found)}

@@ -28,7 +28,7 @@ def chosen(df: DataFrame, options: dict, purpose: str) -> list[str]:
         columns = S.numeric(df, tuple(options["exclude"] or ()))
     S.require(df, columns)
     if not columns:
-        raise ValueError(f"No numeric columns found for {purpose}")
+        raise ValueError(f"{purpose} needs at least one numeric column")
     return columns
 
 
@@ -63,10 +63,6 @@ class NumericStep(Step):
     def project(cls, df, params):
         return df.withColumns({c: cls.value(c, p) for c, p in params["columns"].items()})
 
-    def fit(self, df):
-        fitted = super().fit(df)
-        return fitted
-
 
 def numeric_step(name: str):
     """Register a numeric step; `apply` is its projection."""
@@ -105,12 +101,14 @@ def _filled_spread(df, columns) -> dict[str, dict]:
 
     exprs = [F.count(F.lit(1))]
     for c in columns:
-        exprs += [F.count(col(c)), F.avg(col(c)), F.stddev_pop(col(c))]
+        exprs += [F.count(col(c)), F.avg(col(c)), F.stddev_pop(col(c)), F.min(col(c)), F.max(col(c))]
     got = agg_rows(S.doubles(df, columns), exprs)
     rows = got[0]
     out = {}
     for i, c in enumerate(columns):
-        n, mean, std = got[1 + 3 * i:4 + 3 * i]
+        n, mean, std, low, high = got[1 + 5 * i:6 + 5 * i]
+        if n and low == high:  # a constant has no spread, whatever rounding leaves of the sums
+            mean, std = low, 0.0
         out[c] = {"mean": mean, "count": n, "rows": rows,
                   "std_pop": std * (n / rows) ** 0.5 if n else None}
     return out

@@ -73,7 +73,7 @@ class CorrelationFilter(Step):
     def learn(self, df):
         columns = self.options["columns"] or S.numeric(df)
         if len(columns) < 2:
-            raise ValueError("Need at least 2 numeric columns for correlation filtering")
+            raise ValueError("a correlation filter compares two or more numeric columns")
         moments = pair_moments(df, columns)
         drop = [c for j, c in enumerate(columns)
                 if any(abs(moments.correlation(b, c) or 0.0) > self.options["threshold"] for b in columns[:j])]
@@ -98,7 +98,7 @@ class VarianceThreshold(Step):
     def learn(self, df):
         columns = S.numeric(df)
         if not columns:
-            raise ValueError("No numeric columns found for variance threshold filtering")
+            raise ValueError("a variance threshold needs a numeric column")
         spread = _filled_spread(df, columns)
         keep = {c: f["mean"] for c, f in spread.items()
                 if f["std_pop"] is not None and f["std_pop"] ** 2 > self.options["threshold"]}

@@ -16,7 +16,7 @@ from millrace.base import Fitted, Step, step
 from millrace.functions.lookups import literal_lookup
 from millrace.functions.text import SPACE, ngrams, space_tokens, word_tokens
 from millrace.operators.lookup import lookup_join
-from millrace.runtime import is_small
+from millrace.runtime import is_small, settle
 from millrace.schema import col
 
 # Terms that may be carried as literals in a plan.
@@ -286,7 +286,6 @@ class WordVectors(Fitted):
         super().__init__("word2vec", params, None, {"vocabulary_size": vectors.count(),
                                                     "vector_size": params["vector_size"]})
         self.model, self.vectors = model, vectors
-        self.small = is_small(vectors)
 
     def transform(self, df: DataFrame, key: list[str] | None = None) -> DataFrame:
         """Adds the mean vector of the known words of each row; zeros where there are none."""
@@ -297,8 +296,9 @@ class WordVectors(Fitted):
         words = (df.select(*[col(k) for k in key],
                            F.explode(space_tokens(F.lower(col(self.params["text_column"])))).alias("word"))
                  .groupBy(*[col(k) for k in key], "word").agg(F.count(F.lit(1)).cast("double").alias("n")))
-        vectors = F.broadcast(self.vectors) if self.small else self.vectors
-        means = (words.join(vectors, "word").groupBy(*[col(k) for k in key])
+        words = settle(words, "words")
+        tally = words.groupBy("word").agg(F.count("*").alias("rows")).join(self.vectors, "word")
+        means = (lookup_join(words, tally, "word", "rows", max(words.count(), 1)).filter("vector is not null").groupBy(*[col(k) for k in key])
                  .agg(vector_to_array(Summarizer.mean(F.col("vector"), F.col("n"))).alias("__mean")))
         zeros = F.array_repeat(F.lit(0.0), self.params["vector_size"])
         return (df.join(means, key, "left")
@@ -312,17 +312,19 @@ class Word2VecDocuments(Step):
     @classmethod
     def defaults(cls):
         return {"text_column": None, "key": None, "vector_size": 100, "window": 5, "min_count": 2,
-                "output": "w2v", "partitions": None, "seed": 42}
+                "output": "w2v", "partitions": 4, "seed": 42}
 
     def fit(self, df):
         from pyspark.ml.feature import Word2Vec
 
         p = dict(self.options)
         _text(df, p["text_column"])
-        words = df.select(space_tokens(F.lower(col(p["text_column"]))).alias("words"))
+        # The partitions are a parameter, and rows are dealt and sorted by their text, so the file layout has no say.
+        words = (df.select(space_tokens(F.lower(col(p["text_column"]))).alias("words"))
+                 .repartition(p["partitions"], F.xxhash64("words")).sortWithinPartitions(F.xxhash64("words"), "words"))
         model = Word2Vec(vectorSize=p["vector_size"], windowSize=p["window"], minCount=p["min_count"],
                          seed=p["seed"], inputCol="words", outputCol="v",
-                         numPartitions=p["partitions"] or words.rdd.getNumPartitions()).fit(words)
+                         numPartitions=p["partitions"]).fit(words)
         return WordVectors(model, p, model.getVectors())
 
 
@@ -416,13 +418,15 @@ class TopicModel(Step):
         tokens = F.filter(word_tokens(col(p["text_column"])), lambda t: ~t.isin(*[w.lower() for w in stop]))
         vocabulary = sorted(t for t, _ in top_terms(df, tokens, p["max_features"]))
         if not vocabulary:
-            raise ValueError("No valid terms found for topic modeling")
+            raise ValueError("the texts hold no term to model topics with")
         vectorizer = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="__tokens", outputCol="features")
 
         def counts(table: DataFrame) -> DataFrame:
             return vectorizer.transform(table.withColumn("__tokens", tokens))
 
         p["n_topics"] = min(p["n_topics"], max(2, len(vocabulary)))
-        model = LDA(k=p["n_topics"], maxIter=p["max_iter"], seed=p["seed"], optimizer="online",
-                    featuresCol="features").fit(counts(df).select("features").persist())
+        # Every round reads the whole corpus; the settled counts are read from the shared folder each time.
+        table = settle(counts(df).select("features"), "topics")
+        model = LDA(k=p["n_topics"], maxIter=p["max_iter"], seed=p["seed"], optimizer="online", subsamplingRate=1.0,
+                    featuresCol="features").fit(table)
         return Topics(model, vocabulary, p, counts)

@@ -1,4 +1,4 @@
 """Registered queries: each has a Spark function and, where SQL can say it, an equivalent SQL text."""
 
-from workload import cleaning, features, profiles, rows, sources, structure, text  # noqa: F401
+from workload import cleaning, features, invariants, profiles, rows, sources, structure, text  # noqa: F401
 from workload.base import ORACLES, QUERIES  # noqa: F401

@@ -42,7 +42,7 @@ def _(t):
     return rounded(RobustScale(**KEY).fit_transform(prices(t)))
 
 
-QUANTILES = 21
+QUANTILES = 100
 GRID = "[" + ", ".join(str(i / (QUANTILES - 1)) for i in range(QUANTILES)) + "]"
 # Both directions of interpolation agree where no two grid points tie.
 UNIFORM = f"""WITH g AS (SELECT quantile_cont(value, {GRID}) AS q FROM events),

@@ -97,7 +97,7 @@ def _(t):
 
 @query("kmeans_clusters")
 def _(t):
-    step = KMeansClusters(columns=["l_quantity", "l_extendedprice"], n_clusters=3, n_init=2, max_iter=50)
+    step = KMeansClusters(columns=["l_quantity", "l_extendedprice"], n_clusters=3)
     return step.fit_transform(t("lineitem"))
 
 
@@ -120,7 +120,7 @@ def _(t):
 
 @query("affinity_graph")
 def _(t):
-    return affinity_graph(embedding_columns(t), "vec_id", perplexity=10)
+    return affinity_graph(embedding_columns(t), "vec_id", perplexity=30)
 
 
 @query("fuzzy_graph")
