@@ -136,8 +136,11 @@ def dedupe(df: DataFrame, subset: list[str] | None = None, keep: str | bool = "f
         raise ValueError("keep must be 'first', 'last' or False")
     S.require(df, subset or [])
     if subset is None:
-        if keep is not False:
+        if keep is not False and not any(f.dataType.typeName() == "map" for f in df.schema.fields):
             return df.dropDuplicates()
+        if keep is not False:  # maps have no equality of their own; `groupable` gives them one
+            rows = df.groupBy(*groupable(df)).agg(F.any_value(F.struct(*[col(c) for c in df.columns])).alias("__row"))
+            return rows.select(*[F.col("__row")[c].alias(c) for c in df.columns])
         return df.groupBy(*groupable(df)).agg(F.count(F.lit(1)).alias("__n")).filter("__n = 1").drop("__n")
     if keep is False:
         rest = [c for c in df.columns if c not in subset]

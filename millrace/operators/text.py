@@ -60,12 +60,20 @@ def _text(df: DataFrame, name: str) -> str:
 class Vectorizer(Step):
     """Shared by the two bag-of-terms steps: adds an array column (term, value)."""
 
+    WORDS = "__words"
+
     @classmethod
     def tokens(cls, p: dict) -> Column:
-        return word_tokens(col(p["text_column"]))
+        """Terms, out of the words that `bound` has put into a column."""
+        return F.col(cls.WORDS)
+
+    @classmethod
+    def bound(cls, df: DataFrame, p: dict) -> DataFrame:
+        """The words as a column of their own, so that terms that use them several times don't scan the text again."""
+        return df.withColumn(cls.WORDS, word_tokens(col(p["text_column"])))
 
     def vocabulary(self, df, p):
-        top = top_terms(df, self.tokens(p), p["max_features"])
+        top = top_terms(self.bound(df, p), self.tokens(p), p["max_features"])
         return sorted(t for t, _ in top)
 
     @staticmethod
@@ -92,7 +100,7 @@ class TfIdf(Vectorizer):
         found = F.array_distinct(F.filter(self.tokens(p), lambda t: t.isin(*vocabulary)))
         rows = df.count()
         holding = {r["t"]: r["count"] for r in
-                   df.select(F.explode_outer(found).alias("t")).filter("t is not null").groupBy("t").count().collect()} if vocabulary else {}
+                   self.bound(df, p).select(F.explode_outer(found).alias("t")).filter("t is not null").groupBy("t").count().collect()} if vocabulary else {}
         import math
 
         p["idf"] = {t: math.log((1 + rows) / (1 + holding[t])) + 1 for t in vocabulary}
@@ -101,7 +109,7 @@ class TfIdf(Vectorizer):
     @staticmethod
     def apply(df, params):
         idf = params["idf"]
-        counted = count_terms(df, TfIdf.tokens(params), list(idf), "__tf")
+        counted = count_terms(TfIdf.bound(df, params), TfIdf.tokens(params), list(idf), "__tf").drop(TfIdf.WORDS)
         if not idf:
             return counted.withColumn(params["output"], F.array().cast("array<struct<term:string,value:double>>")).drop("__tf")
         weighted = F.transform(F.col("__tf"), lambda e: F.struct(
@@ -128,7 +136,7 @@ class NGramCounts(Vectorizer):
 
     @classmethod
     def tokens(cls, p):
-        return ngrams(word_tokens(col(p["text_column"])), p["low"], p["high"])
+        return ngrams(F.col(cls.WORDS), p["low"], p["high"])
 
     def learn(self, df):
         p = dict(self.options)
@@ -137,7 +145,8 @@ class NGramCounts(Vectorizer):
 
     @staticmethod
     def apply(df, params):
-        return count_terms(df, NGramCounts.tokens(params), params["vocabulary"], params["output"])
+        found = count_terms(NGramCounts.bound(df, params), NGramCounts.tokens(params), params["vocabulary"], params["output"])
+        return found.drop(NGramCounts.WORDS)
 
     def describe(self, params):
         # The first twenty by the alphabet, not the most frequent.
@@ -154,7 +163,7 @@ def term_counts(df: DataFrame, key: list[str], tokens: Column, table: DataFrame)
 def tfidf_long(df: DataFrame, key: list[str], fitted: Fitted) -> DataFrame:
     """TF-IDF as rows (key, term, value)."""
     idf = df.sparkSession.createDataFrame(list(fitted.params["idf"].items()), "term string, idf double")
-    weighted = term_counts(df, key, TfIdf.tokens(fitted.params), idf).withColumn("w", F.col("n") * F.col("idf"))
+    weighted = term_counts(TfIdf.bound(df, fitted.params), key, TfIdf.tokens(fitted.params), idf).withColumn("w", F.col("n") * F.col("idf"))
     # One row's terms, so at most the vocabulary's size.
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*[col(k) for k in key])))
     return weighted.select(*[col(k) for k in key], "term", (F.col("w") / length).alias("value"))
@@ -163,7 +172,7 @@ def tfidf_long(df: DataFrame, key: list[str], fitted: Fitted) -> DataFrame:
 def ngrams_long(df: DataFrame, key: list[str], fitted: Fitted) -> DataFrame:
     """N-gram counts as rows (key, term, n)."""
     terms = df.sparkSession.createDataFrame([(t,) for t in fitted.params["vocabulary"]], "term string")
-    return term_counts(df, key, NGramCounts.tokens(fitted.params), terms).select(*[col(k) for k in key], "term", "n")
+    return term_counts(NGramCounts.bound(df, fitted.params), key, NGramCounts.tokens(fitted.params), terms).select(*[col(k) for k in key], "term", "n")
 
 
 # ---------------------------------------------------------------- sentiment

@@ -24,6 +24,7 @@ from millrace.schema import col
 MIN_KNN_ROWS, FOREST_COLUMNS, FOREST_ROWS = 3, 3, 100
 FOREST_SHARE, FOREST_MIN_REMOVED = 0.05, 0.02
 ONE_HOT_VALUES = 20
+MAX_ADDED, MAX_GROWTH = 200, 3
 PCA_NUMERIC, PCA_COLUMNS, PCA_MAX = 100, 150, 30
 
 
@@ -120,15 +121,15 @@ def _impute(table, rows, nulls, columns, target, steps):
 def _encode(table, labels, original_columns, steps):
     """One-hot for few values while the table stays narrow enough, shares of rows for the rest."""
     distinct = P.distinct_tally(table, labels)
-    widest = min(original_columns + 200, int(original_columns * 3.0))
-    width, one_hot, shares = len(table.columns), [], []
-    for c in labels:
-        wider = width - 1 + distinct.get(c, 0)
-        if distinct.get(c, 0) <= ONE_HOT_VALUES and wider <= widest:
-            one_hot.append(c)
-            width = wider
-        else:
-            shares.append(c)
+    # What the table may still grow by; a column spends its values less the column that they replace.
+    budget = min(original_columns + MAX_ADDED, MAX_GROWTH * original_columns) - len(table.columns)
+    cost = {c: distinct.get(c, 0) - 1 for c in labels}
+    spent, as_flags = 0, set()
+    for c in filter(lambda c: cost[c] < ONE_HOT_VALUES, labels):
+        if spent + cost[c] <= budget:
+            spent += cost[c]
+            as_flags.add(c)
+    one_hot, shares = ([c for c in labels if (c in as_flags) == chosen] for chosen in (True, False))
     if shares:
         table = Frequency(columns=shares).fit(table).transform(table)
         steps.append("frequency_encoding")

@@ -82,57 +82,60 @@ def analyze(df: DataFrame) -> Health:
     return health
 
 
-def _advise(h: Health) -> None:
-    """Issues and fixes. The wording and the limits are fixed values."""
+# The wording of issues and fixes and the limits in them. Each issue is (holds, text); each fix is
+# (holds, name, reason, confidence). All take the report `h` and the facts `x` of `_weighed`.
+ISSUES = [
+    (lambda h, x: h.duplicates, lambda h, x: f"Duplicate rows found: {h.duplicates}"),
+    (lambda h, x: h.missing, lambda h, x: "Missing values detected"),
+    (lambda h, x: h.outlier_rows, lambda h, x: "Potential outliers detected"),
+    (lambda h, x: h.skewed, lambda h, x: f"Skewed numeric features detected: {len(h.skewed)}"),
+    (lambda h, x: h.categorical, lambda h, x: f"Categorical columns detected: {len(h.categorical)}"),
+    (lambda h, x: h.inconsistent, lambda h, x: f"Possible type inconsistencies: {len(h.inconsistent)}"),
+    (lambda h, x: h.balance["imbalanced"], lambda h, x: "Class imbalance detected"),
+]
+FIXES = [
+    (lambda h, x: h.duplicates, "remove_duplicates", lambda h, x: f"{h.duplicates} duplicate rows detected",
+     lambda h, x: "high" if h.duplicates / x["rows"] >= 0.01 else "medium"),
+    (lambda h, x: x["gaps"] and x["near"], "knn_imputation", lambda h, x: f"{x['gaps']} missing numeric values detected", "high"),
+    (lambda h, x: x["gaps"] and not x["near"], "simple_numeric_imputation",
+     lambda h, x: f"{x['gaps']} missing numeric values detected", "medium"),
+    (lambda h, x: x["label_gaps"], "categorical_mode_imputation",
+     lambda h, x: f"{x['label_gaps']} missing categorical values detected", "high"),
+    (lambda h, x: h.outlier_rows and x["forest"], "isolation_forest_outlier_removal",
+     lambda h, x: f"{h.outlier_rows} outlier rows ({x['far']:.1%}) detected in numeric features", "medium"),
+    (lambda h, x: h.outlier_rows and not x["forest"], "iqr_outlier_treatment",
+     lambda h, x: f"{h.outlier_rows} potential outlier rows detected; conservative capping is safer", "medium"),
+    (lambda h, x: x["positive"], "log_transform", lambda h, x: f"{x['positive']} skewed positive numeric columns found", "medium"),
+    (lambda h, x: h.skewed and not x["positive"], "power_transform",
+     lambda h, x: "Skewed numeric columns include non-positive values", "low"),
+    (lambda h, x: x["few"], "one_hot_encoding", lambda h, x: f"{x['few']} low-cardinality categorical columns", "high"),
+    (lambda h, x: x["many"], "frequency_encoding", lambda h, x: f"{x['many']} high-cardinality categorical columns", "high"),
+    (lambda h, x: h.inconsistent, "fix_column_types",
+     lambda h, x: f"{len(h.inconsistent)} columns look numeric/datetime but are stored as text", "medium"),
+    (lambda h, x: h.balance["imbalanced"], "class_weight_or_resampling",
+     lambda h, x: f"Imbalance ratio is {h.balance['ratio']}", "medium"),
+    (lambda h, x: (x["spread"] or 0.0) >= 10.0, "normalize_numeric_features",
+     lambda h, x: f"Numeric feature scale spread ratio is {x['spread']:.2f}", "medium"),
+]
+
+
+def _weighed(h: Health) -> dict:
+    """What the rules weigh besides the report's own numbers."""
     rows = max(h.rows, 1)
-    fix, issue = h.fixes.append, h.issues.append
-    if h.duplicates:
-        issue(f"Duplicate rows found: {h.duplicates}")
-        fix(("remove_duplicates", f"{h.duplicates} duplicate rows detected",
-             "high" if h.duplicates / rows >= 0.01 else "medium"))
-    if h.missing:
-        issue("Missing values detected")
-        numbers, labels = h.missing_in(h.numeric), h.missing_in(h.categorical)
-        near = len(h.numeric) >= 2 and rows >= 30
-        if numbers:
-            fix(("knn_imputation" if near else "simple_numeric_imputation",
-                 f"{numbers} missing numeric values detected", "high" if near else "medium"))
-        if labels:
-            fix(("categorical_mode_imputation", f"{labels} missing categorical values detected", "high"))
-    if h.outlier_rows:
-        issue("Potential outliers detected")
-        share = h.outlier_rows / rows
-        if len(h.numeric) >= 3 and rows >= 100 and share >= 0.02:
-            fix(("isolation_forest_outlier_removal",
-                 f"{h.outlier_rows} outlier rows ({share:.1%}) detected in numeric features", "medium"))
-        else:
-            fix(("iqr_outlier_treatment",
-                 f"{h.outlier_rows} potential outlier rows detected; conservative capping is safer", "medium"))
-    if h.skewed:
-        issue(f"Skewed numeric features detected: {len(h.skewed)}")
-        positive = sum((h.numeric[c]["min"] or 0.0) > 0 for c in h.skewed)
-        if positive:
-            fix(("log_transform", f"{positive} skewed positive numeric columns found", "medium"))
-        else:
-            fix(("power_transform", "Skewed numeric columns include non-positive values", "low"))
-    if h.categorical:
-        issue(f"Categorical columns detected: {len(h.categorical)}")
-        low = sum(n <= LOW_CARDINALITY for n in h.categorical.values())
-        high = len(h.categorical) - low
-        if low:
-            fix(("one_hot_encoding", f"{low} low-cardinality categorical columns", "high"))
-        if high:
-            fix(("frequency_encoding", f"{high} high-cardinality categorical columns", "high"))
-    if h.inconsistent:
-        issue(f"Possible type inconsistencies: {len(h.inconsistent)}")
-        fix(("fix_column_types",
-             f"{len(h.inconsistent)} columns look numeric/datetime but are stored as text", "medium"))
-    if h.balance["imbalanced"]:
-        issue("Class imbalance detected")
-        fix(("class_weight_or_resampling", f"Imbalance ratio is {h.balance['ratio']}", "medium"))
-    spread = P.scale_spread(h.numeric)
-    if spread is not None and spread >= 10.0:
-        fix(("normalize_numeric_features", f"Numeric feature scale spread ratio is {spread:.2f}", "medium"))
+    few = sum(n <= LOW_CARDINALITY for n in h.categorical.values())
+    far = h.outlier_rows / rows
+    return {"rows": rows, "near": len(h.numeric) >= 2 and rows >= 30, "far": far,
+            "gaps": h.missing_in(h.numeric), "label_gaps": h.missing_in(h.categorical),
+            "forest": len(h.numeric) >= 3 and rows >= 100 and far >= 0.02,
+            "positive": sum((h.numeric[c]["min"] or 0.0) > 0 for c in h.skewed),
+            "few": few, "many": len(h.categorical) - few, "spread": P.scale_spread(h.numeric)}
+
+
+def _advise(h: Health) -> None:
+    x = _weighed(h)
+    h.issues.extend(text(h, x) for holds, text in ISSUES if holds(h, x))
+    h.fixes.extend((name, reason(h, x), sure if isinstance(sure, str) else sure(h, x))
+                   for holds, name, reason, sure in FIXES if holds(h, x))
 
 
 def health_table(df: DataFrame, health: Health | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from millrace.operators.profile import table_of
 from millrace.operators.quantiles import percentiles
 from millrace.operators.scale import QuantileTransform, Standardize
 from millrace.operators.select import VarianceThreshold
+from millrace.plans.autoclean import auto_clean
 from workload.base import LINEITEM_NUMERIC, embedding_columns, query, rounded, union_sql
 
 
@@ -113,6 +114,33 @@ def _(t):
                       F.count_if(F.col("is_outlier") & (F.col("c_custkey") < 0)).alias("planted"))
 
 
+def standard(df, columns):
+    """Columns whose mean is 0, and whose standard deviation is 1."""
+    facts = [f for c in columns for f in (F.avg(c), F.stddev_pop(c))]
+    got = df.agg(F.count(F.lit(1)), *facts).first()
+    means, stds = got[1::2], got[2::2]
+    return got[0], sum(abs(m) < 1e-6 for m in means), sum(abs(s - 1) < 1e-6 for s in stds)
+
+
+@query("auto_clean_lineitem", """SELECT ceil(count(*) * 0.95)::BIGINT AS rows, 8::BIGINT AS centred, 8::BIGINT AS scaled,
+  'isolation_forest_outlier_removal,one_hot_encoding,standardization' AS steps FROM lineitem""")
+def _(t):
+    """All columns and rows of `lineitem`: the forest removes a twentieth, and the numbers come out standardised."""
+    done = auto_clean(t("lineitem"))
+    rows, centred, scaled = standard(done.table, LINEITEM_NUMERIC)
+    return table_of(t("lineitem"), [(rows, centred, scaled, ",".join(done.steps))], "rows long, centred long, scaled long, steps string")
+
+
+@query("auto_clean_wide", "SELECT ceil(count(*) * 0.95)::BIGINT AS rows, 11::BIGINT AS components, 11::BIGINT AS centred FROM embeddings")
+def _(t):
+    """A table of 128 numbers ends in principal components."""
+    df = embedding_columns(t).drop("vec_id")
+    df = df.select("*", *[(F.col(c) * F.abs(F.col(c))).alias(f"s_{c}") for c in df.columns])
+    table = auto_clean(df).table
+    rows, centred, _ = standard(table, table.columns)
+    return table_of(df, [(rows, sum(c.startswith("pca_") for c in table.columns), centred)], "rows long, components long, centred long")
+
+
 # ---------------------------------------------------------------- constant columns
 
 def with_constant(t):
