@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace import schema as S
-from millrace.base import Fitted, Step, step
+from millrace.base import Step, step
 from millrace.operators.lookup import lookup_join
 from millrace.operators.profile import base_facts, distinct_tally, value_counts
 from millrace.operators.quantiles import percentiles
 from millrace.operators.scale import NumericStep, filled, numeric_step, _mean_filled
+from millrace.runtime import BROADCAST_BYTES, scratch_path, settle
 from millrace.schema import col, dbl
 
 # Widest table an encoder may build; beyond it the long form is the way.
 MAX_WIDTH = 5_000
-# Categories that may be carried as literals inside a saved step.
-MAX_LITERALS = 100_000
 
 
 def _encoded(df: DataFrame, columns, purpose="encoding") -> list[str]:
     columns = columns or S.cat_encode(df)
     S.require(df, columns)
     if not columns:
-        raise ValueError(f"No categorical columns found for {purpose}")
+        raise ValueError(f"{purpose} needs at least one column of text")
     return columns
 
 
@@ -34,7 +33,7 @@ def categories(df: DataFrame, columns: list[str], limit: int, with_null: bool) -
     """
     sizes = distinct_tally(df, columns)
     if sum(sizes.values()) > limit:
-        raise ValueError(f"{sum(sizes.values())} categories pass the limit of {limit}; use the long form")
+        raise ValueError(f"{sum(sizes.values())} categories pass the limit of {limit}; `one_hot_long` has none")
     values = value_counts(df, columns).select("column", "value")
     if not with_null:
         values = values.filter(F.col("value").isNotNull())
@@ -84,94 +83,87 @@ def one_hot_long(df: DataFrame, key: list[str], columns: list[str] | None = None
     return df.select(*[col(k) for k in key], F.explode(F.array(*cells)).alias("feature"))
 
 
-@step("ordinal")
-class Ordinal(Step):
-    """Position in the sorted categories as double; null stays null, unseen is -1."""
+class ValueCodes(Step):
+    """Steps that put a number in the place of each value, by a table of (column, value, count, code).
 
-    @classmethod
-    def defaults(cls):
-        return {"columns": None, "max_categories": MAX_LITERALS}
+    The table is settled in the shared folder, whatever its size, and a saved step holds its path. `code` is the value's
+    place in the sorted values of its column: values are range-partitioned, and each partition's places begin where the
+    one before ended. Rows find their value by `lookup_join`.
+    """
 
     def learn(self, df):
         columns = _encoded(df, self.options["columns"])
-        return {"categories": categories(df, columns, self.options["max_categories"], False)}
+        counts = settle(value_counts(df, columns), "counts")
+        ordered = settle(counts.filter("value is not null").repartitionByRange("column", "value")
+                         .sortWithinPartitions("column", "value").withColumn("at", F.monotonically_increasing_id()), "ordered")
+        part = F.shiftright("at", 33)
+        starts = (ordered.groupBy("column", part.alias("part")).agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("n"))
+                  .withColumn("before", F.sum("n").over(Window.partitionBy("column").orderBy("part")) - F.col("n")).drop("n"))
+        path = scratch_path(df.sparkSession, "codes")
+        (ordered.withColumn("part", part).join(starts, ["column", "part"])
+         .select("column", "value", "count", (F.col("at") - F.col("low") + F.col("before")).alias("code")).write.parquet(path))
+        size = F.sum(F.octet_length("value") + 64)
+        sizes = {r["column"]: (r["n"], r["bytes"]) for r in
+                 ordered.groupBy("column").agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).collect()}
+        nulls = {r["column"]: r["count"] for r in counts.filter("value is null").collect()}  # one row for each column
+        return {"table": path, "columns": columns, "rows": df.count(), "nulls": nulls,
+                "values": {c: sizes.get(c, (0, 0))[0] for c in columns},
+                "small": {c: sizes.get(c, (0, 0))[1] <= BROADCAST_BYTES for c in columns}}
 
     @staticmethod
-    def apply(df, params):
-        for c, values in params["categories"].items():
-            rows = [(v, float(i)) for i, v in enumerate(values)]
-            codes = df.sparkSession.createDataFrame(rows, "__value string, __code double")
-            # At most MAX_LITERALS rows.
-            df = (df.join(F.broadcast(codes), col(c).cast("string") == F.col("__value"), "left")
-                  .withColumn(c, F.when(col(c).isNotNull(), F.coalesce("__code", F.lit(-1.0))))
-                  .drop("__value", "__code"))
+    def number(params: dict, name: str) -> Column:
+        """The result for a row, from the looked-up `__code` and `__count`."""
+        raise NotImplementedError
+
+    @classmethod
+    def replace(cls, df: DataFrame, params: dict) -> DataFrame:
+        table = df.sparkSession.read.schema("column string, value string, count bigint, code bigint").parquet(params["table"])
+        for c in params["columns"]:
+            facts = table.filter(F.col("column") == c).select(
+                F.col("value").alias("__key"), F.col("count").alias("__weight"), F.col("count").alias("__count"), F.col("code").alias("__code"))
+            joined = lookup_join(df.withColumn("__key", col(c).cast("string")), facts, "__key", "__weight", max(params["rows"], 1),
+                                 params["small"][c])
+            df = joined.withColumn(c, cls.number(params, c)).select(*[col(k) for k in df.columns])
         return df
 
-    def describe(self, params):
-        return {"encoded_columns": list(params["categories"]),
-                "n_categories": {c: len(v) for c, v in params["categories"].items()}}
 
+@step("ordinal")
+class Ordinal(ValueCodes):
+    """Position in the sorted categories as double; null stays null, unseen is -1."""
 
-class FrequencyModel(Fitted):
-    """Shares per value; kept as tables, since a column may have many values."""
+    @classmethod
+    def defaults(cls):
+        return {"columns": None}
 
-    def __init__(self, tables: dict[str, DataFrame], rows: int, small: dict[str, bool], null_share: dict[str, float]):
-        super().__init__("frequency_encoding", {"rows": rows}, None)
-        self.tables, self.rows, self.small, self.null_share = tables, rows, small, null_share
+    @staticmethod
+    def number(params, name):
+        return F.when(col(name).isNotNull(), F.coalesce(F.col("__code").cast("double"), F.lit(-1.0)))
 
-    def transform(self, df):
-        for c, table in self.tables.items():
-            facts = table.withColumnRenamed("value", "__key")
-            keyed = df.withColumn("__key", col(c).cast("string"))
-            joined = lookup_join(keyed, facts, "__key", "count", self.rows, self.small[c])
-            share = F.when(col(c).isNull(), F.lit(self.null_share[c])).otherwise(F.coalesce("__share", F.lit(0.0)))
-            df = joined.withColumn(c, share).select(*[col(k) for k in df.columns])
-        return df
+    @staticmethod
+    def apply(df, params):
+        return Ordinal.replace(df, params)
 
-    def to_dict(self):
-        """Saved with its values; an error when these are too many to be literals."""
-        values = {}
-        for c, table in self.tables.items():
-            if not self.small[c]:
-                raise ValueError(f"{c} has too many values to save; write the table of shares instead")
-            values[c] = {r["value"]: r["count"] for r in table.collect()}
-        return {"type": self.name, "params": {"rows": self.rows, "counts": values, "null_share": self.null_share}}
+    def describe(self, params):
+        return {"encoded_columns": params["columns"], "n_categories": params["values"]}
 
 
 @step("frequency_encoding")
-class Frequency(Step):
+class Frequency(ValueCodes):
     """Each value becomes its share of all rows, nulls counted; unseen is 0."""
 
     @classmethod
     def defaults(cls):
         return {"columns": None}
 
-    def fit(self, df):
-        from millrace.runtime import is_small, settle
-
-        columns = _encoded(df, self.options["columns"])
-        rows = df.count()
-        tables, small, null_share = {}, {}, {}
-        for c in columns:
-            counts = settle(df.groupBy(col(c).cast("string").alias("value"))
-                            .agg(F.count(F.lit(1)).alias("count"))
-                            .withColumn("__share", F.col("count") / F.lit(max(rows, 1))), "shares")
-            null = counts.filter(F.col("value").isNull()).first()
-            null_share[c] = null["__share"] if null else 0.0
-            tables[c] = counts.filter(F.col("value").isNotNull())
-            small[c] = is_small(tables[c])
-        return FrequencyModel(tables, rows, small, null_share)
+    @staticmethod
+    def number(params, name):
+        rows = float(max(params["rows"], 1))
+        share = F.coalesce(F.col("__count") / F.lit(rows), F.lit(0.0))
+        return F.when(col(name).isNull(), F.lit(params["nulls"].get(name, 0) / rows)).otherwise(share)
 
     @staticmethod
     def apply(df, params):
-        for c, counts in params["counts"].items():
-            rows = [(v, n / max(params["rows"], 1)) for v, n in counts.items()]
-            shares = df.sparkSession.createDataFrame(rows, "__key string, __share double")
-            share = F.when(col(c).isNull(), F.lit(params["null_share"][c])).otherwise(
-                F.coalesce("__share", F.lit(0.0)))
-            df = (df.join(F.broadcast(shares), col(c).cast("string") == F.col("__key"), "left")
-                  .withColumn(c, share).drop("__key", "__share"))
-        return df
+        return Frequency.replace(df, params)
 
 
 MIN_BIN = 1e-8

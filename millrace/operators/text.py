@@ -79,8 +79,7 @@ class Vectorizer(Step):
     @staticmethod
     def wide_form(df: DataFrame, terms: list[str], out: str) -> DataFrame:
         """One column per term, missing terms 0."""
-        as_map = F.map_from_entries(F.transform(F.col(out), lambda e: F.struct(e[0], e[1])))
-        mapped = df.withColumn("__m", as_map)
+        mapped = df.withColumn("__m", F.map_from_entries(F.col(out)))
         keep = [col(c) for c in df.columns if c != out]
         return mapped.select(*keep, *[F.coalesce(F.col("__m")[t], F.lit(0)).alias(t) for t in terms])
 
@@ -316,7 +315,11 @@ class WordVectors(Fitted):
 
 @step("word2vec")
 class Word2VecDocuments(Step):
-    """Skip-gram vectors of lower-cased words; a document is the mean over its known words."""
+    """Skip-gram vectors of lower-cased words; a document is the mean over its known words.
+
+    `partitions` train side by side, whatever the files; MLlib adds up what they learn in the order of arrival, so
+    only one partition gives the same digits each time.
+    """
 
     @classmethod
     def defaults(cls):
