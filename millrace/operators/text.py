@@ -197,7 +197,7 @@ class Sentiment(Step):
         if not lexicon:
             raise ValueError("sentiment needs a lexicon of words with valences")
         if len(lexicon) > MAX_TERMS:
-            raise ValueError(f"the lexicon may hold at most {MAX_TERMS} words")
+            raise ValueError(f"over {MAX_TERMS} words a lexicon belongs in a table: use sentiment_by_table")
         return {"text_column": self.options["text_column"], "lexicon": lexicon}
 
     @staticmethod
@@ -214,19 +214,43 @@ class Sentiment(Step):
         s = F.aggregate("__v", F.lit(0.0), lambda s, v: s + v)
         scored = scored.withColumns({"__s": s, "__pos": total_of(lambda v: v > 0), "__neg": total_of(lambda v: v < 0),
                                      "__neu": F.col("__words") - F.size("__v")})
-        s, pos, neg, neu = (F.col(f"__{c}") for c in ("s", "pos", "neg", "neu"))
-        total = pos + neg + neu
-
-        def share(x):
-            return F.when(total > 0, F.round(x / total, 3)).otherwise(F.lit(0.0))
-
-        compound = F.col("sentiment_compound")
-        out = scored.withColumns({
-            "sentiment_compound": F.round(s / F.sqrt(s * s + Sentiment.ALPHA), 4) + 0.0,
-            "sentiment_pos": share(pos), "sentiment_neu": share(neu), "sentiment_neg": share(neg),
-        }).withColumn("sentiment_label", F.when(compound >= Sentiment.POSITIVE, "positive")
-                      .when(compound <= Sentiment.NEGATIVE, "negative").otherwise("neutral"))
-        return out.drop("__hits", "__words", "__v", "__s", "__pos", "__neg", "__neu")
+        return _scores(scored).drop("__hits", "__words", "__v")
+
+
+def _scores(df: DataFrame) -> DataFrame:
+    """Scores and label from the sums `__s`, `__pos`, `__neg` and `__neu` of each row."""
+    s, pos, neg, neu = (F.col(f"__{c}") for c in ("s", "pos", "neg", "neu"))
+    total = pos + neg + neu
+
+    def share(x):
+        return F.when(total > 0, F.round(x / total, 3)).otherwise(F.lit(0.0))
+
+    compound = F.col("sentiment_compound")
+    return df.withColumns({
+        "sentiment_compound": F.round(s / F.sqrt(s * s + Sentiment.ALPHA), 4) + 0.0,
+        "sentiment_pos": share(pos), "sentiment_neu": share(neu), "sentiment_neg": share(neg),
+    }).withColumn("sentiment_label", F.when(compound >= Sentiment.POSITIVE, "positive")
+                  .when(compound <= Sentiment.NEGATIVE, "negative").otherwise("neutral")).drop("__s", "__pos", "__neg", "__neu")
+
+
+def sentiment_by_table(df: DataFrame, text_column: str, key: list[str], lexicon: DataFrame) -> DataFrame:
+    """The scores of `Sentiment` through a (word, valence) table of any size; `key` is unique per row."""
+    words = settle(df.select(*[col(k) for k in key], F.explode(word_tokens(col(text_column))).alias("word"))
+                   .groupBy(*[col(k) for k in key], "word").agg(F.count(F.lit(1)).alias("n")), "words")
+    rows = words.groupBy("word").agg(F.count(F.lit(1)).alias("__rows"))
+    table = (lexicon.select(F.lower("word").alias("word"), F.col("valence").cast("double").alias("v")).filter("v != 0")
+             .dropDuplicates(["word"]).join(rows, "word"))
+    found = lookup_join(words, table, "word", "__rows", max(words.count(), 1))
+    # Exact sums, whatever the order of the words.
+    n, v = F.col("n"), F.col("v").cast("decimal(18,8)")
+    weight = n * (F.abs(v) + 1)
+    sums = found.groupBy(*[col(k) for k in key]).agg(
+        F.sum(n * v).cast("double").alias("__s"), F.sum(F.when(v > 0, weight)).cast("double").alias("__pos"),
+        F.sum(F.when(v < 0, weight)).cast("double").alias("__neg"),
+        F.sum(F.when(v.isNull(), n)).cast("double").alias("__neu"))
+    joined = df.join(sums, key, "left").fillna(0.0, ["__s", "__pos", "__neg", "__neu"])
+    scores = [f"sentiment_{k}" for k in ("compound", "pos", "neu", "neg", "label")]
+    return _scores(joined).select(*[col(c) for c in df.columns], *scores)
 
 
 def label_distribution(df: DataFrame, label: str = "sentiment_label") -> DataFrame:
