@@ -11,7 +11,7 @@ from millrace.operators.lookup import lookup_join
 from millrace.operators.profile import base_facts, distinct_tally, value_counts
 from millrace.operators.quantiles import percentiles
 from millrace.operators.scale import NumericStep, filled, numeric_step, _mean_filled
-from millrace.runtime import BROADCAST_BYTES, scratch_path, settle
+from millrace.runtime import BROADCAST_BYTES, release, scratch_path, settle
 from millrace.schema import col, dbl
 
 # Widest table an encoder may build; beyond it the long form is the way.
@@ -106,6 +106,8 @@ class ValueCodes(Step):
         sizes = {r["column"]: (r["n"], r["bytes"]) for r in
                  ordered.groupBy("column").agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).collect()}
         nulls = {r["column"]: r["count"] for r in counts.filter("value is null").collect()}  # one row for each column
+        release(ordered)
+        release(counts)
         return {"table": path, "columns": columns, "rows": df.count(), "nulls": nulls,
                 "values": {c: sizes.get(c, (0, 0))[0] for c in columns},
                 "small": {c: sizes.get(c, (0, 0))[1] <= BROADCAST_BYTES for c in columns}}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.base import step
 from millrace.operators.quantiles import percentiles
 from millrace.operators.scale import NumericStep, _filled_spread, chosen, filled
-from millrace.runtime import settle
+from millrace.runtime import release, settle
 
 TREES = 100
 SAMPLE = 256
@@ -96,7 +96,10 @@ def _trees(df: DataFrame, columns: list[str], rows: int, seed: int) -> list[dict
 
     found = drawn.groupBy("tree").applyInPandas(
         build, "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, path array<double>")
-    return [r.asDict() for r in found.orderBy("tree").collect()]
+    trees = [r.asDict() for r in found.orderBy("tree").collect()]
+    release(taken)
+    release(values)
+    return trees
 
 
 def score_column(columns: list[Column], trees: list[dict], sample: int) -> Column:
@@ -141,7 +144,9 @@ class IsolationForest(NumericStep):
         means, trees, sample, rows = self._grown(df)
         values = [filled(c, m) for c, m in means.items()]
         scores = settle(df.select(score_column(values, trees, sample).alias("score")), "scores")
-        return self._params(means, trees, sample, rows, scores, "score")
+        params = self._params(means, trees, sample, rows, scores, "score")
+        release(scores)
+        return params
 
     def _grown(self, df):
         columns = chosen(df, self.options, "outlier detection")

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace import schema as S
+from millrace.operators.lookup import lookup_join
 from millrace.operators.moments import pair_moments
 from millrace.operators.quantiles import percentiles
-from millrace.runtime import agg_rows
+from millrace.runtime import agg_rows, release, settle
 from millrace.schema import col, dbl
 
 # Names that mark a target column, in the order they are tried.
@@ -228,21 +229,34 @@ def groupable(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
             else col(c) for c in columns]
 
 
-def duplicate_count(df: DataFrame, subset: list[str] | None = None) -> int:
-    """Rows beyond the first copy; null equals null.
+def copy_tally(df: DataFrame, subset: list[str] | None = None) -> tuple[int, int]:
+    """Rows, and rows beyond the first copy; null equals null.
 
-    Grouping combines copies before the shuffle, so a hot row costs one entry per task.
+    Rows are grouped by two 64-bit hashes, so only hashes are shuffled; whole rows are compared only where a pair of hashes
+    occurs more than once, and are combined per task before they meet.
     """
-    copies = df.select(*groupable(df, subset)).groupBy(*[col(c) for c in (subset or df.columns)]).count()
-    return copies.agg(F.sum(F.col("count") - 1).alias("n")).first()["n"] or 0
+    cells = df.select(*groupable(df, subset))
+    names = [col(c) for c in cells.columns]
+    keyed = cells.withColumn("__h", F.struct(F.xxhash64(*names).alias("a"), F.xxhash64(F.lit(1), *names).alias("b")))
+    tally = keyed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
+    rows, beyond = tally.agg(F.sum("__n"), F.sum(F.col("__n") - 1)).first()
+    if not beyond:
+        return rows or 0, 0
+    shared = settle(tally.filter("__n > 1").withColumn("__shared", F.lit(True)), "copies")
+    again = lookup_join(keyed, shared, "__h", "__n", rows).filter("__shared").groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    found = again.agg(F.sum(F.col("__n") - 1)).first()[0] or 0
+    release(shared)
+    return rows, found
+
+
+def duplicate_count(df: DataFrame, subset: list[str] | None = None) -> int:
+    return copy_tally(df, subset)[1]
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    copies = df.select(*groupable(df)).groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
-    total = copies.agg(F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("duplicates"))
-    return total.select(
-        F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("duplicates", F.lit(0)).alias("duplicates"),
-        F.coalesce(F.col("duplicates") / F.col("rows") * 100, F.lit(0.0)).alias("duplicate_pct"))
+    rows, duplicates = copy_tally(df)
+    return table_of(df, [(rows, duplicates, duplicates / rows * 100 if rows else 0.0)],
+                    "rows bigint, duplicates bigint, duplicate_pct double")
 
 
 # ---------------------------------------------------------------- values

@@ -16,7 +16,7 @@ from millrace.base import Fitted, Step, step
 from millrace.functions.lookups import literal_lookup
 from millrace.functions.text import SPACE, ngrams, space_tokens, word_tokens
 from millrace.operators.lookup import lookup_join
-from millrace.runtime import is_small, settle
+from millrace.runtime import is_small, release, settle
 from millrace.schema import col
 
 # Terms that may be carried as literals in a plan.
@@ -465,4 +465,5 @@ class TopicModel(Step):
         table = settle(counts(df).select("features"), "topics")
         model = LDA(k=p["n_topics"], maxIter=p["max_iter"], seed=p["seed"], optimizer="online", subsamplingRate=1.0,
                     featuresCol="features").fit(table)
+        release(table)
         return Topics(model, vocabulary, p, counts)

@@ -65,6 +65,16 @@ def settle(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Remove the files of a settled table that nothing will read again."""
+    spark = df.sparkSession
+    paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath()):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def agg_rows(df: DataFrame, exprs: list[Column]) -> list:
     """Values of many global aggregates, in order; one job per AGG_CHUNK of them."""
     out: list = []

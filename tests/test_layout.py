@@ -118,3 +118,15 @@ def test_word_vectors_on_any_layout(spark):
     a, b = ({r["id"]: r["w2v"] for r in step.fit(df.repartition(k)).transform(df).collect()} for k in (1, 5))
     assert a[99] == a[100] == [0.0] * 4 and any(a[0])
     assert all(a[i] == pytest.approx(b[i], abs=1e-6) for i in a)
+
+
+def test_copies_are_counted_exactly(spark, monkeypatch):
+    rows = [(i % 50, None if i % 3 else "x", float(i % 2) * -0.0) for i in range(400)] + [(None, "a", 0.0), ("a" and None, "a", -0.0)]
+    df = spark.createDataFrame(rows, "a long, b string, c double").repartition(5)
+    plain = len(rows) - len(set(rows))
+    assert P.copy_tally(df) == (len(rows), plain)
+    assert P.duplicate_count(df, ["b"]) == len(rows) - 3
+    # Where the hashes of different rows meet, the rows themselves decide.
+    monkeypatch.setattr(P.F, "xxhash64", lambda *c: F.lit(7).cast("bigint"))
+    assert P.copy_tally(df) == (len(rows), plain)
+    assert P.copy_tally(df.limit(0)) == (0, 0)
