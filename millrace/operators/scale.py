@@ -294,7 +294,7 @@ class Winsorize(NumericStep):
     def learn_columns(self, df, columns):
         low, high = self.options["lower"], self.options["upper"]
         if not 0 <= low < high <= 1:
-            raise ValueError("Quantiles must satisfy 0 <= lower < upper <= 1")
+            raise ValueError("lower and upper are shares, lower below upper")
         return {c: {"low": q[0], "high": q[1]} for c, q in percentiles(df, columns, [low, high]).items()}
 
     @classmethod

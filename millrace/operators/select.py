@@ -103,7 +103,7 @@ class VarianceThreshold(Step):
         keep = {c: f["mean"] for c, f in spread.items()
                 if f["std_pop"] is not None and f["std_pop"] ** 2 > self.options["threshold"]}
         if not keep:
-            raise ValueError("No feature meets the variance threshold")
+            raise ValueError("no column varies by more than the threshold")
         return {"keep": keep, "numeric": columns}
 
     @staticmethod

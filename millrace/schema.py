@@ -92,4 +92,4 @@ def is_missing(df: DataFrame, name: str) -> Column:
 def require(df: DataFrame, columns) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing columns: {missing}")
+        raise ValueError(f"the table has no {missing}")

@@ -53,7 +53,7 @@ class Catalog:
         The sample is the first three rows by `order_by`, or any three.
         """
         if visibility not in VISIBILITIES:
-            raise ValueError(f"Unknown visibility: {visibility}")
+            raise ValueError(f"no such visibility: {visibility}")
         dataset_id = dataset_id or uuid.uuid4().hex[:12]
         path = None
         if save_file:
@@ -78,7 +78,7 @@ class Catalog:
     def load(self, dataset_id: str) -> DataFrame:
         row = self.entries().filter(F.col("dataset_id") == dataset_id).select("path").first()
         if row is None or row["path"] is None:
-            raise ValueError(f"Dataset not found: {dataset_id}")
+            raise ValueError(f"no dataset {dataset_id}")
         return self.spark.read.parquet(row["path"])
 
     def _newest(self, df: DataFrame, limit: int, offset: int = 0) -> DataFrame:

@@ -54,7 +54,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
     elif fmt == "parquet":
         df = read_parquet(spark, path)
     else:
-        raise ValueError(f"Unsupported file format: {fmt}")
+        raise ValueError(f"no reader for {fmt}")
     if df.isEmpty():
         raise ValueError("the table is empty")
     return nan_to_null(df)
@@ -72,7 +72,7 @@ def read_object(spark: SparkSession, bucket: str, key: str, access_key: str | No
                 scheme: str = "s3a://", schema: str | T.StructType | None = None) -> DataFrame:
     """An object of a store; `scheme` may also be file:// for a mounted one."""
     if file_format not in ("csv", "json", "parquet"):
-        raise ValueError(f"Unsupported file format: {file_format}")
+        raise ValueError(f"no reader for {file_format}")
     path = f"{scheme}{bucket.rstrip('/')}/{key.lstrip('/')}"
     reader = spark.read.options(**object_store_options(access_key, secret_key, region))
     if schema:
@@ -97,9 +97,9 @@ def database_options(kind: str, *, table: str | None = None, query: str | None =
                      num_partitions: int | None = None, fetch_size: int = 10_000) -> dict[str, str]:
     """JDBC options for a table or a query; with a partition column the scan runs in parallel."""
     if not table and not query:
-        raise ValueError("Either table or query must be given")
+        raise ValueError("name a table or give a query")
     if kind not in DATABASES:
-        raise ValueError(f"Unsupported database: {kind}")
+        raise ValueError(f"no driver settings for {kind}")
     pattern, default_port = DATABASES[kind]
     options = {"url": pattern.format(host=host, port=port or default_port, database=database, path=path),
                "fetchsize": str(fetch_size)}

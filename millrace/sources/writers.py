@@ -14,4 +14,4 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorif
     elif fmt == "parquet":
         df.write.mode(mode).parquet(path)
     else:
-        raise ValueError(f"Unsupported format: {fmt}")
+        raise ValueError(f"no writer for {fmt}")
