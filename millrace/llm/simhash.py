@@ -5,7 +5,7 @@ them that is at most 1 bit from the one and at most 2 from the other. The points
 for each fingerprint, so they are listed in two steps. First one of three blocks of bits is left out (some block
 holds a differing bit) and each fingerprint emits what is left and all its variants at 1 bit, 131 in all.
 Fingerprints that are alone on all their variants have no link. The others emit the full points that go with a
-shared variant. On a point, everything within 2 bits links with anything within 1 bit, so all members get a link to
+shared variant, as far as bits in which its members differ lead to them. On a point, everything within 2 bits links with anything within 1 bit, so all members get a link to
 the least such one: links grow with the members, never with their pairs, and no link is lost. Equal fingerprints
 are one node from the start, and each link is verified by its bits.
 
@@ -67,24 +67,36 @@ def _masks(bits: list[int]) -> Column:
 def links(fps: DataFrame) -> DataFrame:
     """a, b for distinct fingerprints `fp`: links that join exactly those that chains of <= 3 bits join."""
     points = None
+    on_variant = Window.partitionBy("v")
     for begin, end in BLOCKS:
         inside = [1 << i for i in range(begin, end)]
         outside = [1 << i for i in range(64) if not begin <= i < end]
         keep = F.col("fp").bitwiseAND(_masks([sum(outside)])[0])
         variants = fps.select("fp", F.explode(_masks([0, *outside])).alias("flip")).select(
             "fp", keep.bitwiseXOR(F.col("flip")).alias("v"))
-        shared = variants.withColumn("n", F.count("*").over(Window.partitionBy("v"))).filter("n > 1")
-        shared = shared.select("fp", "v", F.bit_count(keep.bitwiseXOR(F.col("v"))).alias("d"))
-        # The block comes back: unchanged or at 1 bit, and at 2 bits where nothing else was changed.
+        shared = variants.withColumn("n", F.count("*").over(on_variant)).filter("n > 1").withColumns({
+            "least": F.min("fp").over(on_variant),
+            "apart": F.expr("bit_or(fp)").over(on_variant).bitwiseXOR(F.expr("bit_and(fp)").over(on_variant)),
+            "whole": F.sum((keep == F.col("v")).cast("int")).over(on_variant)})
+        # Bits in which members differ: if they are few, all members link with the least; two members with many don't link.
+        close = F.bit_count("apart") <= RADIUS
+        shared = shared.filter(close | (F.col("n") > 2))
+        # Else the block comes back: unchanged, at 1 bit, and, among members with nothing else changed, at 2 bits. Only
+        # bits in which some members differ can lead to a point that two of them reach.
         near = [0, *inside]
         far = [x | y for i, x in enumerate(inside) for y in inside[:i]]
-        back = F.when(F.col("d") == 0, _masks(near + far)).otherwise(_masks(near))
-        own = F.col("fp").bitwiseAND(_masks([sum(inside)])[0])
-        made = shared.select("fp", "v", "d", F.explode(back).alias("flip")).select(
-            "fp", F.col("v").bitwiseOR(own.bitwiseXOR(F.col("flip"))).alias("p"), (F.col("d") + F.bit_count("flip")).alias("cost"))
+        flips = F.when((keep == F.col("v")) & (F.col("whole") > 1), _masks(near + far)).otherwise(_masks(near))
+        useful = F.filter(flips, lambda x: x.bitwiseAND(F.bitwise_not(F.col("apart"))) == 0)
+        base = F.col("v").bitwiseOR(F.col("fp").bitwiseAND(_masks([sum(inside)])[0]))
+        made = shared.withColumn("base", base).select("fp", F.explode(F.when(close, F.array("least")).otherwise(
+            F.transform(useful, lambda x: F.col("base").bitwiseXOR(x)))).alias("p"))
         points = made if points is None else points.unionByName(made)
-    hub = F.min(F.when(F.col("cost") <= 1, F.col("fp"))).over(Window.partitionBy("p"))
-    star = points.withColumn("hub", hub).filter("hub != fp").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    # On a point the nearest member is the hub; from 1 bit away it reaches what is within 2, on the point itself what is
+    # within 3.
+    points = points.withColumn("cost", F.bit_count(F.col("fp").bitwiseXOR(F.col("p"))))
+    hub = F.min(F.struct("cost", "fp")).over(Window.partitionBy("p"))
+    star = points.withColumn("hub", hub).filter("hub.cost <= 1 and hub.fp != fp").select(
+        F.col("fp").alias("a"), F.col("hub.fp").alias("b"))
     return star.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
 
 
