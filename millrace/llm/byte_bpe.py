@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.batches import bounded_batches
 from millrace.llm.hashing import HashTable
 from millrace.llm.ragged import ChunkStore, ragged
 from millrace.schema import col
@@ -207,7 +208,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
         return pd.Series([x[0] for x in byte_bpe(ranks, pattern).encode(list(texts))], dtype=object)
 
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    return docs.select(col(id_col).alias(id_col), ids(text).alias("ids"))
+    return bounded_batches(docs).select(col(id_col).alias(id_col), ids(text).alias("ids"))
 
 
 def decode_documents(encoded: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -233,4 +234,4 @@ def digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", t
                              "decoded_sha256": [hashlib.sha256(x[2]).hexdigest() for x in rows]})
 
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    return docs.select(col(id_col).alias(id_col), both(text).alias("__r")).select(col(id_col), "__r.*")
+    return bounded_batches(docs).select(col(id_col).alias(id_col), both(text).alias("__r")).select(col(id_col), "__r.*")

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.llm.batches import bounded_batches
 from millrace.schema import col
 
 PER_LABEL = 1500   # bound of the sample, for each label
@@ -121,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return pd.DataFrame({"at": [m[0].astype("i4") for m in made], "weight": [m[1] for m in made]})
 
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(col(id_col).alias("id"), text.alias("text")).join(picked, "id")
+    rows = bounded_batches(docs).select(col(id_col).alias("id"), text.alias("text")).join(picked, "id")
     rows = rows.select("label", "id", F.xxhash64("text").alias("h"), bag("text").alias("b"))
     nth = F.row_number().over(Window.partitionBy("label").orderBy(order, "id", "h"))
     sample = rows.withColumn("nth", nth).filter(F.col("nth") <= PER_LABEL).select("label", "b.*").collect()
@@ -160,7 +161,7 @@ def _directions(matrix: np.ndarray, rank: int) -> np.ndarray:
 
 
 def _score_column(docs: DataFrame, model: Model, text_col: str) -> Column:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.batches import bounded_batches
 from millrace.schema import col
 
 SPACE = " \t\n\r\x0b\x0c"
@@ -107,13 +108,13 @@ def _judged(docs: DataFrame, text_col: str, with_text: bool):
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the counts, base_failed, kept, n_failed_lines and lost_chars of every row. One pass, no shuffle."""
-    return (docs.select(col(id_col).alias(id_col), _judged(docs, text_col, False).alias("__r"))
+    return (bounded_batches(docs).select(col(id_col).alias(id_col), _judged(docs, text_col, False).alias("__r"))
             .select(col(id_col), "__r.*"))
 
 
 def clean(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The kept documents without their failed lines, all columns in place; `length_col` is counted again."""
-    judged = docs.withColumn("__quality", _judged(docs, text_col, True)).filter("__quality.kept")
+    judged = bounded_batches(docs).withColumn("__quality", _judged(docs, text_col, True)).filter("__quality.kept")
     text = F.col("__quality.text")
     return judged.select(*[text.alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c)
                            if c == length_col else col(c) for c in docs.columns])

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.llm.batches import bounded_batches
 from millrace.llm.links import components
 from millrace.operators.lookup import lookup_join
 from millrace.runtime import settle
@@ -56,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.Series([fingerprint(t.encode()) for t in texts], dtype="int64")
 
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    return docs.select(col(id_col).alias("id"), run(text).alias("fp"))
+    return bounded_batches(docs).select(col(id_col).alias("id"), run(text).alias("fp"))
 
 
 def _masks(bits: list[int]) -> Column:

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.batches import bounded_batches
 from millrace.llm.hashing import HashTable
 from millrace.llm.ragged import ChunkStore, ragged
 from millrace.schema import col
@@ -202,6 +203,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
         return pd.Series(word_bpe(tokenizer).count([t.encode() for t in texts]))
 
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    return (docs.select(col(id_col).alias(id_col), text.alias("__text"))
+    return (bounded_batches(docs).select(col(id_col).alias(id_col), text.alias("__text"))
             .select(col(id_col), F.octet_length("__text").cast("long").alias("n_bytes"), tokens("__text").alias("n_tokens"))
             .withColumn("over_limit", F.col("n_tokens") > limit))
