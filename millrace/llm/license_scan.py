@@ -1,8 +1,9 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with license templates.
 
-Only DataFrame functions are used. A block is a sentence: what stands between line breaks and between marks of
-.!?; before a space. Its words are a set, and so are a template's; a template is found in a block that holds at least
-`THRESHOLD` of its words and has at most `MAX_BLOCK` times as many distinct words. The join is exact:
+Only DataFrame functions are used. A block is a sentence, over all the lines it is wrapped to: what stands between marks
+of .!? before white space (but for "v. 2") and between lines without a word. Its words are a set, and so are a template's;
+a template is found in a block that holds at least `THRESHOLD` of its words and has at most `MAX_BLOCK` times as many
+distinct words. The join is exact:
 * the words of all templates are ordered by how often they occur in all documents, rarest first;
 * prefix filter: a block that meets the threshold holds one of a template's first n - ceil(t n) + 1 words, so only
   blocks with such a word go on;
@@ -28,7 +29,9 @@ from millrace.schema import col
 
 # Words are runs of ASCII letters and digits and of all characters outside ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK_END = r"[.!?;]+[ \t]+|\n"
+BLOCK_END = r"[.!?;]+[ \t]+|\n"  # the blocks of the SQL, which ends them at each line break
+# A line without a word may hold comment marks.
+SENTENCE_END = r"[.!?]+\s++(?![0-9])|\n[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*+\n"
 THRESHOLD = 0.9
 MAX_BLOCK = 4
 
@@ -113,7 +116,7 @@ def matches(docs: DataFrame) -> DataFrame:
         sets.append((i, label, ranked, n, need(n)))
         index += [(w, i, p, n, need(n)) for p, w in enumerate(ranked[:n - need(n) + 1])]
     prefix = sorted({row[0] for row in index})
-    blocks = (docs.select("id", "h", F.explode(F.split("low", BLOCK_END)).alias("block"))
+    blocks = (docs.select("id", "h", F.explode(F.split("low", SENTENCE_END)).alias("block"))
               .select("id", "h", words_of(F.col("block")).alias("words"))
               .filter(F.arrays_overlap("words", F.array(*map(F.lit, prefix))))
               .select("id", "h", F.array_distinct("words").alias("words")))

@@ -127,6 +127,21 @@ def test_license_scan_against_sql(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+WRAPPED = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation\nfiles"),
+    ("mit", "# The above copyright notice and this permission notice shall be included in\n# all copies or substantial portions of the Software."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"),
+    ("isc", " * Permission to use, copy, modify, and/or distribute this software for any\r\n * purpose with or without fee is hereby granted, provided"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"),
+    ("gpl", "This program is free software; you can redistribute it\nand/or modify it under the terms of the GNU General\nPublic License as published by the Free Software Foundation"),
+    ("", "All the seats are taken.\nRights are\n *\nreserved")]
+
+
+def test_licenses_wrapped_over_lines_are_found(spark):
+    df = spark.createDataFrame([(i, f"Copyright someone\n\n{text}\n\nmore") for i, (_, text) in enumerate(WRAPPED)], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in license_scan.scan(df).collect()} == {i: label for i, (label, _) in enumerate(WRAPPED)}
+
+
 def plain_fingerprint(text):
     words = text.encode().lower().split()
     shingles = [b" ".join(words[i:i + 3]) for i in range(max(len(words) - 2, 1))] if words else []
