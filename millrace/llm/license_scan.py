@@ -2,12 +2,11 @@
 
 Only DataFrame functions are used. A block is a sentence, over all the lines it is wrapped to: what stands between marks
 of .!? before white space (but for "v. 2") and between lines without a word. Its words are a set, and so are a template's;
-a template is found in a block that holds at least `THRESHOLD` of its words and has at most `MAX_BLOCK` times as many
-distinct words. The join is exact:
+a template is found in a block, of any length, that holds at least `THRESHOLD` of its words. The join is exact:
 * the words of all templates are ordered by how often they occur in all documents, rarest first;
 * prefix filter: a block that meets the threshold holds one of a template's first n - ceil(t n) + 1 words, so only
   blocks with such a word go on;
-* length filter: the block's distinct words lie between ceil(t n) and MAX_BLOCK n;
+* length filter: the block has at least ceil(t n) distinct words;
 * positional filter: if the first common word is the template's word number p, at most n - p words can be common;
 * what is left is verified by the intersection itself.
 The templates are few and fixed, so their index is broadcast; nothing else is.
@@ -33,7 +32,7 @@ BLOCK_END = r"[.!?;]+[ \t]+|\n"  # the blocks of the SQL, which ends them at eac
 # A line without a word may hold comment marks.
 SENTENCE_END = r"[.!?]+\s++(?![0-9])|\n[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*+\n"
 THRESHOLD = 0.9
-MAX_BLOCK = 4
+MAX_BLOCK = 4  # the SQL's bound on a block's distinct words; the scan has none
 
 # Phrases of the base labels.
 PHRASES = [(("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl")]
@@ -126,7 +125,7 @@ def matches(docs: DataFrame) -> DataFrame:
     first = F.array_intersect("words", F.array(*map(F.lit, prefix)))
     size = F.size("words")
     candidates = (blocks.select("id", "h", "words", F.explode(first).alias("w")).join(index_df, "w")
-                  .filter((size >= F.col("need")) & (size <= MAX_BLOCK * F.col("n")))
+                  .filter(size >= F.col("need"))
                   .groupBy("id", "h", "words", "t").agg(F.min("p").alias("p"), F.first("n").alias("n"), F.first("need").alias("need"))
                   .filter(F.col("n") - F.col("p") >= F.col("need")).drop("n", "need"))
     common = F.size(F.array_intersect("words", "ranked"))

@@ -142,6 +142,25 @@ def test_licenses_wrapped_over_lines_are_found(spark):
     assert {r["doc_id"]: r["labels"] for r in license_scan.scan(df).collect()} == {i: label for i, (label, _) in enumerate(WRAPPED)}
 
 
+def test_licenses_in_long_blocks_against_brute_force(spark):
+    rng = random.Random(11)
+    filler = [f"word{i}" for i in range(400)]
+    texts = ["Copyright 2024 Example Media Group Ltd and its affiliates in Europe and North America, all rights reserved"]
+    for _, template in license_scan.TEMPLATES:
+        words = template.split()
+        for keep in (len(words), len(words) - 1, len(words) - 3):
+            words = words[:max(keep, 0)]
+            texts.append(" ".join(rng.sample(filler, 300) + words + rng.sample(filler, 100)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for i, text in enumerate(texts):
+        block = set(text.lower().replace(",", "").split())
+        want[i] = ",".join(sorted({label for label, t in license_scan.TEMPLATES if 10 * len(block & set(t.split())) >= 9 * len(set(t.split()))}
+                                  | {label for phrase, label in license_scan.PHRASES if " ".join(phrase) in text}))
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(df).collect()}
+    assert got == want and got[0] == "all-rights-reserved" and all(got[1 + 3 * k] for k in range(len(license_scan.TEMPLATES)))
+
+
 def plain_fingerprint(text):
     words = text.encode().lower().split()
     shingles = [b" ".join(words[i:i + 3]) for i in range(max(len(words) - 2, 1))] if words else []
