@@ -113,6 +113,27 @@ def test_bin_completion_comes_near_the_bound():
     assert sequences(packing.plan(dict(zip(values.tolist(), n.tolist())), 4096)) <= -(-sizes.sum() // 4096) + 2
 
 
+@pytest.mark.parametrize("n", [1500, 2500, 9000])
+def test_many_shortest_pieces_are_planned(n):
+    assert sequences(packing.plan({1: n}, 4096)) == -(-n // 4096)
+    assert sequences(packing.plan({3: n, 4000: 2}, 4096)) == 2 + -(-(n - 64) // 1365)
+
+
+def test_fillings_waste_the_least_against_brute_force():
+    rng = random.Random(7)
+    for _ in range(300):
+        room = rng.randrange(1, 40)
+        counts = [0] * 41
+        for _ in range(rng.randrange(1, 6)):
+            counts[rng.randrange(1, 41)] = rng.randrange(1, 5)
+        sums = {0}
+        for size, n in enumerate(counts):
+            sums = {x + k * size for x in sums for k in range(n + 1)}
+        filling = packing.best_filling(room, counts, [s for s in range(41) if counts[s]])
+        assert sum(filling) == max(x for x in sums if x <= room)
+        assert filling == sorted(filling, reverse=True) and all(filling.count(s) <= counts[s] for s in filling)
+
+
 def test_packing_holds_every_token_once(spark, library):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["cat", "sat", "mat", "12"]) for _ in range(rng.randrange(40)))) for i in range(60)]
