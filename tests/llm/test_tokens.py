@@ -159,3 +159,19 @@ def test_packing_holds_every_token_once(spark, library):
     assert pieces == want
     assert len(by_sequence) <= -(-sum(r["length"] for r in got) // 32) + 1
     assert packing.pack(df.limit(0), P.path("word_bpe_49k.json")).count() == 0
+
+
+@pytest.mark.parametrize("texts", [["one two"] + [""] * 300, ["cat"] * 700 + [None] * 900 + ["one two three"] * 2])
+def test_many_short_copies_beside_few_lengths_leave_no_gaps(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.pack(df, P.path("word_bpe_49k.json"), capacity=4096).collect()
+    assert len(got) == len(texts)
+    by_sequence: dict[int, list] = {}
+    for r in got:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by_sequence.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 4096
