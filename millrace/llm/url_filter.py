@@ -1,7 +1,8 @@
 """URL filters by a temporal list join: each capture is judged by the list as it stood when the page was fetched.
 
 Only DataFrame functions are used. A list is a log of dated entries: a rule is added or removed. A rule is a domain
-(it covers the host and everything below it) or a host with leading path segments. The log becomes one row for each
+(it covers the host and everything below it) or a host with leading path segments; hosts are compared in lower case,
+paths as they stand. The log becomes one row for each
 rule with its validity intervals; a capture is looked up under every rule that could cover it (the ends of its host,
 the beginnings of its path) and its rule is in force if the fetch time lies in an interval, which is the as-of join.
 No more domain levels or path segments are tried than the longest rule has. Rules that cover many captures are looked
@@ -39,8 +40,11 @@ def segments_of(url: Column) -> Column:
 
 def intervals(entries: DataFrame, rule_col: str = "rule", action_col: str = "action", time_col: str = "at") -> DataFrame:
     """key and spans (array of since, until), for each rule that was ever added."""
-    log = (entries.select(F.lower(F.regexp_replace(col(rule_col), r"^\*?\.|/+$", "")).alias("key"), col(time_col).alias("at"),
-                          (col(action_col) == "add").alias("added"))
+    rule = F.regexp_replace(col(rule_col), r"^\*?\.|/+$", "")
+    host = F.substring_index(rule, "/", 1)
+    # Paths keep their case, as those of captures do.
+    key = F.concat(F.lower(host), F.substr(rule, F.length(host) + 1))
+    log = (entries.select(key.alias("key"), col(time_col).alias("at"), (col(action_col) == "add").alias("added"))
            .filter(F.col("key").isNotNull() & (F.col("key") != "") & F.col("at").isNotNull())
            .groupBy("key", "at").agg(F.max("added").alias("added")))
     by_key = Window.partitionBy("key").orderBy("at")

@@ -103,6 +103,16 @@ def test_urls_are_judged_at_fetch_time(spark):
     assert url_filter.judge(captures.limit(0), entries).count() == 0
 
 
+def test_path_rules_keep_their_case(spark):
+    log = [("Shop.NET/Sale", "add", DAY), ("*.Wild.com/A/b/", "add", DAY), ("PLAIN.org", "add", DAY)]
+    pages = [(1, "http://shop.net/Sale/1", DAY), (2, "http://SHOP.net/Sale", DAY), (3, "http://shop.net/sale/1", DAY),
+             (4, "http://wild.com/A/b", DAY), (5, "http://wild.com/a/b", DAY), (6, "http://plain.org/Any", DAY)]
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, fetched date"),
+                           spark.createDataFrame(log, "rule string, action string, at date")).collect()
+    assert {r["page_id"]: r["rule"] for r in got if r["blocked"]} == {
+        1: "shop.net/Sale", 2: "shop.net/Sale", 4: "wild.com/A/b", 6: "plain.org"}
+
+
 def test_native_plans_hold_no_python(spark):
     sf = "/root/testdata/sf0.001"
     for name in ("op3_url_filter", "op7_license_scan"):
