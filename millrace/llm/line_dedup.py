@@ -37,8 +37,9 @@ _BASE = np.uint64(0xD1342543DE82EF95)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, no (from 0), line and its hashes h1, h2, for all lines with a word."""
-    lines = docs.select(col(id_col).alias("id"), F.posexplode(F.split(col(text_col).cast("string"), "\n", -1)).alias("no", "line"))
+    """id, t (hash of the text), no (from 0), line and its hashes h1, h2, for all lines with a word."""
+    texts = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    lines = texts.select("id", "t", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
     return lines.filter(F.col("line").rlike(r"\S")).withColumns(
         {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
@@ -122,8 +123,8 @@ def near_matches(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
             .filter(F.levenshtein("line", "partner", 1) == 1).select("h1", "h2", "near").distinct())
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each line that goes: id, line_no, match_doc_id, match_line_no (the earliest match), n_edits."""
+def marked_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row for each line that goes: id, t (hash of its row's text), no, match (the earliest place), n_edits."""
     lines = lines_of(docs, id_col, text_col)
     facts = {f"k{i}": k for i, k in enumerate(_keys())}
     classes = (lines.withColumns(facts).groupBy("h1", "h2")
@@ -136,9 +137,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(F.col("near").isNull(), 0).otherwise(1).alias("n_edits"))
     known = settle(known, "known")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    thin = lines.select("id", "no", F.struct("h1", "h2").alias("h"))
+    thin = lines.select("id", "t", "no", F.struct("h1", "h2").alias("h"))
     marked = lookup_join(thin, known, "h", "n", max(total, 1), small=False)
-    return marked.filter(F.col("match") < _place()).select(
+    return marked.filter(F.col("match") < _place())
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each line that goes: id, line_no, match_doc_id, match_line_no (the earliest match), n_edits."""
+    return marked_lines(docs, id_col, text_col).select(
         F.col("id").alias(id_col), F.col("no").alias("line_no"), F.col("match.id").alias("match_doc_id"),
         F.col("match.no").alias("match_line_no"), "n_edits")
 
@@ -146,9 +152,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            length_col: str = "n_chars") -> DataFrame:
     """The documents without those lines, all columns in place; a document left without a word goes."""
-    gone = (repeated_lines(docs, id_col, text_col).groupBy(F.col(id_col).alias("__id"))
-            .agg(F.collect_set("line_no").alias("__gone")))
-    joined = docs.join(gone, col(id_col).eqNullSafe(F.col("__id")), "left")
+    gone = (marked_lines(docs, id_col, text_col).groupBy(F.col("id").alias("__id"), F.col("t").alias("__t"))
+            .agg(F.collect_set("no").alias("__gone")))
+    # Rows that share an id are told apart by their text, so only the row that holds a line loses it.
+    same = col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(col(text_col).cast("string")) == F.col("__t"))
+    joined = docs.join(gone, same, "left")
     parts = F.split(col(text_col), "\n", -1)
     # `__parts` is used twice, so Spark keeps it as a column and does not split anew for every line.
     kept = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone"))

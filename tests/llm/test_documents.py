@@ -109,6 +109,14 @@ def test_documents_without_repeated_lines(spark):
     assert line_dedup.without_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
+    rows = [(0, "common line"), (1, "alpha\ncommon line"), (1, "beta\nown line"), (None, "delta\ncommon line"), (None, "eps\nother line")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) as n_chars")
+    got = sorted(map(str, (tuple(r) for r in line_dedup.without_repeated_lines(df).collect())))
+    assert got == sorted(map(str, [(i, t, len(t)) for i, t in [(0, "common line"), (1, "alpha"), (1, "beta\nown line"), (None, "delta"),
+                                                              (None, "eps\nother line")]]))
+
+
 def test_license_scan_against_sql(spark):
     rows = [(1, "Released under the MIT License. mit license"), (2, None), (3, ""), (4, "Licensed under CC BY-NC 4.0."),
             (5, "This work is licensed under the GNU General Public License, version 3.\nApache\nlicense"),
