@@ -41,3 +41,22 @@ def components(links: DataFrame) -> DataFrame:
                               F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = settle(small.filter("u != v").distinct(), "links")
     raise RuntimeError("components did not settle")
+
+
+def least_ids(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """`rows` (id, node, ...) with `component`: the smallest id of all rows whose nodes the links (a, b) join.
+
+    A row without a node is alone. A null id is the smallest only if there is no other.
+    """
+    nodes = settle(rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("w")), "nodes")
+    joined = nodes.join(components(found), "node", "left")
+    joined = settle(joined.select("node", "least", "w", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked")), "nodes")
+    # Only linked nodes need their component's least id.
+    linked = joined.filter("linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("component"), F.sum("w").alias("size"))
+    total = max(rows.count(), 1)
+    in_links = lookup_join(linked.select("node", "w", "root"), least, "root", "size", total, small=False)
+    table = (in_links.select("node", "w", "component")
+             .unionByName(joined.filter("not linked").select("node", "w", F.col("least").alias("component"))))
+    alone = rows.filter("node is null").withColumn("component", F.col("id"))
+    return lookup_join(rows.filter("node is not null"), table, "node", "w", total, small=False).select(*rows.columns, "component").unionByName(alone)

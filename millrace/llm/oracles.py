@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import license_scan, line_dedup, url_filter
+from millrace.llm import fill_middle, license_scan, line_dedup, url_filter
 from millrace.llm import quality_rules as rules
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -101,3 +101,21 @@ hits AS (SELECT p.page_id, s.rule, s.since, row_number() OVER (PARTITION BY p.pa
 SELECT p.page_id, p.host, p.fetched::VARCHAR AS fetched, h.rule IS NOT NULL AS blocked, h.rule, h.since::VARCHAR AS since
 FROM parsed p LEFT JOIN hits h ON h.page_id = p.page_id AND h.nth = 1
 """
+
+_P, _S, _M = fill_middle.SENTINELS
+_PART = "array_to_string(list_slice(u, {}, {}), '')"
+
+FILL_MIDDLE = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{fill_middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+drawn AS (SELECT doc_id, text, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS y,
+    CASE WHEN text = '' OR contains(text, '{_P}') OR contains(text, '{_S}') OR contains(text, '{_M}')
+        OR ('0x' || h[17:24])::BIGINT % 100 >= {fill_middle.RATE} THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < {fill_middle.SPM_SHARE} THEN 'spm' ELSE 'psm' END AS form FROM docs),
+parts AS (SELECT *, {_PART.format(1, "least(x, y)")} AS prefix, {_PART.format("least(x, y) + 1", "greatest(x, y)")} AS middle,
+    {_PART.format("greatest(x, y) + 1", "n")} AS suffix FROM drawn)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form != 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form != 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{_P}' || prefix || '{_S}' || suffix || '{_M}' || middle
+    ELSE '{_S}' || suffix || '{_P}' || prefix || '{_M}' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts
+"""

@@ -1,4 +1,4 @@
-"""Registered queries of the operators: op1 to op10, each over its whole tables, and the corpus pipeline."""
+"""Registered queries of the operators: op1 to op13, each over its whole tables, and the corpus pipeline."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import (byte_bpe, hilbert, knn_quality, license_scan, line_dedup, packing, quality_rules, simhash, token_counts,
-                          url_filter)
+from millrace.llm import (byte_bpe, fill_middle, hilbert, knn_quality, license_scan, line_dedup, ngram_join, packing, quality_rules,
+                          simhash, spelling, token_counts, url_filter)
 from millrace.llm import oracles as sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+@query("op11_ngram_join")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_documents(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+@query("op12_fill_middle", sql.FILL_MIDDLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_middle(table(spark, sf_dir, "documents"), seed=42, rate=50, spm_share=80)
+    text = fill_middle.restore(F.col("output"), F.col("form"))
+    return made.withColumns({"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(text, 256)}).drop("output")
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
