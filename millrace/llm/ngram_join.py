@@ -43,6 +43,7 @@ WORDS = 4
 PERCENT = 85
 SEED = 11
 GRAMS = 1 << 17  # grams of the sets of one tree, about
+STORE = 1 << 17  # word hashes that a worker keeps
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,14 +54,32 @@ def mixed(keys: np.ndarray) -> np.ndarray:
     return keys ^ (keys >> np.uint64(31))
 
 
+class _WordHashes(dict):
+    """64-bit hashes of words, bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= STORE:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word, SEED)
+        return value
+
+
+_HASHES = _WordHashes()
+
+
 def gram_set(text: str, size: int = WORDS) -> np.ndarray:
-    """Hashes of the distinct n-grams, ascending."""
+    """Hashes of the distinct n-grams, ascending. A gram's hash mixes the hashes of its words, each times an odd number of its place."""
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64))
+    hashes = np.array(list(map(_HASHES.__getitem__, words)), np.uint64)
+    places = np.multiply.accumulate(np.full(size, _GOLD))
+    n = max(len(words) - size + 1, 1)
+    grams = np.full(n, min(len(words), size), np.uint64)
+    for k in range(min(len(words), size)):
+        grams += hashes[k:k + n] * places[k]
+    grams = np.sort(mixed(grams))
+    return grams[np.concatenate([[True], grams[1:] != grams[:-1]])]
 
 
 @functools.cache
@@ -246,15 +265,21 @@ def tree_links(sets: list[np.ndarray], labels: list[int], walkers: list[int], pe
 
 
 def _walked(groups: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """a, b of the links in each group of rows (s, label, walks, grams)."""
+    """a, b of the links in each tree: rows (hub, s, label, walks, grams) of one `by` and one hub are in one tree."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("s").sort_values(["walks", "s"], ascending=[False, True])
-        sets = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
-        walkers = np.flatnonzero(pdf["walks"].to_numpy()).tolist()
-        pairs, _ = tree_links(sets, pdf["label"].tolist(), walkers, percent)
-        s = pdf["s"].to_numpy()
-        return pd.DataFrame({"a": s[[p[0] for p in pairs]], "b": s[[p[1] for p in pairs]]}, dtype="int64")
+        a, b = [], []
+        pdf = pdf.sort_values(["hub", "walks", "s"], ascending=[True, False, True])
+        hubs, s, labels, walks = (pdf[c].to_numpy() for c in ("hub", "s", "label", "walks"))
+        grams = pdf["grams"].tolist()
+        edges = np.flatnonzero(np.diff(hubs, prepend=hubs[:1] - 1, append=hubs[-1:] + 1))
+        for first, last in zip(edges.tolist(), edges[1:].tolist()):
+            # a walker stands in the tree of its own part as well, once is enough
+            at = first + np.sort(np.unique(s[first:last], return_index=True)[1])
+            pairs, _ = tree_links([np.frombuffer(grams[i], np.uint64) for i in at], labels[at].tolist(), np.flatnonzero(walks[at]).tolist(), percent)
+            a += [s[at[p[0]]] for p in pairs]
+            b += [s[at[p[1]]] for p in pairs]
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
     return groups.groupBy(*by).applyInPandas(walk, "a long, b long")
 
@@ -308,7 +333,10 @@ def links(docs: DataFrame, facts: DataFrame, text_col: str, size: int = WORDS, p
     dealt = dealt.unionByName(trees.select("hub", F.col("hub").alias("s"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"), "trees"))
     # A tree of one group is walked by all; in a group of several trees the hub and the tree's own members walk.
     first = dealt.join(sets, "s").withColumns({"label": F.col("s"), "walks": F.lit(True)})
-    found = settle(_walked(first.select("hub", "tree", "s", "label", "walks", "grams"), ["hub", "tree"], percent), "links")
+    # Small groups go to a task together, about GRAMS grams at a time.
+    bins = (sizes.agg(F.sum("total")).first()[0] or 0) // GRAMS + 1
+    first = first.withColumn("lot", F.when(F.col("trees") > 1, F.xxhash64("hub", "tree")).otherwise(F.pmod(F.xxhash64("hub"), F.lit(bins))))
+    found = settle(_walked(first.select("lot", "hub", "tree", "s", "label", "walks", "grams"), ["lot", "tree"], percent), "links")
 
     large = pairs.join(trees.filter("trees > 1"), "hub")
     if not large.limit(1).count():
