@@ -231,7 +231,9 @@ def near_pairs(vocab: DataFrame) -> DataFrame:
     tasks = sum(counts.values()) // 2000 + 1
     passed = vocab.repartition(tasks, "word").mapInPandas(probe, "a string, na long, b string")
     exact = passed.join(vocab.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b").select("a", "na", "b", "nb")
-    return exact.unionByName(exact.select(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb")))
+    # both ways round from one probing
+    ways = F.array(F.struct("a", "na", "b", "nb"), F.struct(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb")))
+    return exact.select(F.explode(ways).alias("e")).select("e.*")
 
 
 def roots(forms: DataFrame) -> DataFrame:
