@@ -1,13 +1,19 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-The 64-bit fingerprints link at `RADIUS` = 3 or fewer differing bits. Two such fingerprints have a point between
-them that is at most 1 bit from the one and at most 2 from the other. The points of a whole ball of 2 are 2,081
-for each fingerprint, so they are listed in two steps. First one of three blocks of bits is left out (some block
-holds a differing bit) and each fingerprint emits what is left and all its variants at 1 bit, 131 in all.
-Fingerprints that are alone on all their variants have no link. The others emit the full points that go with a
-shared variant, as far as bits in which its members differ lead to them. On a point, everything within 2 bits links with anything within 1 bit, so all members get a link to
-the least such one: links grow with the members, never with their pairs, and no link is lost. Equal fingerprints
-are one node from the start, and each link is verified by its bits.
+The 64-bit fingerprints link at `RADIUS` = 3 or fewer differing bits. Balls of half the radius meet: if each fingerprint
+emits itself and its variants at 1 bit, 65 in all, two that differ in 1 or 2 bits share a variant. Two at 3 bits
+need a variant at 1 bit of the one and at 2 bits of the other. The ball of 2 has 2,081 points, so the work is split:
+
+* Near round: the 65 variants, and a link from each member of a variant to the least one. All at 1 or 2 bits are joined, and
+  links grow with the members, never with their pairs. Copies with few changes end up in few components here.
+* Far round, for distance 3 only: one of three blocks of bits is left out (some block holds exactly one of 3 bits, or all of
+  them) and what is left is emitted with its variants at 1 bit, 131 keys in all three. A key is of use only if it holds two or
+  more components of the near round; of a component, one row for each reading of the left-out block goes on. The
+  block comes back unchanged, at 1 bit and, where nothing else was changed, at 2 bits, only along bits in which the
+  key's members differ. On a point the nearest member, at 0 or 1 bit, is the hub of the others.
+
+Rows of a variant are combined by partial aggregation before the shuffle and joined back by a join that Spark can
+split, so a group of near copies isn't held by one task. Equal fingerprints are one node, and links are verified by their bits.
 
 Defined cases: a null or empty text has fingerprint zero, which links like any other; one or two words make one
 shingle; repeated rows keep one row each; a null id takes part, but is never the smallest unless it is alone; an
@@ -21,11 +27,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.llm.batches import bounded_batches
-from millrace.llm.links import components
-from millrace.operators.lookup import lookup_join
+from millrace.llm.links import components, least_ids
 from millrace.runtime import settle
 from millrace.schema import col
 
@@ -65,58 +69,59 @@ def _masks(bits: list[int]) -> Column:
     return F.array(*[F.lit(x - (1 << 64) if x >> 63 else x) for x in bits])
 
 
+def _balls(fps: DataFrame) -> DataFrame:
+    """a, b: links that join exactly what chains of at most 2 bits join."""
+    ball = fps.select("fp", F.explode(_masks([0, *[1 << i for i in range(64)]])).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("v"))
+    hubs = ball.groupBy("v").agg(F.min("fp").alias("hub"), F.max("fp").alias("other")).filter("hub != other").select("v", "hub")
+    return ball.join(hubs, "v").filter("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+
+
+def _far_points(labelled: DataFrame, begin: int, end: int) -> DataFrame:
+    """fp, label, p: points of fingerprints of different labels that agree but for the block and one bit elsewhere."""
+    inside = [1 << i for i in range(begin, end)]
+    keep = F.col("fp").bitwiseAND(_masks([(1 << 64) - 1 - sum(inside)])[0])
+    block = F.col("fp").bitwiseAND(_masks([sum(inside)])[0])
+    outside = [1 << i for i in range(64) if not begin <= i < end]
+    keys = labelled.select("fp", "label", F.explode(_masks([0, *outside])).alias("flip")).select(
+        "fp", "label", keep.bitwiseXOR(F.col("flip")).alias("v"))
+    open_ = keys.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("v")
+    members = settle(keys.join(open_, "v", "left_semi"), "members")
+    apart = members.groupBy("v").agg(F.expr("bit_or(fp)").bitwiseXOR(F.expr("bit_and(fp)")).alias("apart"))
+    members = members.join(apart, "v")
+    # Members of one label with the same block lead to the same points: one unchanged outside if there is one, else any.
+    members = members.groupBy("v", "apart", "label", block.alias("block")).agg(
+        F.min(F.when(keep == F.col("v"), F.col("fp"))).alias("exact"), F.min("fp").alias("fp"))
+    near = [0, *inside]
+    far = [x | y for i, x in enumerate(inside) for y in inside[:i]]
+    flips = F.when(F.col("exact").isNotNull(), _masks(near + far)).otherwise(_masks(near))
+    useful = F.filter(flips, lambda x: x.bitwiseAND(F.bitwise_not(F.col("apart"))) == 0)
+    base = F.col("v").bitwiseOR(F.col("block"))
+    return members.select(F.coalesce("exact", "fp").alias("fp"), "label", F.explode(F.transform(useful, lambda x: base.bitwiseXOR(x))).alias("p"))
+
+
 def links(fps: DataFrame) -> DataFrame:
     """a, b for distinct fingerprints `fp`: links that join exactly those that chains of <= 3 bits join."""
+    near = settle(_balls(fps), "near")
+    roots = components(near)
+    labelled = settle(fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("label")), "labelled")
     points = None
-    on_variant = Window.partitionBy("v")
     for begin, end in BLOCKS:
-        inside = [1 << i for i in range(begin, end)]
-        outside = [1 << i for i in range(64) if not begin <= i < end]
-        keep = F.col("fp").bitwiseAND(_masks([sum(outside)])[0])
-        variants = fps.select("fp", F.explode(_masks([0, *outside])).alias("flip")).select(
-            "fp", keep.bitwiseXOR(F.col("flip")).alias("v"))
-        shared = variants.withColumn("n", F.count("*").over(on_variant)).filter("n > 1").withColumns({
-            "least": F.min("fp").over(on_variant),
-            "apart": F.expr("bit_or(fp)").over(on_variant).bitwiseXOR(F.expr("bit_and(fp)").over(on_variant)),
-            "whole": F.sum((keep == F.col("v")).cast("int")).over(on_variant)})
-        # Bits in which members differ: if they are few, all members link with the least; two members with many don't link.
-        close = F.bit_count("apart") <= RADIUS
-        shared = shared.filter(close | (F.col("n") > 2))
-        # Else the block comes back: unchanged, at 1 bit, and, among members with nothing else changed, at 2 bits. Only
-        # bits in which some members differ can lead to a point that two of them reach.
-        near = [0, *inside]
-        far = [x | y for i, x in enumerate(inside) for y in inside[:i]]
-        flips = F.when((keep == F.col("v")) & (F.col("whole") > 1), _masks(near + far)).otherwise(_masks(near))
-        useful = F.filter(flips, lambda x: x.bitwiseAND(F.bitwise_not(F.col("apart"))) == 0)
-        base = F.col("v").bitwiseOR(F.col("fp").bitwiseAND(_masks([sum(inside)])[0]))
-        made = shared.withColumn("base", base).select("fp", F.explode(F.when(close, F.array("least")).otherwise(
-            F.transform(useful, lambda x: F.col("base").bitwiseXOR(x)))).alias("p"))
+        made = _far_points(labelled, begin, end)
         points = made if points is None else points.unionByName(made)
-    # On a point the nearest member is the hub; from 1 bit away it reaches what is within 2, on the point itself what is
-    # within 3.
-    points = points.withColumn("cost", F.bit_count(F.col("fp").bitwiseXOR(F.col("p"))))
-    hub = F.min(F.struct("cost", "fp")).over(Window.partitionBy("p"))
-    star = points.withColumn("hub", hub).filter("hub.cost <= 1 and hub.fp != fp").select(
-        F.col("fp").alias("a"), F.col("hub.fp").alias("b"))
-    return star.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
+    # One row of a label on a point, the nearest: it stands for the others, which are joined to it already.
+    points = points.select("label", "p", F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("p"))).alias("cost"), "fp").alias("m"))
+    points = settle(points.groupBy("label", "p").agg(F.min("m").alias("m")), "points")
+    hubs = points.groupBy("p").agg(F.min("m").alias("hub"), F.count("*").alias("n")).filter("n > 1 and hub.cost <= 1")
+    far = points.join(hubs.select("p", "hub"), "p").filter("hub.fp != m.fp").select(F.col("m.fp").alias("a"), F.col("hub.fp").alias("b"))
+    far = far.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+    return near.unionByName(far).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp and component (the smallest id that is reachable, itself included) of every row."""
-    rows = settle(fingerprints(docs, id_col, text_col), "simhash")
-    nodes = settle(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
-    roots = components(links(nodes.select("fp")))
-    joined = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    joined = settle(joined.select("fp", "least", "n", F.coalesce("root", "fp").alias("root"),
-                                  F.col("root").isNotNull().alias("linked")), "nodes")
-    # Only linked nodes need their component's least id.
-    linked = joined.filter("linked")
-    least = linked.groupBy("root").agg(F.min("least").alias("component"), F.sum("n").alias("w"))
-    total = rows.count()
-    found = lookup_join(linked.select("fp", "n", "root"), least, "root", "w", max(total, 1), small=False)
-    table = (found.select("fp", "n", "component")
-             .unionByName(joined.filter("not linked").select("fp", "n", F.col("least").alias("component"))))
-    return lookup_join(rows, table, "fp", "n", max(total, 1), small=False)
+    rows = settle(fingerprints(docs, id_col, text_col), "simhash").withColumnRenamed("fp", "node")
+    fps = settle(rows.select(F.col("node").alias("fp")).distinct(), "nodes")
+    return least_ids(rows, links(fps)).withColumnRenamed("node", "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,8 +139,9 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     found = settle(classes(docs, id_col, text_col), "classes")
     leads = found.groupBy("id").agg(F.max(F.col("id").eqNullSafe(F.col("component")).cast("int")).alias("leads"),
                                     F.count("*").alias("n"))
-    odd = settle(leads.filter("leads = 0 or n > 1").select(F.col("id").alias("__id"), "leads"), "leads")
-    same = col(id_col).eqNullSafe(F.col("__id"))
-    once = docs.join(odd, same, "left_anti")
-    again = docs.join(odd.filter("leads = 1").drop("leads"), same, "left_semi").dropDuplicates([id_col, text_col])
-    return once.unionByName(again)
+    odd = settle(leads.filter("leads = 0 or n > 1").select("id", "leads"), "leads")
+    # The whole row is one column meanwhile, so that no name of it can clash.
+    rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(id_col).alias("key"), col(text_col).alias("text"))
+    once = rows.join(odd, F.col("key").eqNullSafe(F.col("id")), "left_anti")
+    again = rows.join(odd.filter("leads = 1").select("id"), F.col("key").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["key", "text"])
+    return once.unionByName(again).select("row.*")

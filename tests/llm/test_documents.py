@@ -220,6 +220,22 @@ def test_links_join_what_three_bits_join(spark):
     assert brute_components(got) == brute_components(want)
 
 
+def test_points_of_near_copies_do_not_grow_with_the_group(spark):
+    rng = random.Random(16)
+    made = {}
+    for m in (100, 400):
+        x, fps = rng.getrandbits(64), set()
+        while len(fps) < m:
+            fps.add(x ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(4))}))
+        signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+        df = spark.createDataFrame([(f,) for f in signed], "fp long")
+        near = [(r["a"], r["b"]) for r in simhash._balls(df).collect()]
+        root = {f: f for f in signed} | brute_components(near)
+        labelled = spark.createDataFrame(list(root.items()), "fp long, label long")
+        made[m] = sum(simhash._far_points(labelled, *block).count() for block in simhash.BLOCKS) / m
+    assert made[400] <= made[100] + 1
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(500)]
@@ -242,6 +258,7 @@ def test_near_duplicates_against_brute_force(spark):
     want = sorted((str(i), f"{fp[t]:016x}", least.get(root[fp[t]])) for i, t in rows)
     got = simhash.near_duplicates(df).collect()
     assert sorted((str(r["doc_id"]), r["fingerprint"], r["component_id"]) for r in got) == want
+    df = df.selectExpr("*", "9 as __id", "8 as id", "7 as key", "6 as row")
     kept = simhash.without_near_duplicates(df)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
