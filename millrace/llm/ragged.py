@@ -8,10 +8,10 @@ import numpy as np
 
 from millrace.llm.hashing import HashTable
 
-SLICE_BYTES = 2 << 20   # text that is held as arrays at once
-SHORT = 64              # chunks up to this many bytes are found again by their key
-CACHE_BITS = 21         # slots for them; the store starts anew when half are taken
-STORE_ENTRIES = 1 << 24  # values in the store, at most, before it starts anew
+SLICE_BYTES = 256 << 10  # text that is held as arrays at once
+SHORT = 64               # chunks up to this many bytes are found again by their key
+CACHE_BITS = 20          # slots for them; the store starts anew when half are taken
+STORE_ENTRIES = 1 << 22  # values in the store, at most, before it starts anew
 BASE = 0x2545F4914F6CDD1F
 
 

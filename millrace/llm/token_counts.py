@@ -185,7 +185,7 @@ class WordBpe(ChunkStore):
         return self.joined(texts)[0]
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def word_bpe(path: str) -> WordBpe:
     """One tokenizer for each worker process and file."""
     return WordBpe(path)
