@@ -6,11 +6,13 @@ need a variant at 1 bit of the one and at 2 bits of the other. The ball of 2 has
 
 * Near round: the 65 variants, and a link from each member of a variant to the least one. All at 1 or 2 bits are joined, and
   links grow with the members, never with their pairs. Copies with few changes end up in few components here.
-* Far round, for distance 3 only: one of three blocks of bits is left out (some block holds exactly one of 3 bits, or all of
-  them) and what is left is emitted with its variants at 1 bit, 131 keys in all three. A key is of use only if it holds two or
-  more components of the near round; of a component, one row for each reading of the left-out block goes on. The
-  block comes back unchanged, at 1 bit and, where nothing else was changed, at 2 bits, only along bits in which the
-  key's members differ. On a point the nearest member, at 0 or 1 bit, is the hub of the others.
+* Far round, for distance 3 between components of the near round only. One of three blocks of bits is left out and what is left
+  is emitted with its variants at 1 bit, 131 keys in all three. A key is of use only if it holds two or more components. Where
+  the 3 bits lie says who has to list which points: all in one block, or two there and one outside (the block that holds
+  most is left out: a member unchanged outside lists the block at 1 bit, and at 2 bits for another unchanged one; a member
+  changed outside lists it at 1 bit for an unchanged one), or one in each (the first is left out: a member changed in
+  the second lists the block as it is, for one changed in the third, which lists it at 1 bit). Only bits in which the
+  members of a key differ are listed. On a point the nearest member, at 0 or 1 bit, is the hub of the others.
 
 Rows of a variant are combined by partial aggregation before the shuffle and joined back by a join that Spark can
 split, so a group of near copies isn't held by one task. Equal fingerprints are one node, and links are verified by their bits.
@@ -77,26 +79,48 @@ def _balls(fps: DataFrame) -> DataFrame:
 
 
 def _far_points(labelled: DataFrame, begin: int, end: int) -> DataFrame:
-    """fp, label, p: points of fingerprints of different labels that agree but for the block and one bit elsewhere."""
+    """fp, label, p: points on which fingerprints of different labels meet that differ in 3 bits, most of them in this block,
+    or one in each block if this is the first."""
     inside = [1 << i for i in range(begin, end)]
-    keep = F.col("fp").bitwiseAND(_masks([(1 << 64) - 1 - sum(inside)])[0])
-    block = F.col("fp").bitwiseAND(_masks([sum(inside)])[0])
     outside = [1 << i for i in range(64) if not begin <= i < end]
+    block_mask = _masks([sum(inside)])[0]
+    keep = F.col("fp").bitwiseAND(_masks([sum(outside)])[0])
     keys = labelled.select("fp", "label", F.explode(_masks([0, *outside])).alias("flip")).select(
         "fp", "label", keep.bitwiseXOR(F.col("flip")).alias("v"))
     open_ = keys.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("v")
-    members = settle(keys.join(open_, "v", "left_semi"), "members")
-    apart = members.groupBy("v").agg(F.expr("bit_or(fp)").bitwiseXOR(F.expr("bit_and(fp)")).alias("apart"))
-    members = members.join(apart, "v")
-    # Members of one label with the same block lead to the same points: one unchanged outside if there is one, else any.
-    members = members.groupBy("v", "apart", "label", block.alias("block")).agg(
-        F.min(F.when(keep == F.col("v"), F.col("fp"))).alias("exact"), F.min("fp").alias("fp"))
-    near = [0, *inside]
+    changed = F.col("v").bitwiseXOR(keep)
+    second = _masks([sum(1 << i for i in range(*BLOCKS[1]))])[0]
+    role = (F.when(changed == 0, "same").when(changed.bitwiseAND(second) != 0, "second").otherwise("third") if begin == 0
+            else F.when(changed == 0, "same").otherwise("other"))
+    members = settle(keys.join(open_, "v", "left_semi").withColumn("role", role), "members")
+    ends = [f(F.when(F.col("role") == r if r != "changed" else F.col("role") != "same", F.col("label"))).alias(f"{r}_{name}")
+            for r in ("same", "changed", "second", "third") for name, f in (("low", F.min), ("high", F.max))]
+    facts = members.groupBy("v").agg(F.expr("bit_or(fp)").bitwiseXOR(F.expr("bit_and(fp)")).alias("apart"), *ends)
+
+    def meets(r: str) -> Column:
+        """A member of another label with role r is on the key."""
+        return F.coalesce((F.col(f"{r}_low") != F.col("label")) | (F.col(f"{r}_high") != F.col("label")), F.lit(False))
+
+    seen = members.join(facts, "v").select(
+        "fp", "label", "v", "apart", "role", F.col("fp").bitwiseAND(block_mask).alias("block"), meets("same").alias("to_same"),
+        meets("changed").alias("to_changed"), meets("second").alias("to_second"), meets("third").alias("to_third"))
+
+    def listed(rows: DataFrame, flips: Column) -> DataFrame:
+        # Members of a label with one reading of the block lead to the same points. Dealt anew, since a key may hold many.
+        rows = rows.groupBy("v", "apart", "label", "block", "wide").agg(F.min("fp").alias("fp")).repartition("fp", "v")
+        useful = F.filter(flips, lambda x: x.bitwiseAND(F.bitwise_not(F.col("apart"))) == 0)
+        base = F.col("v").bitwiseOR(F.col("block"))
+        return rows.select("fp", "label", F.explode(F.transform(useful, lambda x: base.bitwiseXOR(x))).alias("p"))
+
+    same = F.col("role") == "same"
+    most = seen.filter((same & (F.col("to_same") | F.col("to_changed"))) | (~same & F.col("to_same"))).withColumn("wide", same & F.col("to_same"))
     far = [x | y for i, x in enumerate(inside) for y in inside[:i]]
-    flips = F.when(F.col("exact").isNotNull(), _masks(near + far)).otherwise(_masks(near))
-    useful = F.filter(flips, lambda x: x.bitwiseAND(F.bitwise_not(F.col("apart"))) == 0)
-    base = F.col("v").bitwiseOR(F.col("block"))
-    return members.select(F.coalesce("exact", "fp").alias("fp"), "label", F.explode(F.transform(useful, lambda x: base.bitwiseXOR(x))).alias("p"))
+    points = listed(most, F.when(F.col("wide"), _masks(inside + far)).otherwise(_masks(inside)))
+    if begin == 0:
+        third = F.col("role") == "third"
+        one_each = seen.filter((third & F.col("to_second")) | ((F.col("role") == "second") & F.col("to_third"))).withColumn("wide", third)
+        points = points.unionByName(listed(one_each, F.when(F.col("wide"), _masks(inside)).otherwise(_masks([0]))))
+    return points
 
 
 def links(fps: DataFrame) -> DataFrame:

@@ -211,6 +211,9 @@ def test_links_join_what_three_bits_join(spark):
             at = rng.randrange(0, 64 - spread + 1)
             for _ in range(rng.randrange(1, 5)):
                 x ^= 1 << (at + rng.randrange(spread))
+    for at in ([0, 1, 2], [3, 30, 31], [5, 40, 50], [22, 23, 60], [43, 50, 63], [10, 11, 45], [21, 22, 43]):  # 3 bits in all ways over the blocks
+        x = rng.getrandbits(64)
+        fps |= {x, x ^ sum(1 << i for i in at)}
     fps = sorted(fps)
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
     got = [(r["a"], r["b"]) for r in simhash.links(df).collect()]
