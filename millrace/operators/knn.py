@@ -1,15 +1,15 @@
-"""Exact nearest neighbours without pairing all rows.
-
-Donors are sorted along one feature and packed into blocks of bounded size. A
-query first visits the blocks next to its own place; the k-th distance found
-there bounds how far along the feature a better donor can lie, and the second
-visit goes only to the blocks within that reach. The result is exact whatever
-the data; the reach decides the cost.
-
-Copies are collapsed first: a vector is searched for once, and kept as a donor
-at most as often as its copies can matter, so a group of copies of any size
-costs no more than one row. Queries of one block travel in chunks, and the
-chunks of a busy block are spread over tasks.
+"""Exact nearest neighbours by metric cells.
+
+Donors are dealt to k-means cells (centres from a bounded sample, which shapes the cost only) and packed into blocks of
+bounded bytes. A block is known by its box, its centre and its radius. A query first visits the blocks of least lower
+bound until they hold k donors; the k-th distance found there is its reach, and the second visit goes only to blocks
+whose box and ball (by the triangle inequality) come within it. The result is exact whatever the data; the reach decides
+the cost. Missing features are left out of the distance. Donors that lack the same features share blocks, and bounds use
+the features that all of a block's donors have; one block serves every feature that is to be filled in.
+
+Copies are collapsed first: a vector is searched for once, and counts as a donor at most as often as its copies can
+matter. Queries travel in packed chunks of near ones, and the chunks of a busy block are spread over tasks. The list of
+blocks is broadcast; blocks grow where it would pass `LIST_BYTES`.
 """
 
 from __future__ import annotations
@@ -28,11 +28,15 @@ from millrace.operators.scale import _filled_spread, chosen, filled
 from millrace.runtime import settle
 from millrace.schema import col, dbl
 
-CELL = 4096            # donors per block; grows with the table to bound the block list
-MAX_BLOCKS = 500_000   # block list that reaches the driver
+CELL = 2048            # donors per block; grows with the table to bound the block list
+LIST_BYTES = 48 << 20  # bounds of all blocks
+CENTRES = 1024         # k-means cells, at most
+SAMPLE = 8             # rows for each centre from which the centres are learnt
+ROUNDS = 4
 CHUNK = 256            # queries that meet a block together
 PART = 100_000         # donors sorted by one task
 SPREAD = 4             # chunks of one block per salt
+PATTERNS = 1000        # sets of missing features that have blocks of their own
 NAN = float("nan")
 
 
@@ -40,181 +44,237 @@ def _vector(columns: list[Column]) -> Column:
     return F.array(*[F.coalesce(c, F.lit(NAN)) for c in columns])
 
 
-def _pick(vec: Column, at: Column) -> Column:
-    return F.get(vec, at)
-
-
-def _axis(vec: Column, order: list[int], target: Column | None = None) -> Column:
-    """Index of the first feature, in the given order, that is present and not the target."""
-    out = F.lit(None).cast("int")
-    for f in reversed(order):
-        usable = ~F.isnan(F.get(vec, F.lit(f)))
-        if target is not None:
-            usable = usable & (target != f)
-        out = F.when(usable, F.lit(f)).otherwise(out)
-    return out
-
-
-# ---------------------------------------------------------------- blocks
-
-def _pack(donors: DataFrame, tag_type: str) -> tuple[DataFrame, dict]:
-    """Blocks of donors sorted by (target, axis, at), and the list of their extents."""
-    donors = settle(donors, "donors")
+# ---------------------------------------------------------------- cells and blocks
+
+def _centres(donors: DataFrame, rows: int) -> np.ndarray:
+    """Centres of the cells by k-means over a bounded sample, drawn by hash; missing features count as the sample's mean."""
+    cells = max(1, min(CENTRES, math.ceil(rows / CELL)))
+    order = F.xxhash64("vec", F.lit(5))
+    sample = donors.select("vec").orderBy(order, "vec").limit(SAMPLE * cells).collect()
+    x = np.array([r["vec"] for r in sample], float).reshape(len(sample), -1)
+    held = ~np.isnan(x)
+    mean = np.where(held, x, 0).sum(axis=0) / np.maximum(held.sum(axis=0), 1)
+    x = np.where(held, x, mean)
+    centres = x[:cells].copy()
+    for _ in range(ROUNDS):
+        own = _cell_of(x, centres)
+        for c in range(len(centres)):
+            if (own == c).any():
+                centres[c] = x[own == c].mean(axis=0)
+    return centres
+
+
+def _cell_of(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row over the features that it has."""
+    held = ~np.isnan(x)
+    filled = np.where(held, x, 0.0)
+    return np.argmin(held.astype(float) @ (centres ** 2).T - 2 * filled @ centres.T, axis=1)
+
+
+def _celled(table: DataFrame, centres) -> DataFrame:
+    """Adds `cell` and `at`, the place along the cells' widest feature, to rows with `vec`."""
+    axis = int(np.argmax(centres.value.var(axis=0))) if centres.value.size else 0
+
+    @F.pandas_udf("cell int, at double")
+    def assign(vecs: pd.Series) -> pd.DataFrame:
+        x = np.stack(vecs.to_numpy()).astype(float) if len(vecs) else np.zeros((0, centres.value.shape[1]))
+        return pd.DataFrame({"cell": _cell_of(x, centres.value).astype("int32"), "at": np.nan_to_num(x[:, axis], nan=-np.inf)})
+
+    return table.withColumn("c", assign("vec")).select(*table.columns, "c.cell", "c.at")
+
+
+BOUNDS = ("low", "high", "mean", "full", "any", "held")
+
+
+class Blocks:
+    """Bounds of all blocks as arrays, a row each."""
+
+    def __init__(self, listed: pd.DataFrame, width: int):
+        listed = listed.sort_values("block")
+        self.width, self.block = width, listed["block"].to_numpy()
+        arrays = {c: np.array([np.frombuffer(b, np.float64) for b in listed[c]]).reshape(-1, width) for c in BOUNDS}
+        self.low, self.high, self.mean, self.held = (arrays[c] for c in ("low", "high", "mean", "held"))
+        self.full, self.any = arrays["full"] > 0, arrays["any"] > 0
+        self.radius, self.size = listed["radius"].to_numpy(), listed["size"].to_numpy()
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """Least squared distance that a donor of each block can have to each of the queries, which lack the same features."""
+        have = ~np.isnan(q[0])
+        shared = (self.any & have).sum(axis=1)
+        use = self.full & have
+        box, ball = np.zeros((len(q), len(self.block))), np.zeros((len(q), len(self.block)))
+        for f in np.flatnonzero(have):
+            x = q[:, f, None]
+            gap = np.maximum(np.maximum(self.low[:, f] - x, x - self.high[:, f]), 0)
+            box += np.where(use[:, f], gap, 0) ** 2
+            ball += np.where(use[:, f], x - self.mean[:, f], 0) ** 2
+        alike = (self.full == self.any).all(axis=1)
+        ball = np.where(alike, np.maximum(np.sqrt(ball) * (1 - 1e-12) - self.radius, 0) ** 2, 0)
+        with np.errstate(divide="ignore"):
+            return np.where(shared > 0, np.maximum(box, ball) * (self.width / np.maximum(shared, 1)) * (1 - 1e-9), np.inf)
+
+    def first(self, bounds: np.ndarray, targets: np.ndarray, k: int) -> np.ndarray:
+        """Which blocks each query visits first: the nearest ones, until they hold k donors for each target."""
+        held = self.held[:, targets] if len(targets) else self.size[:, None].astype(float)
+        out = np.zeros(bounds.shape, bool)
+        order = np.argsort(bounds, axis=1, kind="stable")
+        for i, row in enumerate(order):
+            enough = (np.cumsum(held[row], axis=0) >= k).all(axis=1)
+            out[i, row[:int(np.argmax(enough)) + 1 if enough.any() else len(row)]] = True
+        return out & np.isfinite(bounds)
+
+
+def _pack(donors: DataFrame, width: int, k: int) -> tuple[DataFrame, object, object]:
+    """Blocks of donors (vec, tag, n), and, broadcast, their bounds and the centres of the cells."""
+    spark = donors.sparkSession
+    pattern = F.xxhash64(F.transform("vec", lambda x: F.isnan(x)))
+    donors = settle(donors.withColumn("pattern", pattern), "donors")
     rows = donors.count()
-    cell = max(CELL, math.ceil(rows / MAX_BLOCKS))
-    dtype = "float64" if tag_type == "double" else "int64"
+    cell = max(CELL, math.ceil(rows * width * 8 * len(BOUNDS) / LIST_BYTES))
+    often = [r["pattern"] for r in donors.groupBy("pattern").count().filter(F.col("count") * 4 >= cell).orderBy(F.desc("count"), "pattern").limit(PATTERNS).collect()]
+    donors = donors.withColumn("pattern", F.when(F.col("pattern").isin(often), F.col("pattern")).otherwise(F.lit(0)) if often else F.lit(0).cast("long"))
+    centres = spark.sparkContext.broadcast(_centres(donors, rows))
+    placed = _celled(donors, centres)
 
     def blocks(batches):
         from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() << 32
-        seq = 0
+        first, seq = TaskContext.get().partitionId() << 32, 0
         for pdf in batches:
-            new = (pdf["target"].ne(pdf["target"].shift()) | pdf["axis"].ne(pdf["axis"].shift())).cumsum()
-            out = []
-            for _, run in pdf.groupby(new, sort=False):
+            runs = (pdf["pattern"].ne(pdf["pattern"].shift()) | pdf["cell"].ne(pdf["cell"].shift())).cumsum()
+            for _, run in pdf.groupby(runs, sort=False):
                 for start in range(0, len(run), cell):
                     piece = run.iloc[start:start + cell]
-                    out.append({
-                        "block": first + seq, "target": int(piece["target"].iloc[0]),
-                        "axis": int(piece["axis"].iloc[0]), "low": float(piece["at"].iloc[0]),
-                        "high": float(piece["at"].iloc[-1]), "size": len(piece),
-                        "vecs": np.stack(piece["vec"].to_numpy()).astype("float64").tobytes(),
-                        "tags": piece["tag"].to_numpy(dtype=dtype).tobytes()})
+                    x, n = np.stack(piece["vec"].to_numpy()).astype(float), np.minimum(piece["n"].to_numpy(), k)
+                    here = ~np.isnan(x)
+                    mean = np.where(here, x, 0).sum(axis=0) / np.maximum(here.sum(axis=0), 1)
+                    facts = {"low": np.where(here, x, np.inf).min(axis=0), "high": np.where(here, x, -np.inf).max(axis=0), "mean": mean,
+                             "full": here.all(axis=0), "any": here.any(axis=0), "held": (here * n[:, None]).sum(axis=0)}
+                    yield pd.DataFrame([{"block": first + seq, "size": int(n.sum()), "vecs": x.tobytes(), "tags": piece["tag"].to_numpy("int64").tobytes(),
+                                         "ns": n.astype("int32").tobytes(), "radius": float(np.sqrt((np.where(here, x - mean, 0) ** 2).sum(axis=1).max()) * (1 + 1e-12)),
+                                         **{c: v.astype("float64").tobytes() for c, v in facts.items()}}])
                     seq += 1
-            yield pd.DataFrame(out)
-
-    ordered = (donors.repartitionByRange(max(1, math.ceil(rows / PART)), "target", "axis", "at", "vec")
-               .sortWithinPartitions("target", "axis", "at"))
-    packed = settle(ordered.mapInPandas(
-        blocks, "block long, target int, axis int, low double, high double, size long, vecs binary, tags binary"),
-        "blocks")
-    extents: dict[tuple[int, int], dict[str, np.ndarray]] = {}
-    listed = packed.select("target", "axis", "block", "low", "high", "size").toPandas()
-    for (target, axis), part in listed.sort_values(["low", "high", "block"]).groupby(["target", "axis"]):
-        extents[int(target), int(axis)] = {
-            "block": part["block"].to_numpy(), "low": part["low"].to_numpy(),
-            "high": np.maximum.accumulate(part["high"].to_numpy()),
-            "upto": np.concatenate([[0], np.cumsum(part["size"].to_numpy())])}
-    return packed, extents
-
-
-def _near(ext: dict, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last block of the first visit: the own one, its neighbours, and more until k donors."""
-    last = len(ext["block"]) - 1
-    home = np.clip(np.searchsorted(ext["low"], at, "right") - 1, 0, last)
-    low, high = np.maximum(home - 1, 0), np.minimum(home + 1, last)
-    while True:
-        short = (ext["upto"][high + 1] - ext["upto"][low] < k) & ((low > 0) | (high < last))
-        if not short.any():
-            return low, high
-        low, high = np.where(short, np.maximum(low - 1, 0), low), np.where(short, np.minimum(high + 1, last), high)
-
-
-def _expand(pdf: pd.DataFrame, ext: dict, first: np.ndarray, stop: np.ndarray) -> pd.DataFrame:
-    n = np.maximum(stop - first, 0)
-    rows = np.repeat(np.arange(len(pdf)), n)
-    offset = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-    out = pdf.iloc[rows][["qid", "target", "vec"]].copy()
-    out["block"] = ext["block"][np.repeat(first, n) + offset]
-    return out
-
-
-VISIT = "qid long, target int, vec array<double>, block long"
-
-
-def _first_visit(queries: DataFrame, extents: dict, k: int) -> DataFrame:
-    def assign(batches):
-        for pdf in batches:
-            for (target, axis), part in pdf.groupby(["target", "axis"]):
-                ext = extents.get((int(target), int(axis)))
-                if ext is not None:
-                    low, high = _near(ext, part["at"].to_numpy(), k)
-                    yield _expand(part, ext, low, high + 1)
 
-    return queries.mapInPandas(assign, VISIT)
+    ordered = (placed.repartitionByRange(max(1, math.ceil(rows / PART)), "pattern", "cell", "at", "vec", "tag")
+               .sortWithinPartitions("pattern", "cell", "at", "vec", "tag"))
+    packed = settle(ordered.mapInPandas(blocks, "block long, size long, vecs binary, tags binary, ns binary, radius double, "
+                                        + ", ".join(f"{c} binary" for c in BOUNDS)), "blocks")
+    listed = packed.select("block", "size", "radius", *BOUNDS).toPandas()  # at most LIST_BYTES
+    return packed.select("block", "vecs", "tags", "ns"), spark.sparkContext.broadcast(Blocks(listed, width)), centres
+
+
+# ---------------------------------------------------------------- queries
 
+def _chunks(queries: DataFrame, centres) -> DataFrame:
+    """chunk, vecs: queries of one cell or neighbouring ones, packed; the i-th of a chunk has the number chunk * CHUNK + i."""
+    spark = queries.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (_celled(queries.select("vec"), centres).withColumn("lacks", F.xxhash64(F.transform("vec", lambda x: F.isnan(x))))
+               .repartitionByRange(parts, "lacks", "cell", "at", "vec").sortWithinPartitions("lacks", "cell", "at", "vec"))
 
-def _second_visit(queries: DataFrame, extents: dict, k: int, width: int) -> DataFrame:
-    """Blocks within reach that the first visit left out; `queries` has the bound `kth`."""
-    def assign(batches):
+    def pack(batches):
+        from pyspark import TaskContext
+
+        first, seq = TaskContext.get().partitionId() << 32, 0
         for pdf in batches:
-            for (target, own), part in pdf.groupby(["target", "axis"]):
-                vecs = np.stack(part["vec"].to_numpy()).astype(float)
-                # dist^2 is at least width / present times the squared gap along a feature.
-                present = (~np.isnan(vecs)).sum(axis=1)
-                reach = np.sqrt(part["kth"].to_numpy() * present / width) * (1 + 1e-9)
-                for (t, axis), ext in extents.items():
-                    if t != target:
-                        continue
-                    at = vecs[:, axis]
-                    blind = np.isnan(at)
-                    first = np.searchsorted(ext["high"], np.where(blind, -np.inf, at - reach), "left")
-                    stop = np.searchsorted(ext["low"], np.where(blind, np.inf, at + reach), "right")
-                    if axis == own:
-                        low, high = _near(ext, part["at"].to_numpy(), k)
-                        yield _expand(part, ext, first, np.minimum(stop, low))
-                        yield _expand(part, ext, np.maximum(first, high + 1), stop)
-                    else:
-                        yield _expand(part, ext, first, stop)
+            for _, run in pdf.groupby(pdf["lacks"].ne(pdf["lacks"].shift()).cumsum(), sort=False):
+                vecs = run["vec"].to_numpy()
+                for start in range(0, len(run), CHUNK):
+                    yield pd.DataFrame({"chunk": [first + seq], "vecs": [np.stack(vecs[start:start + CHUNK]).astype(float).tobytes()]})
+                    seq += 1
+
+    return settle(ordered.mapInPandas(pack, "chunk long, vecs binary"), "queries")
+
+
+VISIT = "block long, chunk long, rows binary, vecs binary"
 
-    return queries.mapInPandas(assign, VISIT)
+
+def _visits(chunks: DataFrame, blocks, k: int, impute: list[int] | None, again: bool) -> DataFrame:
+    """The queries of each chunk that visit a block: first the nearest blocks, then (`again`, with `reach`) what else is in reach."""
+    def targets_of(q: np.ndarray) -> np.ndarray:
+        return np.array([f for f in impute if np.isnan(q[f])], int) if impute is not None else np.zeros(0, int)
+
+    def route(batches):
+        index: Blocks = blocks.value
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                q = np.frombuffer(row.vecs, np.float64).reshape(-1, index.width)
+                bounds = index.bounds(q)
+                visit = index.first(bounds, targets_of(q[0]), k)
+                if again:
+                    reach = np.full(len(q), np.inf)
+                    for e in row.reach if row.reach is not None else []:
+                        reach[e["i"]] = e["kth"]
+                    visit = (bounds <= reach[:, None]) & np.isfinite(bounds) & ~visit
+                at = np.flatnonzero(visit.any(axis=0))
+                rows = [np.flatnonzero(visit[:, b]).astype("int32") for b in at]
+                if len(at):
+                    yield pd.DataFrame({"block": index.block[at], "chunk": row.chunk, "rows": [r.tobytes() for r in rows], "vecs": [q[r].tobytes() for r in rows]})
+
+    return chunks.mapInPandas(route, VISIT)
 
 
 # ---------------------------------------------------------------- distances
 
-def _nearest_in_block(q: np.ndarray, x: np.ndarray, tags: np.ndarray, k: int):
-    """Per query the k nearest donors by (squared distance, tag); features missing on either side are left out."""
+def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Squared distances over the features both have, scaled up to all; infinite without a common one."""
     width = q.shape[1]
-    total, shared = np.zeros((len(q), len(x))), np.zeros((len(q), len(x)))
+    total = np.zeros((len(q), len(x)))
+    if not (np.isnan(q).any() or np.isnan(x).any()):
+        for f in range(width):
+            total += (q[:, f, None] - x[None, :, f]) ** 2
+        return total
+    shared = np.zeros((len(q), len(x)))
     for f in range(width):
         gap = q[:, f, None] - x[None, :, f]
         here = ~np.isnan(gap)
         total += np.where(here, gap, 0.0) ** 2
         shared += here
     with np.errstate(divide="ignore", invalid="ignore"):
-        dist = np.where(shared > 0, total * (width / shared), np.inf)
-    for i in range(len(q)):
-        row = dist[i]
-        if len(row) > k:
-            near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
-        else:
-            near = np.arange(len(row))
-        near = near[np.isfinite(row[near])]
-        best = near[np.lexsort((tags[near], row[near]))][:k]
-        yield i, row[best], tags[best]
-
-
-def _candidates(visits: DataFrame, blocks: DataFrame, k: int, width: int, tag_type: str) -> DataFrame:
-    chunks = visits.groupBy("block", "target", F.floor(F.col("qid") / CHUNK).alias("chunk")).agg(
-        F.collect_list("qid").alias("qids"), F.collect_list("vec").alias("qvecs"))
-    chunks = settle(chunks, "chunks")
-    salts = chunks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("salts"))
-    # One row per block, so at most about MAX_BLOCKS rows.
-    spread = F.broadcast(salts)
-    left = chunks.join(spread, "block").withColumn("salt", F.pmod("chunk", "salts").cast("int")).drop("salts")
-    right = (blocks.select("block", "vecs", "tags").join(spread, "block")
-             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"))
-    spark = visits.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    pairs = left.repartition(tasks, "block", "salt").join(right, ["block", "salt"])
-    dtype = "float64" if tag_type == "double" else "int64"
-
-    def nearest(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                x = np.frombuffer(row.vecs, dtype="float64").reshape(-1, width)
-                tags = np.frombuffer(row.tags, dtype=dtype)
-                q = np.stack(list(row.qvecs)).astype(float)
-                ids = np.asarray(row.qids)
-                parts = [(np.full(len(d), ids[i]), d, t) for i, d, t in _nearest_in_block(q, x, tags, k)]
-                yield pd.DataFrame({"qid": np.concatenate([p[0] for p in parts]), "target": row.target,
-                                    "dist": np.concatenate([p[1] for p in parts]),
-                                    "tag": np.concatenate([p[2] for p in parts])})
+        return np.where(shared > 0, total * (width / shared), np.inf)
+
+
+def _least(dist: np.ndarray, tags: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k least (distance, tag) with n copies each."""
+    near = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1]) if len(dist) > k else np.arange(len(dist))
+    near = near[np.isfinite(dist[near])]
+    best = near[np.lexsort((tags[near], dist[near]))]
+    best = np.repeat(best, n[best])[:k]
+    return dist[best], tags[best]
+
+
+def _candidates(visits: DataFrame, blocks: DataFrame, k: int, width: int, impute: list[int] | None) -> DataFrame:
+    salts = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("salts"))
+    spread = F.broadcast(salts)  # a row of two numbers for each block
+    left = visits.join(spread, "block").withColumn("salt", F.pmod(F.xxhash64("chunk"), "salts").cast("int")).drop("salts")
+    right = (blocks.join(spread, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"))
+    kind = "long" if impute is None else "double"
+
+    def nearest(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(asked) and len(held):
+            block = held.iloc[0]
+            x = np.frombuffer(block["vecs"], np.float64).reshape(-1, width)
+            tags, n = np.frombuffer(block["tags"], np.int64), np.frombuffer(block["ns"], np.int32)
+            for chunk, rows, vecs in zip(asked["chunk"], asked["rows"], asked["vecs"]):
+                q, rows = np.frombuffer(vecs, np.float64).reshape(-1, width), np.frombuffer(rows, np.int32)
+                dist = _distances(q, x)
+                for i, row in enumerate(dist):
+                    qid = chunk * CHUNK + int(rows[i])
+                    if impute is None:
+                        out.append((qid, -1, *_least(row, tags, n, k)))
+                        continue
+                    for t in impute:
+                        if np.isnan(q[i, t]):
+                            have = ~np.isnan(x[:, t])
+                            out.append((qid, t, *_least(row[have], x[have, t], n[have], k)))
+        counts = [len(o[2]) for o in out]
+        join = lambda j, d: np.concatenate([o[j] for o in out]) if out else np.zeros(0, d)
+        return pd.DataFrame({"qid": np.repeat([o[0] for o in out], counts).astype("int64"), "target": np.repeat([o[1] for o in out], counts).astype("int32"),
+                             "dist": join(2, float), "tag": join(3, "int64" if impute is None else float)})
 
-    found = pairs.select("target", "qids", "qvecs", "vecs", "tags").mapInPandas(
-        nearest, f"qid long, target int, dist double, tag {tag_type}")
-    return found
+    return (left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt"))
+            .applyInPandas(nearest, f"qid long, target int, dist double, tag {kind}"))
 
 
 def _best(candidates: DataFrame, k: int) -> DataFrame:
@@ -222,35 +282,45 @@ def _best(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search(donors: DataFrame, queries: DataFrame, k: int, width: int, tag_type: str) -> DataFrame:
-    """The k nearest donors by (squared distance, tag) as (qid, target, dist, tag, rank).
+def search(donors: DataFrame, queries: DataFrame, k: int, width: int, impute: list[int] | None = None,
+           tally: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """The k nearest donors (vec, tag, n) by (squared distance, tag) as (qid, target, dist, tag, rank), and the queries (qid, vec).
 
-    donors: target, axis, at, vec, tag; queries: qid, target, axis, at, vec, with
-    qid running along the axis.
+    With `impute`, a list of features, every query is searched for each of these that it lacks, among the donors that have
+    it; `tag` is then the donor's value. `tally` gets the number of blocks met by chunks, and of all such meetings.
     """
-    blocks, extents = _pack(donors, tag_type)
-    near = settle(_best(_candidates(_first_visit(queries, extents, k), blocks, k, width, tag_type), k), "near")
-    kth = near.filter(F.col("rank") == k).select("qid", "target", F.col("dist").alias("kth"))
-    bounded = (queries.join(kth, ["qid", "target"], "left")
-               .withColumn("kth", F.coalesce("kth", F.lit(float("inf")))))
-    more = settle(_second_visit(bounded, extents, k, width), "visits")
-    if more.isEmpty():
-        return near
-    rest = _candidates(more, blocks, k, width, tag_type)
-    return _best(near.drop("rank").unionByName(rest), k)
-
-
-def _number(queries: DataFrame) -> DataFrame:
-    """Numbers queries along their axis, so that those of one chunk visit the same blocks."""
-    spark = queries.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = queries.repartitionByRange(parts, "axis", "at", "vec").sortWithinPartitions("axis", "at")
-    return settle(ordered.withColumn("qid", F.monotonically_increasing_id()), "queries")
-
+    blocks, index, centres = _pack(donors, width, k)
+    chunks = _chunks(queries, centres)
+    visits = settle(_visits(chunks, index, k, impute, False), "visits")
+    near = settle(_best(_candidates(visits, blocks, k, width, impute), k), "near")
+    # A query's reach is its farthest k-th distance; targets with fewer than k donors so far leave it open.
+    full = near.groupBy("qid", "target").agg(F.max(F.when(F.col("rank") == k, F.col("dist"))).alias("kth"))
+    wanted = F.lit(1) if impute is None else F.col("wanted")
+    vec = F.col("vec")
+    # NaN comes back from Arrow as null.
+    numbered = (chunks.mapInPandas(_unpacked(width), "qid long, vec array<double>")
+                .select("qid", F.transform("vec", lambda x: F.coalesce(x, F.lit(NAN))).alias("vec")))
+    if impute is not None:
+        lacks = F.size(F.filter(F.array(*[F.lit(f) for f in impute]), lambda f: F.isnan(F.get(vec, f))))
+        full = full.join(numbered.select("qid", lacks.alias("wanted")), "qid")
+    reach = (full.withColumn("wanted", wanted).groupBy("qid").agg(F.max("kth").alias("kth"), F.count("kth").alias("n"), F.max("wanted").alias("wanted"))
+             .filter("n = wanted").groupBy(F.floor(F.col("qid") / CHUNK).alias("chunk"))
+             .agg(F.collect_list(F.struct(F.pmod("qid", F.lit(CHUNK)).cast("int").alias("i"), "kth")).alias("reach")))
+    more = settle(_visits(chunks.join(reach, "chunk", "left"), index, k, impute, True), "visits")
+    if tally is not None:
+        tally.update(met=visits.count() + more.count(), all=chunks.count() * len(index.value.block))
+    found = near if more.isEmpty() else _best(near.drop("rank").unionByName(_candidates(more, blocks, k, width, impute)), k)
+    return found, numbered
+
+
+def _unpacked(width: int):
+    def unpack(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                q = np.frombuffer(row.vecs, np.float64).reshape(-1, width)
+                yield pd.DataFrame({"qid": row.chunk * CHUNK + np.arange(len(q)), "vec": list(q)})
 
-def _by_spread(facts: dict[str, dict], columns: list[str]) -> list[int]:
-    """Features from the widest spread to the narrowest: the wider, the fewer blocks in reach."""
-    return sorted(range(len(columns)), key=lambda i: (-(facts[columns[i]]["std"] or 0.0), i))
+    return unpack
 
 
 # ---------------------------------------------------------------- imputation
@@ -264,7 +334,6 @@ class KnnModel(Fitted):
         super().__init__(name, {"columns": columns, "n_neighbors": k,
                                 "means": {c: facts[c]["mean"] for c in used}}, None)
         self.columns, self.used, self.k = columns, used, k
-        self.order = _by_spread(facts, used)
         self.points = settle(df.select(self._vec().alias("vec")).groupBy("vec")
                              .agg(F.count(F.lit(1)).alias("n")), "points")
 
@@ -285,22 +354,14 @@ class KnnModel(Fitted):
         if not total:
             return whole.select(*df.columns)
         missing = F.array_compact(F.array(*[F.when(F.isnan(F.get(vec, F.lit(i))), F.lit(i)) for i in range(width)]))
-        present = F.array_compact(F.array(*[F.when(~F.isnan(F.get(vec, F.lit(i))), F.lit(i)) for i in range(width)]))
-        empty = {r["target"] for r in wanted.select(F.explode(missing).alias("target")).distinct().collect()}
+        empty = sorted(r["target"] for r in wanted.select(F.explode(missing).alias("target")).distinct().collect())
         target = F.col("target")
-
-        def placed(table):
-            return (table.withColumn("axis", _axis(vec, self.order, target)).filter("axis is not null")
-                    .withColumn("at", _pick(vec, F.col("axis"))))
-
-        # More than k copies of a donor never count.
-        copies = F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int"))
-        donors = placed(self.points.withColumn("target", F.explode(present)).filter(target.isin(*empty))
-                        .withColumn("tag", _pick(vec, target)).withColumn("copy", F.explode(copies)))
-        queries = _number(placed(wanted.withColumn("target", F.explode(missing))).select("target", "axis", "at", "vec"))
-        found = search(donors.select("target", "axis", "at", "vec", "tag"), queries, k, width, "double")
+        # More than k copies of a donor never count; one without any feature is no donor, and no query finds one without a feature.
+        some = F.exists(vec, lambda x: ~F.isnan(x))
+        donors = self.points.filter(some).select("vec", F.lit(0).cast("long").alias("tag"), F.least(F.col("n"), F.lit(k)).cast("int").alias("n"))
+        found, queries = search(donors, wanted.filter(some), k, width, empty)
         fills = (found.groupBy("qid").agg(*[F.avg(F.when(target == i, F.col("tag"))).alias(f"fill{i}") for i in empty])
-                 .join(queries.select("qid", "vec"), "qid").groupBy("vec")
+                 .join(queries, "qid").groupBy("vec")
                  .agg(*[F.max(f"fill{i}").alias(f"fill{i}") for i in empty]))
         facts = settle(wanted.join(fills, "vec", "left"), "fills")
         filled_rows = lookup_join(rows.filter(lacking), facts, "vec", "n", total)
@@ -339,23 +400,17 @@ def knn_edges(df: DataFrame, key: str, k: int, columns: list[str] | None = None)
     """
     columns = columns or chosen(df, {"columns": None, "exclude": [key]}, "neighbours")
     spread = _filled_spread(df, columns)
-    facts = {c: {"std": f["std_pop"]} for c, f in spread.items()}
     used = [c for c in columns if spread[c]["count"]]
-    order = _by_spread(facts, used)
-    vec = F.col("vec")
     rows = settle(df.select(col(key).cast("long").alias("src"),
                             _vector([filled(c, spread[c]["mean"]) for c in used]).alias("vec")), "rows")
     # Of the copies of a vector only the k + 1 smallest keys can be anyone's neighbours.
     ranked = Window.partitionBy("vec").orderBy("src")
     donors = rows.withColumn("n", F.row_number().over(ranked)).filter(F.col("n") <= k + 1)
-    axis = F.lit(order[0])
-    donors = donors.select(F.lit(0).alias("target"), axis.alias("axis"), _pick(vec, axis).alias("at"), "vec",
-                           F.col("src").alias("tag"))
+    donors = donors.select("vec", F.col("src").alias("tag"), F.lit(1).alias("n"))
     vectors = settle(rows.groupBy("vec").agg(F.count(F.lit(1)).alias("n")), "vectors")
-    queries = _number(vectors.select(F.lit(0).alias("target"), axis.alias("axis"), _pick(vec, axis).alias("at"), "vec"))
-    found = search(donors, queries, k + 1, len(used), "long")
+    found, queries = search(donors, vectors, k + 1, len(used))
     lists = (found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "dist", "tag"))).alias("near"))
-             .join(queries.select("qid", "vec"), "qid").drop("qid"))
+             .join(queries, "qid").drop("qid"))
     facts_table = settle(vectors.join(lists, "vec"), "lists")
     joined = lookup_join(rows, facts_table, "vec", "n", spread[columns[0]]["rows"])
     others = F.slice(F.filter("near", lambda e: e["tag"] != F.col("src")), 1, k)
