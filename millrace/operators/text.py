@@ -6,6 +6,7 @@ features needs no shuffle; only learning a vocabulary does.
 
 from __future__ import annotations
 
+import math
 from typing import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,12 +26,78 @@ MAX_TERMS = 100_000
 
 # ---------------------------------------------------------------- counting
 
-def top_terms(df: DataFrame, tokens: Column, k: int) -> list[tuple[str, int]]:
-    """The k most frequent tokens of all rows with their counts; ties by token."""
+def _masked(words: Column, known: list[str]) -> Column:
+    """The words with all but the known ones as null, so that no n-gram is built of others."""
+    if not known:
+        return F.array().cast("array<string>")
+    return F.transform(words, lambda w: F.when(w.isin(known), w))
+
+
+# Items that a heavy-hitter summary tracks, and how many times k go on to the exact count.
+TRACKED = 20_000
+MARGIN = 4
+
+
+def _kept_counts(df: DataFrame, tokens: Column, terms: list[str], rows: bool = False) -> dict[str, int]:
+    """Exact occurrences of the given terms, or rows that hold them, in one scan; only they leave their rows."""
+    if not terms:
+        return {}
+    kept = F.filter(tokens, lambda t: t.isin(terms))
+    each = df.select(F.explode(F.array_distinct(kept) if rows else kept).alias("term"))
+    return {r["term"]: r["count"] for r in each.groupBy("term").count().collect()}  # at most the terms
+
+
+def heavy_terms(df: DataFrame, tokens: Column, k: int) -> list[tuple[str, int]]:
+    """The k most frequent tokens of all rows with their counts; ties by token.
+
+    Each task keeps a bounded Misra-Gries summary of its tokens, and these are merged. The items it ranks first are
+    then counted exactly. They are the answer if the k-th count passes whatever a token outside of them can have: the
+    estimate at which the list was cut, or twice the summary's error for one that it dropped or was unsure of. Else
+    all tokens are counted, so the result is exact in any case.
+    """
     if k > MAX_TERMS:
         raise ValueError(f"max_features may be at most {MAX_TERMS}")
-    counts = df.select(F.explode_outer(tokens).alias("term")).filter("term is not null").groupBy("term").count()
-    return [tuple(r) for r in counts.orderBy(F.desc("count"), F.asc("term")).limit(k).collect()]
+    tracked = max(TRACKED, 8 * MARGIN * k)
+    listed = MARGIN * k
+    each = df.select(F.explode(tokens).alias("term")).filter("term is not null")
+    seen = each.agg(F.expr(f"approx_top_k(term, {listed}, {tracked})").alias("top"), F.count("term").alias("total")).first()
+    top = seen["top"] or []
+    slots = 1 << math.ceil(math.log2(tracked / 0.75))
+    outside = max(top[-1]["count"] if len(top) == listed else 0, 2 * int(3.5 * seen["total"] / slots))
+    exact = _kept_counts(df, tokens, [t["item"] for t in top])
+    ranked = sorted(exact.items(), key=lambda r: (-r[1], r[0]))[:k]
+    if sum(exact.values()) == seen["total"]:
+        outside = 0  # nothing is left
+    if len(ranked) == k and ranked[-1][1] > outside or not outside:
+        return ranked
+    return [tuple(r) for r in each.groupBy("term").count().orderBy(F.desc("count"), F.asc("term")).limit(k).collect()]
+
+
+def heavy_ngrams(df: DataFrame, words: Column, low: int, high: int, k: int) -> list[tuple[str, int]]:
+    """As heavy_terms for the n-grams of low..high words.
+
+    An n-gram is at most as frequent as each of its words. With single words among them, the k-th most frequent word bounds
+    what is in the answer, so only runs of words that are as frequent are built at all.
+    """
+    if low > 1:
+        return heavy_terms(df, ngrams(words, low, high), k)
+    single = heavy_terms(df, words, k)
+    if high == 1 or not single:
+        return single
+    if len(single) == k:
+        least = single[-1][1]
+        masked = _masked(words, [t for t, n in single if n > least])
+    else:
+        least, masked = 0, words  # the list has every word
+    runs = heavy_terms(df, F.filter(ngrams(masked, 2, high), lambda g: g.isNotNull()), k)
+    ranked = sorted(single + runs, key=lambda r: (-r[1], r[0]))[:k]
+    # With a tie at the least count, runs of words that are no more frequent than that could be in the answer.
+    return ranked if ranked[-1][1] > least else heavy_terms(df, ngrams(words, low, high), k)
+
+
+def top_terms(df: DataFrame, tokens: Column, k: int) -> list[tuple[str, int]]:
+    """The k most frequent tokens of all rows with their counts; ties by token."""
+    return heavy_terms(df, tokens, k)
 
 
 def count_terms(df: DataFrame, tokens: Column, terms: list[str], out: str) -> DataFrame:
@@ -72,9 +139,9 @@ class Vectorizer(Step):
         """The words as a column of their own, so that terms that use them several times don't scan the text again."""
         return df.withColumn(cls.WORDS, word_tokens(col(p["text_column"])))
 
-    def vocabulary(self, df, p):
-        top = top_terms(self.bound(df, p), self.tokens(p), p["max_features"])
-        return sorted(t for t, _ in top)
+    def heavy(self, df, p) -> list[tuple[str, int]]:
+        """The vocabulary's terms and their occurrences."""
+        return heavy_terms(self.bound(df, p), self.tokens(p), p["max_features"])
 
     @staticmethod
     def wide_form(df: DataFrame, terms: list[str], out: str) -> DataFrame:
@@ -95,14 +162,9 @@ class TfIdf(Vectorizer):
     def learn(self, df):
         p = dict(self.options)
         _text(df, p["text_column"])
-        vocabulary = self.vocabulary(df, p)
-        found = F.array_distinct(F.filter(self.tokens(p), lambda t: t.isin(*vocabulary)))
         rows = df.count()
-        holding = {r["t"]: r["count"] for r in
-                   self.bound(df, p).select(F.explode_outer(found).alias("t")).filter("t is not null").groupBy("t").count().collect()} if vocabulary else {}
-        import math
-
-        p["idf"] = {t: math.log((1 + rows) / (1 + holding[t])) + 1 for t in vocabulary}
+        holding = _kept_counts(self.bound(df, p), self.tokens(p), [t for t, _ in self.heavy(df, p)], rows=True)
+        p["idf"] = {t: math.log((1 + rows) / (1 + n)) + 1 for t, n in sorted(holding.items())}
         return p
 
     @staticmethod
@@ -140,7 +202,10 @@ class NGramCounts(Vectorizer):
     def learn(self, df):
         p = dict(self.options)
         _text(df, p["text_column"])
-        return {**p, "vocabulary": self.vocabulary(df, p)}
+        return {**p, "vocabulary": sorted(t for t, _ in self.heavy(df, p))}
+
+    def heavy(self, df, p):
+        return heavy_ngrams(self.bound(df, p), F.col(self.WORDS), p["low"], p["high"], p["max_features"])
 
     @staticmethod
     def apply(df, params):
@@ -152,9 +217,10 @@ class NGramCounts(Vectorizer):
         return {"n_features": len(params["vocabulary"]), "top_ngrams": params["vocabulary"][:20]}
 
 
-def term_counts(df: DataFrame, key: list[str], tokens: Column, table: DataFrame) -> DataFrame:
+def term_counts(df: DataFrame, key: list[str], tokens: Column, table: DataFrame, terms: list[str]) -> DataFrame:
     """Rows (key, term, n, ...) of the terms in a table of at most MAX_TERMS rows, whose columns are added."""
-    words = df.select(*[col(k) for k in key], F.explode(tokens).alias("term"))
+    known = F.filter(tokens, lambda t: t.isin(terms)) if terms else F.array().cast("array<string>")
+    words = df.select(*[col(k) for k in key], F.explode(known).alias("term"))
     return (words.join(F.broadcast(table), "term").groupBy(*[col(k) for k in key], *table.columns)
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -162,7 +228,7 @@ def term_counts(df: DataFrame, key: list[str], tokens: Column, table: DataFrame)
 def tfidf_long(df: DataFrame, key: list[str], fitted: Fitted) -> DataFrame:
     """TF-IDF as rows (key, term, value)."""
     idf = df.sparkSession.createDataFrame(list(fitted.params["idf"].items()), "term string, idf double")
-    weighted = term_counts(TfIdf.bound(df, fitted.params), key, TfIdf.tokens(fitted.params), idf).withColumn("w", F.col("n") * F.col("idf"))
+    weighted = term_counts(TfIdf.bound(df, fitted.params), key, TfIdf.tokens(fitted.params), idf, list(fitted.params["idf"])).withColumn("w", F.col("n") * F.col("idf"))
     # One row's terms, so at most the vocabulary's size.
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*[col(k) for k in key])))
     return weighted.select(*[col(k) for k in key], "term", (F.col("w") / length).alias("value"))
@@ -170,8 +236,11 @@ def tfidf_long(df: DataFrame, key: list[str], fitted: Fitted) -> DataFrame:
 
 def ngrams_long(df: DataFrame, key: list[str], fitted: Fitted) -> DataFrame:
     """N-gram counts as rows (key, term, n)."""
-    terms = df.sparkSession.createDataFrame([(t,) for t in fitted.params["vocabulary"]], "term string")
-    return term_counts(NGramCounts.bound(df, fitted.params), key, NGramCounts.tokens(fitted.params), terms).select(*[col(k) for k in key], "term", "n")
+    p = fitted.params
+    terms = df.sparkSession.createDataFrame([(t,) for t in p["vocabulary"]], "term string")
+    parts = sorted({w for t in p["vocabulary"] for w in t.split(" ")})
+    tokens = ngrams(_masked(F.col(NGramCounts.WORDS), parts), p["low"], p["high"])
+    return term_counts(NGramCounts.bound(df, p), key, tokens, terms, p["vocabulary"]).select(*[col(k) for k in key], "term", "n")
 
 
 # ---------------------------------------------------------------- sentiment
