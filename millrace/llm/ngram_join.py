@@ -9,12 +9,13 @@ go no further.
 
 All sets that share a key get a link candidate to the least of them, their hub, so candidates grow with the keys, never
 with pairs. Hub and members meet in a prefix tree: the grams of its sets get one order, most frequent first (ties by
-hash), so that sets share long paths. Every set then walks the tree: a node's overlap is added once for all sets below
-it, a subtree is left where overlap plus the most that can still be common (bounded by the longest set below and by what
-is left of the walker) can't reach the bound of the shortest set below, and a subtree that is wholly linked to the
-walker already is not entered, so groups of near copies take about one leaf for each member. Groups beyond `GRAMS` are
-dealt to several trees, with the hub in each. Where such a group is still in several components afterwards, a second
-round walks all its trees by every member that isn't in its largest component; each missing link has such an end.
+hash), so that sets share long paths. The sets then walk the tree together: a node's overlap with each walker is added
+once for all sets below it. A walker leaves a subtree where overlap plus the most that can still be common (bounded by
+the longest set below and by what is left of the walker) can't reach the bound of the shortest set below, and it does
+not enter one that is wholly linked to it already, so groups of near copies end at few leaves. Sets that nearly link
+are compared node by node, in one array operation for all walkers. Groups beyond `GRAMS` are dealt to several trees,
+with the hub in each. Where such a group is still in several components afterwards, a second round walks all its trees
+by every member that isn't in its largest component; each missing link has such an end.
 
 Defined cases: words are runs of other than ASCII white space, A-Z in lower case; fewer than 4 words make one gram; a null
 or empty text has an empty set, links with nothing and is its own component; texts of any length are taken whole; equal
@@ -26,7 +27,6 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,6 +44,7 @@ PERCENT = 85
 SEED = 11
 GRAMS = 1 << 17  # grams of the sets of one tree, about
 STORE = 1 << 17  # word hashes that a worker keeps
+TABLE = 1 << 24  # bytes of the table of grams and walkers of one tree, about
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,7 +138,7 @@ def part_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def linked(common: int, a: int, b: int, percent: int) -> bool:
+def linked(common, a, b, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
@@ -191,76 +192,67 @@ class PrefixTree:
             stack += [(a, b, upto, node) for a, b in zip(cuts, cuts[1:])][::-1]
 
 
-class Roots:
-    """Union-find over the labels of a group."""
-
-    def __init__(self, labels: list):
-        self.up = {x: x for x in labels}
-
-    def find(self, x):
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def union(self, a, b) -> None:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-
-
 def tree_links(sets: list[np.ndarray], labels: list[int], walkers: list[int], percent: int = PERCENT) -> tuple[list[tuple[int, int]], int]:
     """Pairs of places in `sets` that link, enough to join all that the walkers' links join, and the nodes visited.
 
-    Sets that share a label are joined already.
+    Sets that share a label are joined already. The walkers go down the tree together, as many as a table of the grams
+    they hold allows, so a visit to a node is one step for all that are still on the way.
     """
     _, back, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(counts), np.int64)
     rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
-    ends = np.cumsum([len(s) for s in sets])
-    ranks = [np.sort(r) for r in np.split(rank[back], ends[:-1])]
-    tree, roots, out, visited = PrefixTree(ranks), Roots(labels), [], 0
-    sizes = [len(s) for s in sets]
-    has, upto = np.zeros(len(counts), bool), np.zeros(len(counts) + 1, np.int64)
-    joined: dict[int, int] = {}  # of a node whose sets are all joined, one of them
-
-    def uniform(node: int) -> int | None:
-        """A set of the subtree if all its sets are joined."""
-        if node not in joined:
-            first, last = tree.below[node]
-            root = roots.find(labels[tree.order[first]])
-            if any(roots.find(labels[tree.order[i]]) != root for i in range(first + 1, last)):
-                return None
-            joined[node] = tree.order[first]
-        return joined[node]
-
-    for w in walkers:
-        if (one := uniform(0)) is not None and roots.find(labels[one]) == roots.find(labels[w]):
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ranks = [np.sort(r) for r in np.split(rank[back], np.cumsum(sizes)[:-1])]
+    tree, out, visited = PrefixTree(ranks), [], 0
+    root = np.unique(np.array(labels), return_inverse=True)[1]
+    order = np.array(tree.order)
+    # The grams up to the last one of any node, for the bound on what is left of a walker.
+    lasts = np.unique([g[-1] + 1 for g in tree.grams if len(g)])
+    row = {int(x): i for i, x in enumerate(lasts)}
+    step = max(TABLE // (len(counts) + 4 * len(lasts) + 1), 1)
+    for begin in range(0, len(walkers), step):
+        if (root == root[0]).all():
             break
-        size = sizes[w]
-        has[ranks[w]] = True
-        np.cumsum(has, out=upto[1:])
-        overlap: dict[int, int] = {-1: 0}
+        group = np.array(walkers[begin:begin + step])
+        size = sizes[group]
+        has = np.zeros((len(counts), len(group)), np.uint8)
+        for i, w in enumerate(group):
+            has[ranks[w], i] = 1
+        upto = np.cumsum(np.add.reduceat(has, np.concatenate([[0], lasts[:-1]]), axis=0, dtype=np.int32), axis=0)
+        path: list[tuple[int, np.ndarray, np.ndarray]] = []  # nodes above, the walkers that went on there and their overlaps
         node = 0
         while node < len(tree.begin):
-            one = uniform(node) if len(tree.grams[node]) else None
-            if one is not None and roots.find(labels[one]) == roots.find(labels[w]):
+            while path and path[-1][0] != tree.parent[node]:
+                path.pop()
+            at, common = path[-1][1:] if path else (np.arange(len(group)), np.zeros(len(group), np.int64))
+            first, last = tree.below[node]
+            inside = root[order[first:last]]
+            if (inside == inside[0]).all():  # those joined to all sets below need not go there
+                apart = root[group[at]] != inside[0]
+                at, common = at[apart], common[apart]
+            if not len(at):
                 node = tree.after[node]
                 continue
             visited += 1
             grams = tree.grams[node]
-            common = overlap[tree.parent[node]] + int(has[grams].sum())
-            depth = tree.begin[node] + len(grams)
-            left = size - int(upto[grams[-1] + 1]) if len(grams) else size
-            best = common + min(tree.most[node] - depth, left)
-            if 100 * best < percent * (size + max(tree.least[node], best) - best):
-                node = tree.after[node]
-                continue
-            overlap[node] = common
+            left = size[at]
+            if len(grams):
+                common = common + has[grams][:, at].sum(axis=0, dtype=np.int64)
+                left = left - upto[row[int(grams[-1]) + 1], at]
+            best = common + np.minimum(tree.most[node] - tree.begin[node] - len(grams), left)
+            able = 100 * best >= percent * (size[at] + np.maximum(tree.least[node], best) - best)
+            at, common = at[able], common[able]
             for leaf in tree.leaves[node]:
-                if leaf != w and roots.find(labels[leaf]) != roots.find(labels[w]) and linked(common, size, sizes[leaf], percent):
-                    roots.union(labels[leaf], labels[w])
-                    out.append((w, leaf))
-            node += 1
-        has[ranks[w]] = False
+                for i in np.flatnonzero((root[group[at]] != root[leaf]) & linked(common, size[at], sizes[leaf], percent)):
+                    w = group[at[i]]
+                    if root[w] != root[leaf]:
+                        root[root == root[w]] = root[leaf]
+                        out.append((int(w), leaf))
+            if len(at):
+                path.append((node, at, common))
+                node += 1
+            else:
+                node = tree.after[node]
     return out, visited
 
 

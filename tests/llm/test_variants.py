@@ -123,6 +123,25 @@ def test_near_copies_visit_few_nodes_each():
         assert len(got) == m - 1 and visited < 4 * m
 
 
+def test_sets_that_nearly_link_take_a_step_for_each_node():
+    npr = np.random.default_rng(5)
+    base = npr.integers(0, 1 << 63, 300, dtype=np.uint64)
+    for m in (100, 400):
+        sets = [np.unique(np.concatenate([npr.choice(base, 255, replace=False), npr.integers(0, 1 << 63, 45, dtype=np.uint64)])) for _ in range(m)]
+        got, visited = ngram_join.tree_links(sets, list(range(m)), list(range(m)))
+        assert got == [] and visited < 2 * m
+
+
+def test_walkers_in_several_lots_find_the_same(monkeypatch):
+    npr = np.random.default_rng(6)
+    base = npr.integers(0, 1 << 63, 40, dtype=np.uint64)
+    sets = [np.unique(npr.choice(base, npr.integers(30, 41), replace=False)) for _ in range(60)]
+    links_of = lambda: brute_components(ngram_join.tree_links(sets, list(range(60)), list(range(60)))[0])
+    whole = links_of()
+    monkeypatch.setattr(ngram_join, "TABLE", 300)
+    assert links_of() == whole
+
+
 def plain_words(rows):
     n = Counter()
     for i, text in rows:
