@@ -113,6 +113,40 @@ def test_bin_completion_comes_near_the_bound():
     assert sequences(packing.plan(dict(zip(values.tolist(), n.tolist())), 4096)) <= -(-sizes.sum() // 4096) + 2
 
 
+def fewest_of_all(sizes, capacity):
+    """Exhaustive: for every subset, the fewest sequences and then the least filled last one."""
+    best = {0: (0, capacity)}
+    for mask in range(1, 1 << len(sizes)):
+        options = []
+        for i, size in enumerate(sizes):
+            if mask >> i & 1:
+                n, filled = best[mask ^ 1 << i]
+                options.append((n, filled + size) if filled + size <= capacity else (n + 1, size))
+        best[mask] = min(options)
+    return best[(1 << len(sizes)) - 1][0]
+
+
+def test_bin_completion_takes_the_fewest_against_exhaustive_search():
+    rng = random.Random(12)
+    cases = [([60, 51, 37, 32, 24, 19, 9, 5, 53], 100)]
+    for _ in range(400):
+        capacity = rng.choice([20, 60, 100])
+        cases.append(([rng.randrange(1, capacity * 2 // 3) for _ in range(9)], capacity))
+    for sizes, capacity in cases:
+        want = fewest_of_all(sizes, capacity)
+        counts = {s: sizes.count(s) for s in sizes}
+        rows = packing.plan(counts, capacity)
+        filled(rows, capacity)
+        assert packing.fewest(counts, capacity) <= want == sequences(rows)
+
+
+def test_waste_stays_small_where_large_pieces_dominate():
+    sizes = np.random.default_rng(0).lognormal(7.5, 0.6, 50_000).astype(int).clip(1, 4096)
+    values, n = np.unique(sizes, return_counts=True)
+    counts = dict(zip(values.tolist(), n.tolist()))
+    assert packing.fewest(counts, 4096) == 24_934 and sequences(packing.plan(counts, 4096)) <= 24_940
+
+
 @pytest.mark.parametrize("n", [1500, 2500, 9000])
 def test_many_shortest_pieces_are_planned(n):
     assert sequences(packing.plan({1: n}, 4096)) == -(-n // 4096)
