@@ -28,11 +28,9 @@ from millrace.schema import col
 
 # Words are runs of ASCII letters and digits and of all characters outside ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK_END = r"[.!?;]+[ \t]+|\n"  # the blocks of the SQL, which ends them at each line break
 # A line without a word may hold comment marks.
 SENTENCE_END = r"[.!?]+\s++(?![0-9])|\n[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*+\n"
 THRESHOLD = 0.9
-MAX_BLOCK = 4  # the SQL's bound on a block's distinct words; the scan has none
 
 # Phrases of the base labels.
 PHRASES = [(("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl")]

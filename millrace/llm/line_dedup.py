@@ -10,7 +10,8 @@ that delete from the segments in question, as hashed keys. On one variant, all l
 position are one edit apart, and so is the line that equals the variant from all of them, so each line takes the
 earliest of these; no pairs are listed. The pair found is verified by its edit distance.
 
-Near matches are looked for where the shorter line has `NEAR_FROM` characters or more; shorter lines go if equal.
+Near matches are looked for where the shorter line has `NEAR_FROM` characters or more, so that something is left in common;
+of shorter lines any two would be one edit apart, so they go if equal.
 
 Defined cases: null and empty texts have no lines; lines without a word never go and match nothing; rows that share an
 id are one document, so equal line numbers of such rows don't remove each other; equal lines within one document go
@@ -31,7 +32,7 @@ from millrace.runtime import BROADCAST_BYTES, settle
 from millrace.schema import col
 
 PARTS = 4
-NEAR_FROM = 20
+NEAR_FROM = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
 

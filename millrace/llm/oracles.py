@@ -47,6 +47,11 @@ _PHRASE_TESTS = " ".join(
     "WHEN " + " AND ".join(f"{c} = '{w}'" for c, w in zip("abc", phrase)) + f" THEN '{label}'"
     for phrase, label in license_scan.PHRASES)
 
+# The scan's blocks without look-ahead: marks before a number are taken out first.
+_SPACE = r"[ \t\n\x0B\f\r]"
+_NUMBERED = rf"[.!?]+({_SPACE}+[0-9])"
+_BLOCK_END = rf"[.!?]+{_SPACE}+|\n[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*\n"
+
 LICENSE_SCAN = rf"""
 WITH docs AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
 tokens AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) - 1 AS i
@@ -56,10 +61,9 @@ hits AS (SELECT doc_id, i, CASE {_PHRASE_TESTS} END AS label FROM triples),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi FROM hits WHERE label IS NOT NULL GROUP BY doc_id),
 templates AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(label, words, need)),
 blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(block, '{license_scan.WORD}')) AS words
-  FROM (SELECT doc_id, unnest(string_split_regex(low, '{license_scan.BLOCK_END}')) AS block FROM docs)),
+  FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(low, '{_NUMBERED}', ' \1', 'g'), '{_BLOCK_END}')) AS block FROM docs)),
 found AS (SELECT doc_id, label, len(list_intersect(b.words, t.words)) / len(t.words) AS share FROM blocks b, templates t
-  WHERE len(b.words) >= need AND len(b.words) <= {license_scan.MAX_BLOCK} * len(t.words)
-    AND len(list_intersect(b.words, t.words)) >= need),
+  WHERE len(b.words) >= need AND len(list_intersect(b.words, t.words)) >= need),
 best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id),
 base_names AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS names
   FROM (SELECT DISTINCT doc_id, label FROM hits WHERE label IS NOT NULL) GROUP BY doc_id),
@@ -71,6 +75,7 @@ SELECT doc_id, len(regexp_extract_all(low, '{license_scan.WORD}'))::BIGINT AS n_
 FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN base_names USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
+# levenshtein() counts bytes, and a character has up to four; so one edit is looked for at each place.
 LINE_DEDUP = rf"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
 worded AS (SELECT * FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
@@ -78,7 +83,8 @@ classes AS (SELECT line, length(line) AS n, min((doc_id, no)) AS first FROM word
 near AS (SELECT a.line, min(b.first) AS first FROM classes a JOIN classes b ON b.n BETWEEN a.n - 1 AND a.n + 1
     AND least(a.n, b.n) >= {line_dedup.NEAR_FROM} AND b.first < a.first AND a.line != b.line
     AND (left(a.line, a.n // 2 - 1) = left(b.line, a.n // 2 - 1) OR right(a.line, a.n // 2 - 1) = right(b.line, a.n // 2 - 1))
-  WHERE levenshtein(a.line, b.line) <= 1 GROUP BY a.line),
+  WHERE levenshtein(a.line, b.line) <= 4 AND len(list_filter(range(greatest(a.n, b.n)), lambda k: left(a.line, k) = left(b.line, k)
+    AND right(a.line, a.n - k - (a.n >= b.n)::INTEGER) = right(b.line, b.n - k - (b.n >= a.n)::INTEGER))) > 0 GROUP BY a.line),
 matched AS (SELECT w.doc_id, w.no, coalesce(near.first, c.first) AS match, (near.first IS NOT NULL)::INTEGER AS n_edits
   FROM worded w JOIN classes c USING (line) LEFT JOIN near USING (line))
 SELECT doc_id, no::INTEGER AS line_no, match[1] AS match_doc_id, match[2]::INTEGER AS match_line_no, n_edits
@@ -89,8 +95,8 @@ URL_FILTER = rf"""
 WITH parsed AS (SELECT page_id, regexp_replace(lower(regexp_extract(coalesce(url, ''), '{url_filter.HOST}', 1)), '\.+$', '') AS host,
     list_filter(string_split(regexp_extract(coalesce(url, ''), '{url_filter.PATH}', 1), '/'), lambda s: s != '') AS path,
     DATE '2024-01-01' + (page_id * 53 % 366)::INTEGER AS fetched FROM pages),
-entries AS (SELECT lower(CASE WHEN page_id % 20 IN (1, 7) THEN host WHEN page_id % 20 IN (3, 13) THEN regexp_replace(host, '^[^.]*\.', '')
-      ELSE concat_ws('/', host, path[1]) END) AS rule, page_id % 20 IN (1, 3, 11) AS added,
+entries AS (SELECT CASE WHEN page_id % 20 IN (1, 7) THEN host WHEN page_id % 20 IN (3, 13) THEN regexp_replace(host, '^[^.]*\.', '')
+      ELSE concat_ws('/', host, path[1]) END AS rule, page_id % 20 IN (1, 3, 11) AS added,
     DATE '2024-01-01' + (page_id * 37 % 360)::INTEGER AS day FROM parsed WHERE page_id % 20 IN (1, 3, 7, 11, 13, 17)),
 history AS (SELECT rule, day, bool_or(added) AS added FROM entries WHERE rule != '' GROUP BY rule, day),
 spans AS (SELECT rule, day AS since, added, lead(day) OVER (PARTITION BY rule ORDER BY day) AS until FROM history),

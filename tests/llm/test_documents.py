@@ -148,6 +148,17 @@ WRAPPED = [
 def test_licenses_wrapped_over_lines_are_found(spark):
     df = spark.createDataFrame([(i, f"Copyright someone\n\n{text}\n\nmore") for i, (_, text) in enumerate(WRAPPED)], "doc_id long, text string")
     assert {r["doc_id"]: r["labels"] for r in license_scan.scan(df).collect()} == {i: label for i, (label, _) in enumerate(WRAPPED)}
+    more = df.union(spark.createDataFrame([(20, "gnu general public\nlicense version. 3 x"), (21, "all rights.\n\n2 reserved"),
+                                           (22, "This Source Code Form is subject to the terms of the Mozilla Public License, v.\n 2.0")], df.schema))
+    against_sql(spark, oracles.LICENSE_SCAN, license_scan.scan(more), documents=more)
+
+
+def test_short_lines_one_edit_apart_go_too(spark):
+    lines = ["ab", "ac", "b", "c", "abc", "xabc", "bb", "中文", "中", "中文x", "a", "ba", "", "zz", "yzz", "éé", "éà"]
+    df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+    got = line_dedup.repeated_lines(df)
+    against_sql(spark, oracles.LINE_DEDUP, got, documents=df)
+    assert {r["doc_id"] for r in got.collect()} == {1, 4, 5, 6, 9, 11, 14, 16}
 
 
 def test_licenses_in_long_blocks_against_brute_force(spark):
