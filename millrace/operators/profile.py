@@ -16,7 +16,7 @@ from millrace import schema as S
 from millrace.operators.lookup import lookup_join
 from millrace.operators.moments import pair_moments
 from millrace.operators.quantiles import percentiles
-from millrace.runtime import agg_rows, release, settle
+from millrace.runtime import BROADCAST_BYTES, agg_rows, release, settle
 from millrace.schema import col, dbl
 
 # Names that mark a target column, in the order they are tried.
@@ -237,13 +237,19 @@ def copy_tally(df: DataFrame, subset: list[str] | None = None) -> tuple[int, int
     """
     cells = df.select(*groupable(df, subset))
     names = [col(c) for c in cells.columns]
-    keyed = cells.withColumn("__h", F.struct(F.xxhash64(*names).alias("a"), F.xxhash64(F.lit(1), *names).alias("b")))
-    tally = keyed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
+    keyed = cells.withColumns({"__a": F.xxhash64(*names), "__b": F.xxhash64(F.lit(1), *names)})
+    tally = keyed.groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("__n"))
     rows, beyond = tally.agg(F.sum("__n"), F.sum(F.col("__n") - 1)).first()
     if not beyond:
         return rows or 0, 0
-    shared = settle(tally.filter("__n > 1").withColumn("__shared", F.lit(True)), "copies")
-    again = lookup_join(keyed, shared, "__h", "__n", rows).filter("__shared").groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    shared = settle(tally.filter("__n > 1"), "copies")
+    if shared.count() * 64 <= BROADCAST_BYTES:  # three numbers a row
+        again = keyed.join(F.broadcast(shared), ["__a", "__b"], "left_semi")
+    else:
+        both = F.struct("__a", "__b")
+        table = shared.select(both.alias("__h"), "__n", F.lit(True).alias("__shared"))
+        again = lookup_join(keyed.withColumn("__h", both), table, "__h", "__n", rows, small=False).filter("__shared")
+    again = again.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
     found = again.agg(F.sum(F.col("__n") - 1)).first()[0] or 0
     release(shared)
     return rows, found

@@ -66,10 +66,10 @@ def auto_clean(df: DataFrame, report_after: bool = True) -> Cleaned:
 
     columns = numerics(table)
     if len(columns) >= FOREST_COLUMNS and rows >= FOREST_ROWS:
-        forest = IsolationForest(columns=columns, contamination=FOREST_SHARE).fit(table)
-        removed = forest.metadata["outliers_detected"]
+        inliers = IsolationForest(columns=columns, contamination=FOREST_SHARE).fit_transform(table)
+        removed = rows - inliers.count()
         if removed and removed / rows >= FOREST_MIN_REMOVED:
-            table, rows = settle(forest.transform(table), "inliers"), rows - removed
+            table, rows = inliers, rows - removed
             steps.append("isolation_forest_outlier_removal")
 
     columns = numerics(table)
@@ -95,7 +95,10 @@ def auto_clean(df: DataFrame, report_after: bool = True) -> Cleaned:
         table = scores.select(*[c for c in scores.columns if c.startswith("pca_")], *[col(c) for c in kept])
         steps.append("pca")
 
-    after = analyze(settle(table, "cleaned")) if report_after else before
+    after = before
+    if report_after:
+        table = settle(table, "cleaned")
+        after = analyze(table)
     return Cleaned(table, list(dict.fromkeys(steps)), before, after, suggest(before))
 
 
