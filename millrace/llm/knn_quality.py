@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm.batches import bounded_batches
+from millrace.llm.names import free_names
 from millrace.schema import col
 
 PER_LABEL = 1500   # bound of the sample, for each label
@@ -183,5 +184,6 @@ def keep_good(docs: DataFrame, labelled: DataFrame, labels: DataFrame, id_col: s
               label_col: str = "quality") -> DataFrame:
     """The rows of `docs` that score 0.5 or more, all columns; the model is learnt from the `labelled` documents."""
     model = fit(labelled, labels, id_col, text_col, label_col)
-    return (docs.withColumn("__score", _score_column(docs, model, text_col)).filter("__score >= 0.5")
+    name, = free_names(docs, "score")
+    return (docs.withColumn(name, _score_column(docs, model, text_col)).filter(F.col(name) >= 0.5)
             .select(*[col(c) for c in docs.columns]))

@@ -27,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.llm.names import free_names
 from millrace.operators.lookup import lookup_join
 from millrace.runtime import BROADCAST_BYTES, settle
 from millrace.schema import col
 
 PARTS = 4
 NEAR_FROM = 2
+ROW_BYTES = 160
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
 
@@ -93,7 +95,9 @@ def near_matches(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
     chosen = (keys.join(shared, "key", "left_semi").groupBy("h1").agg(F.bit_or(F.expr("shiftleft(1, slot)")).alias("slots"))
               .join(classes.select("h1", "h2", "first"), "h1"))
     chosen = settle(chosen, "chosen")
-    few = chosen.count() * 64 <= BROADCAST_BYTES
+    # A row of the broadcast table holds nine numbers, its key four, and both the id.
+    size = F.sum(F.lit(ROW_BYTES) + 2 * F.coalesce(F.octet_length(F.col("first.id").cast("string")), F.lit(0)))
+    few = (chosen.agg(size).first()[0] or 0) <= BROADCAST_BYTES
     wanted = chosen.select(F.col("h1"), F.col("h2"), "slots", "first", F.col("first.id").alias("fid"), F.col("first.no").alias("fno"))
     here = lines_of(docs, id_col, text_col)
     same = ((here["h1"] == wanted["h1"]) & (here["h2"] == wanted["h2"]) & (here["no"] == wanted["fno"])
@@ -153,19 +157,20 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            length_col: str = "n_chars") -> DataFrame:
     """The documents without those lines, all columns in place; a document left without a word goes."""
-    gone = (marked_lines(docs, id_col, text_col).groupBy(F.col("id").alias("__id"), F.col("t").alias("__t"))
-            .agg(F.collect_set("no").alias("__gone")))
+    key, h, gone, split, left_over = free_names(docs, "gone_id", "gone_t", "gone", "parts", "kept_text")
+    marked = (marked_lines(docs, id_col, text_col).groupBy(F.col("id").alias(key), F.col("t").alias(h))
+              .agg(F.collect_set("no").alias(gone)))
     # Rows that share an id are told apart by their text, so only the row that holds a line loses it.
-    same = col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(col(text_col).cast("string")) == F.col("__t"))
-    joined = docs.join(gone, same, "left")
+    same = col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(col(text_col).cast("string")) == F.col(h))
+    joined = docs.join(marked, same, "left")
     parts = F.split(col(text_col), "\n", -1)
-    # `__parts` is used twice, so Spark keeps it as a column and does not split anew for every line.
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), col(text_col)).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(F.col("__parts"), i)), "\n"))
+    # The parts are used twice, so Spark keeps them as a column and does not split anew for every line.
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), col(text_col)).otherwise(
+        F.array_join(F.transform(kept, lambda i: F.get(F.col(split), i)), "\n"))
     worded = F.size(F.filter(parts, lambda line: line.rlike(r"\S")))
-    left = joined.filter(F.col("__gone").isNull() | (F.size("__gone") < worded))
-    cleaned = left.withColumn("__parts", parts).withColumn("__text", text)
-    return cleaned.select(*[F.col("__text").alias(c) if c == text_col else
-                            F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == length_col else col(c)
+    left = joined.filter(F.col(gone).isNull() | (F.size(gone) < worded))
+    cleaned = left.withColumn(split, parts).withColumn(left_over, text)
+    return cleaned.select(*[F.col(left_over).alias(c) if c == text_col else
+                            F.length(left_over).cast(docs.schema[c].dataType).alias(c) if c == length_col else col(c)
                             for c in docs.columns])

@@ -41,8 +41,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND 100 * lost_chars <= {rules.MAX_LOST} * word_chars AS kept, n_failed_lines, lost_chars FROM ruled
 """
 
-_TEMPLATES = ", ".join("('%s', [%s], %d)" % (label, ", ".join(f"'{w}'" for w in words), license_scan.need(len(words)))
-                       for _, label, words in license_scan._templates())
+_TEMPLATES = ", ".join("('%s', [%s], %d, %d)" % (label, ", ".join(f"'{w}'" for w in words), license_scan.need(len(words)), wide)
+                       for _, label, words, wide in license_scan._templates())
 _PHRASE_TESTS = " ".join(
     "WHEN " + " AND ".join(f"{c} = '{w}'" for c, w in zip("abc", phrase)) + f" THEN '{label}'"
     for phrase, label in license_scan.PHRASES)
@@ -59,11 +59,14 @@ tokens AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) - 1 AS i
 triples AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM tokens WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 hits AS (SELECT doc_id, i, CASE {_PHRASE_TESTS} END AS label FROM triples),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi FROM hits WHERE label IS NOT NULL GROUP BY doc_id),
-templates AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(label, words, need)),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(block, '{license_scan.WORD}')) AS words
+templates AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(label, words, need, wide)),
+blocks AS (SELECT doc_id, regexp_extract_all(block, '{license_scan.WORD}') AS words
   FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(low, '{_NUMBERED}', ' \1', 'g'), '{_BLOCK_END}')) AS block FROM docs)),
-found AS (SELECT doc_id, label, len(list_intersect(b.words, t.words)) / len(t.words) AS share FROM blocks b, templates t
-  WHERE len(b.words) >= need AND len(list_intersect(b.words, t.words)) >= need),
+held AS MATERIALIZED (SELECT doc_id, label, b.words AS block, t.words, need, wide FROM blocks b, templates t
+  WHERE len(b.words) >= need AND len(list_distinct(list_intersect(b.words, t.words))) >= need),
+windows AS (SELECT doc_id, label, words, need, list_max(list_transform(range(1, len(block) + 1),
+  lambda i: len(list_distinct(list_intersect(list_slice(block, i, i + wide - 1), words))))) AS most FROM held),
+found AS (SELECT doc_id, label, most / len(words) AS share FROM windows WHERE most >= need),
 best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id),
 base_names AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS names
   FROM (SELECT DISTINCT doc_id, label FROM hits WHERE label IS NOT NULL) GROUP BY doc_id),

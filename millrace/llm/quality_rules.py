@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import bounded_batches
+from millrace.llm.names import free_names
 from millrace.schema import col
 
 SPACE = " \t\n\r\x0b\x0c"
@@ -114,7 +115,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def clean(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The kept documents without their failed lines, all columns in place; `length_col` is counted again."""
-    judged = bounded_batches(docs).withColumn("__quality", _judged(docs, text_col, True)).filter("__quality.kept")
-    text = F.col("__quality.text")
+    name, = free_names(docs, "quality")
+    judged = bounded_batches(docs).withColumn(name, _judged(docs, text_col, True)).filter(f"{name}.kept")
+    text = F.col(f"{name}.text")
     return judged.select(*[text.alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c)
                            if c == length_col else col(c) for c in docs.columns])
