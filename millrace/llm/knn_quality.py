@@ -1,8 +1,9 @@
 """Quality classifier by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text is a bag of terms of its form: triples of character classes (letters of either case, digits, marks each for
-itself, spaces, line ends), and how often words repeat. Term counts are damped, weighted by inverse document frequency
-and brought to length one; a truncated singular value decomposition of a bounded sample of labelled texts gives the
+A text is a bag of terms of two kinds. Those of its form are triples of character classes (letters of either case, digits,
+marks each for itself, spaces, line ends), and how often words repeat. The others are its words in lower case, hashed to
+`WORDS` numbers. Term counts are damped and weighted by inverse document frequency, and each kind is brought to length
+one, so that both weigh the same; a truncated singular value decomposition of a bounded sample of labelled texts gives the
 latent directions. These and the sample's vectors are broadcast: at most `(TERMS + 2 * PER_LABEL) * RANK` numbers. Every document is
 projected, its cosines with all labelled vectors are computed exactly, in blocks of documents, and the labels of the
 `NEIGHBOURS` nearest vote with their similarity to the power `SHARPNESS` as weight.
@@ -18,6 +19,8 @@ table gives an empty one; only the id and the text column are read, so other col
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,13 +51,17 @@ for _i, _c in enumerate("\n .,!?#*$%&|<>-'\"/:;@_()"):
 KINDS = int(_CLASSES.max()) + 1
 SHAPES = KINDS ** 3
 REPEATS = 24       # terms for adjacent repeats and for the share of new words, by tenths
-TERMS = SHAPES + REPEATS
+FORM = SHAPES + REPEATS
+WORDS = 1 << 15
+TERMS = FORM + WORDS
+MARKS = ".,;:!?()[]\"'"  # stripped from words
+COLUMNS = 4096     # terms whose columns the fit holds at once
 
 
 def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers and damped counts of a text."""
+    """Term numbers, ascending, and damped counts of a text."""
     data = np.frombuffer(text.encode(), np.uint8)
-    counts = np.zeros(TERMS, np.int64)
+    counts = np.zeros(FORM, np.int64)
     for a in range(0, max(len(data) - 2, 0), SLICE):
         kinds = _CLASSES[data[a:a + SLICE + 2]]
         counts[:SHAPES] += np.bincount((kinds[:-2] * KINDS + kinds[1:-1]) * KINDS + kinds[2:], minlength=SHAPES)
@@ -64,23 +71,38 @@ def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
         counts[SHAPES + (10 * again) // len(words)] = len(words)
         counts[SHAPES + 12 + (10 * len(set(words))) // len(words)] = len(words)
     at = np.flatnonzero(counts)
-    return at, np.log1p(counts[at]).astype(np.float64)
+    times = Counter(w.strip(MARKS) for w in text.lower().split())
+    hashes = np.fromiter((zlib.crc32(w.encode()) % WORDS for w in times), np.int64, len(times))
+    hashed, which = np.unique(hashes, return_inverse=True)
+    repeats = np.bincount(which, weights=np.fromiter(times.values(), float, len(times)), minlength=len(hashed))
+    return np.concatenate([at, FORM + hashed]), np.log1p(np.concatenate([counts[at], repeats]))
 
 
 @dataclass
 class Model:
-    """idf (TERMS), directions (TERMS x rank), labelled vectors of length one, their labels."""
+    """idf (TERMS), row of each term in the directions (-1: none), directions (terms of the sample x rank), labelled vectors of
+    length one, their labels."""
 
     idf: np.ndarray
+    place: np.ndarray
     directions: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
 
+    def weighted(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Weights of a text's terms; those of form and those of words have length one each."""
+        w = weights * self.idf[at]
+        split = np.searchsorted(at, FORM)
+        for part in (w[:split], w[split:]):
+            part /= np.linalg.norm(part) or 1
+        return w
+
     def project(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         out = np.zeros((len(bags), self.directions.shape[1]))
         for i, (at, weights) in enumerate(bags):
-            w = weights * self.idf[at]
-            out[i] = w @ self.directions[at]
+            place = self.place[at]
+            known = place >= 0
+            out[i] = self.weighted(at, weights)[known] @ self.directions[place[known]]
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms > 0, norms, 1)
 
@@ -117,17 +139,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = [known.filter(F.col("label") == y).orderBy(order, "id").limit(4 * PER_LABEL) for y in (0, 1)]
     picked = F.broadcast(some[0].unionByName(some[1]))
 
-    @F.pandas_udf("at array<int>, weight array<double>")
+    @F.pandas_udf("at binary, weight binary")
     def bag(texts: pd.Series) -> pd.DataFrame:
         made = [terms(t) for t in texts]
-        return pd.DataFrame({"at": [m[0].astype("i4") for m in made], "weight": [m[1] for m in made]})
+        return pd.DataFrame({"at": [m[0].astype("<i4").tobytes() for m in made], "weight": [m[1].astype("<f4").tobytes() for m in made]})
 
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     rows = bounded_batches(docs).select(col(id_col).alias("id"), text.alias("text")).join(picked, "id")
     rows = rows.select("label", "id", F.xxhash64("text").alias("h"), bag("text").alias("b"))
     nth = F.row_number().over(Window.partitionBy("label").orderBy(order, "id", "h"))
     sample = rows.withColumn("nth", nth).filter(F.col("nth") <= PER_LABEL).select("label", "b.*").collect()
-    return train([(np.array(r["at"], np.int64), np.array(r["weight"])) for r in sample], np.array([r["label"] for r in sample], float))
+    bags = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["weight"], "<f4").astype(float)) for r in sample]
+    return train(bags, np.array([r["label"] for r in sample], float))
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
@@ -136,29 +159,39 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Mode
         present[at] += 1
     idf = np.log((1 + len(bags)) / (1 + present)) + 1
     used = np.flatnonzero(present)
-    place = np.zeros(TERMS, np.int64)
+    place = np.full(TERMS, -1, np.int32)
     place[used] = np.arange(len(used))
-    matrix = np.zeros((len(bags), len(used)), np.float32)
-    for i, (at, weight) in enumerate(bags):
-        w = weight * idf[at]
-        norm = np.linalg.norm(w)
-        matrix[i, place[at]] = w / (norm or 1)
-    directions = np.zeros((TERMS, min(RANK, *matrix.shape) if matrix.size else 1))
-    if matrix.size:
-        directions[used] = _directions(matrix, directions.shape[1])
-    model = Model(idf, directions, np.zeros((0, directions.shape[1])), labels)
+    rank = max(min(RANK, len(bags), len(used)), 1)
+    model = Model(idf, place, np.zeros((len(used), rank), np.float32), np.zeros((0, rank)), labels)
+    if len(used):
+        rows = [(place[at], model.weighted(at, weight)) for at, weight in bags]
+        model.directions = _directions(rows, len(used), rank)
     model.vectors = model.project(bags)
     return model
 
 
-def _directions(matrix: np.ndarray, rank: int) -> np.ndarray:
-    """The right singular vectors of the largest singular values, by the smaller Gram matrix."""
-    if matrix.shape[0] <= matrix.shape[1]:
-        values, left = np.linalg.eigh((matrix @ matrix.T).astype(np.float64))
-        left = left[:, ::-1][:, :rank]
-        scale = np.sqrt(np.clip(values[::-1][:rank], 1e-12, None))
-        return (matrix.T @ left) / scale
-    return np.linalg.eigh((matrix.T @ matrix).astype(np.float64))[1][:, ::-1][:, :rank]
+def _directions(rows: list[tuple[np.ndarray, np.ndarray]], width: int, rank: int) -> np.ndarray:
+    """The right singular vectors of the largest singular values of sparse rows, by the Gram matrix of the rows."""
+    n = len(rows)
+    at, weight = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+    row = np.repeat(np.arange(n), [len(r[0]) for r in rows])
+    order = np.argsort(at, kind="stable")
+    at, weight, row = at[order], weight[order], row[order]
+
+    def columns(begin: int) -> np.ndarray:
+        lo, hi = np.searchsorted(at, [begin, begin + COLUMNS])
+        out = np.zeros((n, min(COLUMNS, width - begin)), np.float32)
+        out[row[lo:hi], at[lo:hi] - begin] = weight[lo:hi]
+        return out
+
+    gram = np.zeros((n, n))
+    for begin in range(0, width, COLUMNS):
+        part = columns(begin)
+        gram += part @ part.T
+    values, left = np.linalg.eigh(gram)
+    left = left[:, ::-1][:, :rank]
+    scale = np.sqrt(np.clip(values[::-1][:rank], 1e-12, None))
+    return np.concatenate([columns(begin).T @ left / scale for begin in range(0, width, COLUMNS)]).astype(np.float32)
 
 
 def _score_column(docs: DataFrame, model: Model, text_col: str) -> Column:

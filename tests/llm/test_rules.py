@@ -1,8 +1,11 @@
 """Licenses by windows, and helper columns that give way to a caller's."""
 
+import random
+from zlib import crc32
+
 import pytest
 
-from millrace.llm import license_scan, line_dedup, oracles, quality_rules
+from millrace.llm import knn_quality, license_scan, line_dedup, oracles, quality_rules
 from tests.llm.test_documents import against_sql
 
 PLACES = [
@@ -42,3 +45,18 @@ def test_helper_columns_give_way(spark):
 @pytest.mark.parametrize("n,wide", [(3, 4), (7, 8), (25, 30)])
 def test_span(n, wide):
     assert license_scan.span(n) == wide
+
+
+def test_quality_vote_learns_wording(spark):
+    """Both classes have words of five small letters, so only the words tell them apart."""
+    rng = random.Random(12)
+    words = {1: ["river", "stone", "green", "walks", "cloud", "night"], 0: ["cheap", "money", "sales", "prize", "deals", "bonus"]}
+    shared = ["there", "which", "about", "after"]
+    rows = [(i, " ".join(rng.choice(words[i % 2] + shared) for _ in range(40))) for i in range(400)] + [(900, None), (901, "words never seen before")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as score", "'y' as __score")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in knn_quality.score(df, labels).collect()}
+    assert all(got[i]["predicted"] == i % 2 for i in range(400) if crc32(str(i).encode()) % 3 == 1)
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    kept = knn_quality.keep_good(df, df, labels)
+    assert kept.columns == df.columns and {r["score"] + r["__score"] for r in kept.collect()} == {"xy"}
