@@ -81,3 +81,31 @@ def test_bounds_are_never_above_the_distance():
         q[:, list(lacks)] = np.nan
         true = knn._distances(q, x).reshape(30, 10, 20).min(axis=2)
         assert (index.bounds(q) <= true).all()
+
+
+@pytest.mark.parametrize("scale, offset, gaps", [(1, 0, 0), (1, 1e9, 0), (1e-25, 0, 0), (1e25, 0, 0), (1, 3, 0.3)])
+def test_products_rule_out_no_pair_in_reach(scale, offset, gaps):
+    rng = np.random.default_rng(6)
+    x, q = (rng.integers(-9, 9, (n, 6)).astype(float) * scale + offset for n in (300, 40))
+    for part in (x, q):
+        part[rng.random(part.shape) < gaps] = np.nan
+    dist = knn._distances(q, x)
+    limit = np.sort(dist, axis=1)[:, 7]
+    i, j, got = knn._passing(q, knn._Donors(x), limit)
+    want = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
+    assert (i == want[0]).all() and (j == want[1]).all() and (got == dist[want]).all()
+
+
+def test_a_group_gives_only_its_k_nearest(spark, monkeypatch):
+    """Blocks stream past a group of queries: no candidates of each block are left for a later step, and queries aren't sent to each block."""
+    monkeypatch.setattr(knn, "CELL", 50)
+    x = np.random.default_rng(7).normal(size=(700, 16))
+    vecs = spark.createDataFrame([(row.tolist(), i) for i, row in enumerate(x)], "vec array<double>, tag long")
+    sent, real = [], knn._streamed
+    monkeypatch.setattr(knn, "_streamed", lambda chunks, visits, *a: sent.append((visits.columns, knn.settle(real(chunks, visits, *a)))) or sent[0][1])
+    found, queries = knn.search(vecs.withColumn("n", F.lit(1)), vecs.select("vec"), 5, 16)
+    assert sent[0][0] == ["grp", "chunk", "block", "ord"] and sent[0][1].count() == 700 * 5
+    near = {tuple(r["vec"]): r["t"] for r in found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "tag"))).alias("n"))
+            .select("qid", F.col("n.tag").alias("t")).join(queries, "qid").collect()}
+    for i in range(700):
+        assert near[tuple(x[i].tolist())] == np.argsort(((x - x[i]) ** 2).sum(axis=1), kind="stable")[:5].tolist()
