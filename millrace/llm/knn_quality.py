@@ -55,7 +55,8 @@ FORM = SHAPES + REPEATS
 WORDS = 1 << 15
 TERMS = FORM + WORDS
 MARKS = ".,;:!?()[]\"'"  # stripped from words
-COLUMNS = 4096     # terms whose columns the fit holds at once
+COLUMNS = 1024     # terms whose columns the fit holds at once
+KRYLOV, RESTARTS, RESIDUAL = 6, 30, 1e-7  # blocks of a search space, searches, and what is left of an eigenvector, of the largest value
 
 
 def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +165,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Mode
     rank = max(min(RANK, len(bags), len(used)), 1)
     model = Model(idf, place, np.zeros((len(used), rank), np.float32), np.zeros((0, rank)), labels)
     if len(used):
-        rows = [(place[at], model.weighted(at, weight)) for at, weight in bags]
+        rows = [(place[at], model.weighted(at, weight).astype(np.float32)) for at, weight in bags]
         model.directions = _directions(rows, len(used), rank)
     model.vectors = model.project(bags)
     return model
@@ -174,7 +175,7 @@ def _directions(rows: list[tuple[np.ndarray, np.ndarray]], width: int, rank: int
     """The right singular vectors of the largest singular values of sparse rows, by the Gram matrix of the rows."""
     n = len(rows)
     at, weight = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
-    row = np.repeat(np.arange(n), [len(r[0]) for r in rows])
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(r[0]) for r in rows])
     order = np.argsort(at, kind="stable")
     at, weight, row = at[order], weight[order], row[order]
 
@@ -188,12 +189,36 @@ def _directions(rows: list[tuple[np.ndarray, np.ndarray]], width: int, rank: int
     for begin in range(0, width, COLUMNS):
         part = columns(begin)
         gram += part @ part.T
-    values, left = np.linalg.eigh(gram)
-    left = left[:, ::-1][:, :rank]
-    scale = np.sqrt(np.clip(values[::-1][:rank], 1e-12, None))
+    values, left = _leading(gram, rank)
+    scale = np.sqrt(np.clip(values, 1e-12, None))
     return np.concatenate([columns(begin).T @ left / scale for begin in range(0, width, COLUMNS)]).astype(np.float32)
 
 
+def _leading(gram: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest eigenvalues and their vectors, by block Krylov spaces: a full decomposition holds several matrices of this size."""
+    n, wide = len(gram), rank + 16
+    if n <= KRYLOV * wide:
+        values, vectors = np.linalg.eigh(gram)
+        return values[::-1][:rank], vectors[:, ::-1][:, :rank]
+    block = np.linalg.qr(np.random.default_rng(0).normal(size=(n, wide)))[0]
+    for _ in range(RESTARTS):
+        space = [block]
+        for _ in range(KRYLOV - 1):
+            new, basis = gram @ space[-1], np.concatenate(space, axis=1)
+            for _ in range(2):  # once more against what rounding leaves
+                new -= basis @ (basis.T @ new)
+            space.append(np.linalg.qr(new)[0])
+        basis = np.linalg.qr(np.concatenate(space, axis=1))[0]
+        image = gram @ basis
+        values, turn = np.linalg.eigh(basis.T @ image)
+        values, turn = values[::-1][:wide], turn[:, ::-1][:, :wide]
+        block = basis @ turn
+        left_over = np.linalg.norm(image @ turn[:, :rank] - block[:, :rank] * values[:rank], axis=0)
+        if left_over.max() <= RESIDUAL * max(values[0], 1e-300):
+            break
+    return values[:rank], block[:, :rank]
+
+
 def _score_column(docs: DataFrame, model: Model, text_col: str) -> Column:
     shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)
 

@@ -3,6 +3,7 @@
 import random
 from zlib import crc32
 
+import numpy as np
 import pytest
 
 from millrace.llm import knn_quality, license_scan, line_dedup, oracles, quality_rules
@@ -60,3 +61,19 @@ def test_quality_vote_learns_wording(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     kept = knn_quality.keep_good(df, df, labels)
     assert kept.columns == df.columns and {r["score"] + r["__score"] for r in kept.collect()} == {"xy"}
+
+
+def test_leading_eigenvectors_hold_one_matrix():
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 60)) * np.linspace(5, 1, 60) @ rng.normal(size=(60, 900)) + rng.normal(size=(900, 900))
+    gram = x @ x.T
+    values, vectors = np.linalg.eigh(gram)
+    tracemalloc.start()
+    got, left = knn_quality._leading(gram, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, values[::-1][:20], rtol=1e-9)
+    assert np.allclose(left @ left.T, vectors[:, -20:] @ vectors[:, -20:].T, atol=1e-4)
+    assert peak < 3 * gram.nbytes
