@@ -19,6 +19,7 @@ table gives an empty one; only the id and the text column are read, so other col
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -149,9 +150,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = bounded_batches(docs).select(col(id_col).alias("id"), text.alias("text")).join(picked, "id")
     rows = rows.select("label", "id", F.xxhash64("text").alias("h"), bag("text").alias("b"))
     nth = F.row_number().over(Window.partitionBy("label").orderBy(order, "id", "h"))
-    sample = rows.withColumn("nth", nth).filter(F.col("nth") <= PER_LABEL).select("label", "b.*").collect()
-    bags = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["weight"], "<f4").astype(float)) for r in sample]
-    return train(bags, np.array([r["label"] for r in sample], float))
+    sample = rows.withColumn("nth", nth).filter(F.col("nth") <= PER_LABEL).select("label", "nth", "b.*")
+
+    def learn(parts):
+        parts = list(parts)
+        if not sum(map(len, parts)):
+            return
+        rows = pd.concat(parts, ignore_index=True).sort_values(["label", "nth"])
+        bags = [(np.frombuffer(a, "<i4"), np.frombuffer(w, "<f4").astype(float)) for a, w in zip(rows["at"], rows["weight"])]
+        yield pd.DataFrame({"model": [pickle.dumps(train(bags, rows["label"].to_numpy(float)))]})
+
+    # The bounded sample is learnt in one task, since its matrices would stay in the driver's memory; the model itself is small.
+    found = sample.repartition(1).mapInPandas(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train([], np.zeros(0))
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:

@@ -9,13 +9,14 @@ from millrace.operators.lookup import lookup_join
 from millrace.runtime import settle
 
 MAX_ROUNDS = 60  # far above the logarithm of any number of nodes
+FEW = 100_000  # links whose least neighbours, two numbers each, are looked up by broadcast
 
 
 def _star(edges: DataFrame, total: int) -> DataFrame:
     """Every (u, v) with the least of u and its neighbours as `m`; hot nodes are looked up by broadcast."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     least = least.select("u", F.least("u", "m").alias("m"), "n")
-    return lookup_join(edges, least, "u", "n", max(total, 1), small=False)
+    return lookup_join(edges, least, "u", "n", max(total, 1), small=total <= FEW)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -48,8 +49,13 @@ def least_ids(rows: DataFrame, found: DataFrame) -> DataFrame:
 
     A row without a node is alone. A null id is the smallest only if there is no other.
     """
+    return least_in(rows, components(found))
+
+
+def least_in(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """As least_ids, for components that are known: `roots` has node, root of every linked node."""
     nodes = settle(rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("w")), "nodes")
-    joined = nodes.join(components(found), "node", "left")
+    joined = nodes.join(roots, "node", "left")
     joined = settle(joined.select("node", "least", "w", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked")), "nodes")
     # Only linked nodes need their component's least id.
     linked = joined.filter("linked")

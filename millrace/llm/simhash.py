@@ -31,8 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import bounded_batches
-from millrace.llm.links import components, least_ids
-from millrace.runtime import settle
+from millrace.llm.links import components, least_in
+from millrace.operators.lookup import lookup_join
+from millrace.runtime import is_small, settle
 from millrace.schema import col
 
 RADIUS = 3
@@ -123,29 +124,51 @@ def _far_points(labelled: DataFrame, begin: int, end: int) -> DataFrame:
     return points
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """a, b for distinct fingerprints `fp`: links that join exactly those that chains of <= 3 bits join."""
+def _rounds(fps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The near round's links (a, b), each `fp` with the `label` of its near component and whether it has company there, and the
+    far round's links (a, b, from, to) with the labels that they join."""
     near = settle(_balls(fps), "near")
     roots = components(near)
-    labelled = settle(fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("label")), "labelled")
+    labelled = settle(fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("label"), F.col("root").isNotNull().alias("joined")), "labelled")
     points = None
     for begin, end in BLOCKS:
         made = _far_points(labelled, begin, end)
         points = made if points is None else points.unionByName(made)
     # One row of a label on a point, the nearest: it stands for the others, which are joined to it already.
-    points = points.select("label", "p", F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("p"))).alias("cost"), "fp").alias("m"))
+    points = points.select("label", "p", F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("p"))).alias("cost"), "fp", "label").alias("m"))
     points = settle(points.groupBy("label", "p").agg(F.min("m").alias("m")), "points")
     hubs = points.groupBy("p").agg(F.min("m").alias("hub"), F.count("*").alias("n")).filter("n > 1 and hub.cost <= 1")
-    far = points.join(hubs.select("p", "hub"), "p").filter("hub.fp != m.fp").select(F.col("m.fp").alias("a"), F.col("hub.fp").alias("b"))
-    far = far.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
-    return near.unionByName(far).distinct()
+    far = points.join(hubs.select("p", "hub"), "p").filter("hub.fp != m.fp").select(
+        F.col("m.fp").alias("a"), F.col("hub.fp").alias("b"), F.col("m.label").alias("from"), F.col("hub.label").alias("to"))
+    return near, labelled, far.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """a, b for distinct fingerprints `fp`: links that join exactly those that chains of <= 3 bits join."""
+    near, _, far = _rounds(fps)
+    return near.unionByName(far.select("a", "b")).distinct()
+
+
+def roots(fps: DataFrame) -> DataFrame:
+    """node, root for every fingerprint that is linked: components of the far round over the labels of the near one, so that
+    what the near round has joined is not joined again."""
+    _, labelled, far = _rounds(fps)
+    further = settle(components(far.select(F.col("from").alias("a"), F.col("to").alias("b"))), "further")
+    if is_small(further):
+        found = labelled.join(F.broadcast(further), labelled["label"] == further["node"], "left")
+    else:
+        sizes = labelled.groupBy("label").agg(F.count("*").alias("n"))
+        table = further.withColumnRenamed("node", "label").join(sizes, "label")
+        found = lookup_join(labelled, table, "label", "n", max(labelled.count(), 1), small=False)
+    return found.filter(F.col("joined") | F.col("root").isNotNull()).select(F.col("fp").alias("node"), F.coalesce("root", "label").alias("root"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp and component (the smallest id that is reachable, itself included) of every row."""
     rows = settle(fingerprints(docs, id_col, text_col), "simhash").withColumnRenamed("fp", "node")
     fps = settle(rows.select(F.col("node").alias("fp")).distinct(), "nodes")
-    return least_ids(rows, links(fps)).withColumnRenamed("node", "fp")
+    return least_in(rows, roots(fps)).withColumnRenamed("node", "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
