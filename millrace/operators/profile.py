@@ -22,6 +22,8 @@ from millrace.schema import col, dbl
 # Names that mark a target column, in the order they are tried.
 TARGET_NAMES = ["target", "label", "class", "y", "outcome"]
 MAX_TARGET_VALUES = 20
+# Columns whose moments are taken in one job: the code for more is too long for the JVM to compile. Each job reads only its own.
+FACT_COLUMNS = 4
 
 
 def table_of(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
@@ -36,13 +38,13 @@ def _finite(x) -> float | None:
 # ---------------------------------------------------------------- numeric
 
 def base_facts(df: DataFrame, columns: list[str] | None = None) -> dict[str, dict]:
-    """count, mean, std (sample and population), min, max and G1 skew per column; one job."""
+    """count, mean, std (sample and population), min, max and G1 skew per column; one job per FACT_COLUMNS of them."""
     columns = S.numeric(df) if columns is None else columns
     exprs: list[Column] = []
     for c in columns:
         x = col(c)
         exprs += [F.count(x), F.avg(x), F.stddev_samp(x), F.stddev_pop(x), F.min(x), F.max(x), F.skewness(x)]
-    got = agg_rows(S.doubles(df, columns), exprs) if exprs else []
+    got = agg_rows(S.doubles(df, columns), exprs, 7 * FACT_COLUMNS) if exprs else []
     out = {}
     for i, c in enumerate(columns):
         n, mean, std, std_pop, low, high, g1 = got[7 * i:7 * i + 7]
