@@ -64,5 +64,7 @@ def least_in(rows: DataFrame, roots: DataFrame) -> DataFrame:
     in_links = lookup_join(linked.select("node", "w", "root"), least, "root", "size", total, small=False)
     table = (in_links.select("node", "w", "component")
              .unionByName(joined.filter("not linked").select("node", "w", F.col("least").alias("component"))))
+    # Looked up twice, for hot nodes and the rest: settled, or its joins would stand in the last plan twice as well.
+    table = settle(table, "components")
     alone = rows.filter("node is null").withColumn("component", F.col("id"))
     return lookup_join(rows.filter("node is not null"), table, "node", "w", total, small=False).select(*rows.columns, "component").unionByName(alone)

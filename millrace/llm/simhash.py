@@ -24,6 +24,8 @@ empty table gives an empty one; only the id and the text column are read, so oth
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -124,6 +126,12 @@ def _far_points(labelled: DataFrame, begin: int, end: int) -> DataFrame:
     return points
 
 
+def _nearest(points: DataFrame) -> DataFrame:
+    """One row of a label on a point, the nearest: it stands for the others, which are joined to it already."""
+    cost = F.bit_count(F.col("fp").bitwiseXOR(F.col("p")))
+    return points.groupBy("label", "p").agg(F.min(F.struct(cost.alias("cost"), "fp", "label")).alias("m"))
+
+
 def _rounds(fps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The near round's links (a, b), each `fp` with the `label` of its near component and whether it has company there, and the
     far round's links (a, b, from, to) with the labels that they join."""
@@ -131,13 +139,9 @@ def _rounds(fps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     roots = components(near)
     labelled = settle(fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("label"), F.col("root").isNotNull().alias("joined")), "labelled")
-    points = None
-    for begin, end in BLOCKS:
-        made = _far_points(labelled, begin, end)
-        points = made if points is None else points.unionByName(made)
-    # One row of a label on a point, the nearest: it stands for the others, which are joined to it already.
-    points = points.select("label", "p", F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("p"))).alias("cost"), "fp", "label").alias("m"))
-    points = settle(points.groupBy("label", "p").agg(F.min("m").alias("m")), "points")
+    # One block after the other: plans of all three at once take most of the driver's memory.
+    parts = [settle(_nearest(_far_points(labelled, begin, end)), "points") for begin, end in BLOCKS]
+    points = settle(_nearest(reduce(DataFrame.unionByName, [p.select("m.*", "p") for p in parts])), "points")
     hubs = points.groupBy("p").agg(F.min("m").alias("hub"), F.count("*").alias("n")).filter("n > 1 and hub.cost <= 1")
     far = points.join(hubs.select("p", "hub"), "p").filter("hub.fp != m.fp").select(
         F.col("m.fp").alias("a"), F.col("hub.fp").alias("b"), F.col("m.label").alias("from"), F.col("hub.label").alias("to"))

@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from millrace.llm import knn_quality, links, simhash
+from millrace.runtime import settle
 
 
 def test_the_classifier_is_trained_in_a_task(spark, tmp_path, monkeypatch):
@@ -38,3 +39,20 @@ def test_few_links_are_looked_up_by_broadcast_with_the_same_result(spark, monkey
     few = {tuple(r) for r in links.components(df).collect()}
     monkeypatch.setattr(links, "FEW", 0)
     assert few == {tuple(r) for r in links.components(df).collect()}
+
+
+def test_no_plan_of_simhash_holds_several_blocks_or_copies_of_a_table(spark, monkeypatch):
+    """The driver plans, compiles and keeps what a plan names: plans of all blocks at once took most of its memory."""
+    joins = []
+
+    def noted(df, label="stage"):
+        joins.append((df._jdf.queryExecution().optimizedPlan().toString().count("Join "), label))
+        return settle(df, label)
+
+    for module in (simhash, links):
+        monkeypatch.setattr(module, "settle", noted)
+    rows = [(i, " ".join(f"w{(i // 3 * 7 + j) % 50}" for j in range(30 + i % 3))) for i in range(90)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    joins.append((found._jdf.queryExecution().optimizedPlan().toString().count("Join "), "result"))
+    assert found.count() == 90
+    assert max(joins)[0] <= 4, sorted(joins)[-5:]
