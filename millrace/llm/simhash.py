@@ -33,9 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import bounded_batches
-from millrace.llm.links import components, least_in
+from millrace.llm.links import FEW, components, least_in
 from millrace.operators.lookup import lookup_join
-from millrace.runtime import is_small, settle
+from millrace.runtime import settle, shuffled_join
 from millrace.schema import col
 
 RADIUS = 3
@@ -78,7 +78,7 @@ def _balls(fps: DataFrame) -> DataFrame:
     """a, b: links that join exactly what chains of at most 2 bits join."""
     ball = fps.select("fp", F.explode(_masks([0, *[1 << i for i in range(64)]])).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("v"))
     hubs = ball.groupBy("v").agg(F.min("fp").alias("hub"), F.max("fp").alias("other")).filter("hub != other").select("v", "hub")
-    return ball.join(hubs, "v").filter("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    return shuffled_join(ball, hubs, "v").filter("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def _far_points(labelled: DataFrame, begin: int, end: int) -> DataFrame:
@@ -95,7 +95,7 @@ def _far_points(labelled: DataFrame, begin: int, end: int) -> DataFrame:
     second = _masks([sum(1 << i for i in range(*BLOCKS[1]))])[0]
     role = (F.when(changed == 0, "same").when(changed.bitwiseAND(second) != 0, "second").otherwise("third") if begin == 0
             else F.when(changed == 0, "same").otherwise("other"))
-    members = settle(keys.join(open_, "v", "left_semi").withColumn("role", role), "members")
+    members = settle(shuffled_join(keys, open_, "v", "left_semi").withColumn("role", role), "members")
     ends = [f(F.when(F.col("role") == r if r != "changed" else F.col("role") != "same", F.col("label"))).alias(f"{r}_{name}")
             for r in ("same", "changed", "second", "third") for name, f in (("low", F.min), ("high", F.max))]
     facts = members.groupBy("v").agg(F.expr("bit_or(fp)").bitwiseXOR(F.expr("bit_and(fp)")).alias("apart"), *ends)
@@ -104,7 +104,7 @@ def _far_points(labelled: DataFrame, begin: int, end: int) -> DataFrame:
         """A member of another label with role r is on the key."""
         return F.coalesce((F.col(f"{r}_low") != F.col("label")) | (F.col(f"{r}_high") != F.col("label")), F.lit(False))
 
-    seen = members.join(facts, "v").select(
+    seen = shuffled_join(members, facts, "v").select(
         "fp", "label", "v", "apart", "role", F.col("fp").bitwiseAND(block_mask).alias("block"), meets("same").alias("to_same"),
         meets("changed").alias("to_changed"), meets("second").alias("to_second"), meets("third").alias("to_third"))
 
@@ -143,7 +143,7 @@ def _rounds(fps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     parts = [settle(_nearest(_far_points(labelled, begin, end)), "points") for begin, end in BLOCKS]
     points = settle(_nearest(reduce(DataFrame.unionByName, [p.select("m.*", "p") for p in parts])), "points")
     hubs = points.groupBy("p").agg(F.min("m").alias("hub"), F.count("*").alias("n")).filter("n > 1 and hub.cost <= 1")
-    far = points.join(hubs.select("p", "hub"), "p").filter("hub.fp != m.fp").select(
+    far = shuffled_join(points, hubs.select("p", "hub"), "p").filter("hub.fp != m.fp").select(
         F.col("m.fp").alias("a"), F.col("hub.fp").alias("b"), F.col("m.label").alias("from"), F.col("hub.label").alias("to"))
     return near, labelled, far.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
@@ -159,7 +159,7 @@ def roots(fps: DataFrame) -> DataFrame:
     what the near round has joined is not joined again."""
     _, labelled, far = _rounds(fps)
     further = settle(components(far.select(F.col("from").alias("a"), F.col("to").alias("b"))), "further")
-    if is_small(further):
+    if further.count() <= FEW:
         found = labelled.join(F.broadcast(further), labelled["label"] == further["node"], "left")
     else:
         sizes = labelled.groupBy("label").agg(F.count("*").alias("n"))
