@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.lookup import lookup_join
-from millrace.runtime import settle
+from millrace.runtime import settle, shuffled_join
 
 MAX_ROUNDS = 60  # far above the logarithm of any number of nodes
 FEW = 100_000  # links whose least neighbours, two numbers each, are looked up by broadcast
@@ -55,7 +55,7 @@ def least_ids(rows: DataFrame, found: DataFrame) -> DataFrame:
 def least_in(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """As least_ids, for components that are known: `roots` has node, root of every linked node."""
     nodes = settle(rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("w")), "nodes")
-    joined = nodes.join(roots, "node", "left")
+    joined = shuffled_join(nodes, roots, "node", "left")
     joined = settle(joined.select("node", "least", "w", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked")), "nodes")
     # Only linked nodes need their component's least id.
     linked = joined.filter("linked")

@@ -31,12 +31,12 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import bounded_batches
 from millrace.llm.links import components, least_ids
-from millrace.runtime import BROADCAST_BYTES, release, settle
+from millrace.runtime import release, settle, shuffled_join
 from millrace.schema import col
 
 WORDS = 4
@@ -45,6 +45,8 @@ SEED = 11
 GRAMS = 1 << 17  # grams of the sets of one tree, about
 STORE = 1 << 17  # word hashes that a worker keeps
 TABLE = 1 << 24  # bytes of the table of grams and walkers of one tree, about
+BROADCAST_BYTES = 16 << 20  # of the bit map of wanted texts, at most
+PART_BITS = 16  # of a hash, within one part of that map
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -295,6 +297,42 @@ def facts_of(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     return rows.select("id", "r.n", F.when(F.col("r.n") > 0, F.col("r.s")).alias("s"), F.xxhash64("text").alias("t"), "r.keys")
 
 
+def bit_map(wanted: DataFrame) -> np.ndarray:
+    """A bit for each range of hashes, set where `wanted` has a `t`: 8 to 16 bits a row, fewer where that passes BROADCAST_BYTES."""
+    bits = min(8 * max(wanted.count(), 1) - 1, 4 * BROADCAST_BYTES).bit_length()
+    if not BROADCAST_BYTES:
+        return np.zeros(0, np.uint8)
+    high = max(bits - PART_BITS, 0)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = np.zeros(1 << (bits - high), bool)
+        at = pdf["t"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+        found[(at & np.uint64(len(found) - 1)).astype(np.int64)] = True
+        return pd.DataFrame({"part": [int(at[0] >> np.uint64(bits - high))], "bits": [np.packbits(found).tobytes()]})
+
+    part = F.shiftrightunsigned("t", 64 - high) if high else F.lit(0).cast("long")
+    parts = wanted.groupBy(part.alias("of")).applyInPandas(lambda pdf: pack(pdf), "part long, bits binary").collect()
+    out = np.zeros((1 << high, max(1 << (bits - high), 8) // 8), np.uint8)
+    for r in parts:  # the map itself
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def in_map(spark: SparkSession, name: str, bits: np.ndarray) -> Column:
+    """Whether the hash in a column of this name can be wanted; always true without a map."""
+    if not len(bits):
+        return F.lit(True)
+    shared = spark.sparkContext.broadcast(bits)
+    shift = np.uint64(64 - (8 * len(bits)).bit_length() + 1)
+
+    @F.pandas_udf("boolean")
+    def look(t: pd.Series) -> pd.Series:
+        at = (t.to_numpy().view(np.uint64) >> shift).astype(np.int64)
+        return pd.Series(shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1)
+
+    return look(name)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> DataFrame:
     """s, n and grams (binary) of the sets in `wanted` (s, t: hash of one text that has the set)."""
 
@@ -302,9 +340,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> Dat
     def grams(texts: pd.Series) -> pd.Series:
         return pd.Series([gram_set(t, size).tobytes() for t in texts], dtype=object)
 
-    few = 16 * wanted.count() <= BROADCAST_BYTES  # two numbers a row
     texts = docs.select(col(text_col).cast("string").alias("text")).filter("text is not null").withColumn("t", F.xxhash64("text"))
-    chosen = texts.join(F.broadcast(wanted) if few else wanted, "t").groupBy("s").agg(F.first("text").alias("text"))
+    # The map keeps most other texts from the shuffle. Copies become one in each task, so none of them fills a partition.
+    one_each = texts.filter(in_map(docs.sparkSession, "t", bit_map(wanted))).groupBy("t").agg(F.first("text").alias("text"))
+    chosen = shuffled_join(one_each, wanted, "t").select("s", "text")
     return bounded_batches(chosen).select("s", grams("text").alias("grams")).withColumn("n", (F.octet_length("grams") / 8).cast("long"))
 
 
@@ -312,19 +351,21 @@ def links(docs: DataFrame, facts: DataFrame, text_col: str, size: int = WORDS, p
     """a, b for sets: links that join exactly those that chains of links join."""
     keyed = facts.filter("s is not null").select("s", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = settle(keyed.join(shared, "key", "left_semi").distinct(), "members")
+    members = settle(shuffled_join(keyed, shared, "key", "left_semi").distinct(), "members")
     hubs = members.groupBy("key").agg(F.min("s").alias("hub"), F.max("s").alias("other")).filter("hub != other")
-    pairs = settle(members.join(hubs.select("key", "hub"), "key").select("s", "hub").distinct(), "pairs")
+    pairs = settle(shuffled_join(members, hubs.select("key", "hub"), "key").select("s", "hub").distinct(), "pairs")
     release(members)
-    wanted = facts.filter("s is not null").join(pairs.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min("t").alias("t"))
+    wanted = shuffled_join(facts.filter("s is not null"), pairs.select("s").distinct(), "s", "left_semi")
+    wanted = settle(wanted.groupBy("s").agg(F.min("t").alias("t")), "wanted")
     sets = settle(sets_of(docs, wanted, text_col, size), "sets")
+    release(wanted)
     sizes = pairs.join(sets.select("s", "n"), "s").groupBy("hub").agg(F.sum("n").alias("total"))
     # Trees of about GRAMS grams each; members are dealt by their hash, and the hub is in each tree.
     trees = settle(sizes.select("hub", F.ceil(F.col("total") / GRAMS).cast("long").alias("trees")).filter("trees >= 1"), "trees")
-    dealt = pairs.join(trees, "hub").filter("s != hub").select("hub", "s", F.pmod(F.xxhash64("s"), "trees").alias("tree"), "trees")
+    dealt = shuffled_join(pairs, trees, "hub").filter("s != hub").select("hub", "s", F.pmod(F.xxhash64("s"), "trees").alias("tree"), "trees")
     dealt = dealt.unionByName(trees.select("hub", F.col("hub").alias("s"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"), "trees"))
     # A tree of one group is walked by all; in a group of several trees the hub and the tree's own members walk.
-    first = dealt.join(sets, "s").withColumns({"label": F.col("s"), "walks": F.lit(True)})
+    first = shuffled_join(dealt, sets, "s").withColumns({"label": F.col("s"), "walks": F.lit(True)})
     # Small groups go to a task together, about GRAMS grams at a time.
     bins = (sizes.agg(F.sum("total")).first()[0] or 0) // GRAMS + 1
     first = first.withColumn("lot", F.when(F.col("trees") > 1, F.xxhash64("hub", "tree")).otherwise(F.pmod(F.xxhash64("hub"), F.lit(bins))))
@@ -334,7 +375,7 @@ def links(docs: DataFrame, facts: DataFrame, text_col: str, size: int = WORDS, p
     if not large.limit(1).count():
         return found
     roots = settle(components(found), "roots")
-    labelled = large.join(roots.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("label", F.coalesce("root", "s"))
+    labelled = shuffled_join(large, roots.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("label", F.coalesce("root", "s"))
     labelled = settle(labelled.join(sets.select("s", "n"), "s").select("hub", "s", "label", "n"), "labelled")
     by_label = labelled.groupBy("hub", "label").agg(F.sum("n").alias("w"))
     main = by_label.groupBy("hub").agg(F.max(F.struct("w", "label")).alias("m"), F.sum("w").alias("w"), F.count("*").alias("labels"))
@@ -345,7 +386,7 @@ def links(docs: DataFrame, facts: DataFrame, text_col: str, size: int = WORDS, p
     in_tree = open_.select("hub", "s", "label", F.lit(False).alias("walks"), F.pmod(F.xxhash64("s"), "trees").alias("tree"), each("walks").alias("walk"))
     walking = open_.filter("label != main").select("hub", "s", "label", F.lit(True).alias("walks"), each("trees").alias("tree"),
                                                     F.pmod(F.xxhash64("s"), "walks").alias("walk"))
-    second = in_tree.unionByName(walking).join(sets, "s")
+    second = shuffled_join(in_tree.unionByName(walking), sets, "s")
     more = _walked(second.select("hub", "tree", "walk", "s", "label", "walks", "grams"), ["hub", "tree", "walk"], percent)
     inside = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return settle(inside.unionByName(more), "links")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.llm import links, simhash
+from millrace.llm import ngram_join, simhash
 from millrace.runtime import settle
 
 
@@ -34,3 +34,22 @@ def test_many_components_of_the_far_round_are_not_broadcast(spark, monkeypatch):
     few = {tuple(r) for r in simhash.roots(fps).collect()}
     monkeypatch.setattr(simhash, "FEW", 0)
     assert {tuple(r) for r in simhash.roots(fps).collect()} == few and len(few) == 6
+
+
+def test_the_map_of_wanted_texts_passes_all_of_them_and_few_others(spark):
+    for n in (0, 1, 17, 30_000):
+        wanted = spark.range(n).select(F.xxhash64("id").alias("t"))
+        bits = ngram_join.bit_map(wanted)
+        assert 8 * len(bits) <= 16 * max(n, 1)
+        found = spark.range(2 * n + 100).select("id", F.xxhash64("id").alias("t")).filter(ngram_join.in_map(spark, "t", bits))
+        ids = {r["id"] for r in found.collect()}
+        assert ids >= set(range(n)) and len(ids) - n <= 0.2 * (n + 100)
+
+
+def test_ngram_join_broadcasts_no_table_that_grows_with_the_documents(spark, monkeypatch):
+    plans = watched(monkeypatch, ngram_join)
+    rows = [(i, " ".join(f"w{i // 3}_{j}" for j in range(60 - i % 3))) for i in range(30)]
+    found = ngram_join.near_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {(i, i // 3 * 3) for i in range(30)}
+    assert {"members", "pairs", "wanted", "sets"} <= set(plans)
+    assert not any(plans[x] for x in ("members", "pairs", "wanted", "sets")), plans
