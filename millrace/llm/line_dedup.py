@@ -29,12 +29,13 @@ from pyspark.sql.window import Window
 
 from millrace.llm.names import free_names
 from millrace.operators.lookup import lookup_join
-from millrace.runtime import BROADCAST_BYTES, settle
+from millrace.runtime import settle, shuffled_join
 from millrace.schema import col
 
 PARTS = 4
 NEAR_FROM = 2
 ROW_BYTES = 160
+BROADCAST_BYTES = 16 << 20  # of the places that are looked up; the driver holds several copies while it builds their table
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
 
@@ -92,9 +93,8 @@ def near_matches(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
     keys = (classes.select("h1", F.posexplode(F.array(*[F.col(f"k{i}") for i in range(2 * PARTS)])).alias("slot", "key"))
             .filter("key is not null"))
     shared = keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("key")
-    chosen = (keys.join(shared, "key", "left_semi").groupBy("h1").agg(F.bit_or(F.expr("shiftleft(1, slot)")).alias("slots"))
-              .join(classes.select("h1", "h2", "first"), "h1"))
-    chosen = settle(chosen, "chosen")
+    chosen = shuffled_join(keys, shared, "key", "left_semi").groupBy("h1").agg(F.bit_or(F.expr("shiftleft(1, slot)")).alias("slots"))
+    chosen = settle(shuffled_join(chosen, classes.select("h1", "h2", "first"), "h1"), "chosen")
     # A row of the broadcast table holds nine numbers, its key four, and both the id.
     size = F.sum(F.lit(ROW_BYTES) + 2 * F.coalesce(F.octet_length(F.col("first.id").cast("string")), F.lit(0)))
     few = (chosen.agg(size).first()[0] or 0) <= BROADCAST_BYTES
@@ -102,7 +102,7 @@ def near_matches(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
     here = lines_of(docs, id_col, text_col)
     same = ((here["h1"] == wanted["h1"]) & (here["h2"] == wanted["h2"]) & (here["no"] == wanted["fno"])
             & here["id"].eqNullSafe(wanted["fid"]))
-    lines = here.join(F.broadcast(wanted) if few else wanted, same).select(
+    lines = (here.join(F.broadcast(wanted), same) if few else shuffled_join(here, wanted, same)).select(
         here["h1"], here["h2"], here["line"], "slots", "first")
     lines = settle(lines, "lines")
 

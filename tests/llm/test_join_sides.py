@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.llm import ngram_join, simhash
+from millrace.llm import line_dedup, ngram_join, simhash
 from millrace.runtime import settle
 
 
@@ -53,3 +53,12 @@ def test_ngram_join_broadcasts_no_table_that_grows_with_the_documents(spark, mon
     assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {(i, i // 3 * 3) for i in range(30)}
     assert {"members", "pairs", "wanted", "sets"} <= set(plans)
     assert not any(plans[x] for x in ("members", "pairs", "wanted", "sets")), plans
+
+
+def test_line_dedup_broadcasts_no_keys(spark, monkeypatch):
+    plans = watched(monkeypatch, line_dedup)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    rows = [(i, f"this line of text is alone {'x' * i}\nthis line stands {'twice' if i else 'twine'} or so") for i in range(3)]
+    found = line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [tuple(r) for r in found.collect()] == [(0, rows[0][1])]
+    assert {"chosen", "lines"} <= set(plans) and not plans["chosen"] and not plans["lines"], plans
