@@ -1,6 +1,7 @@
 """Latent Dirichlet allocation by online variational Bayes, the method of MLlib's LDA, over packed bags of words.
 
-Texts become bags once, and the bags of a batch are one row: numpy arrays that all texts of the batch go through together.
+Texts become bags once, a row for each: terms and counts as bytes, so that the rows of a batch are one numpy array, and neither a
+reader of rows nor a worker ever holds more than some thousand texts. The bags of a slice of PAIRS go through numpy together.
 Each round reads every bag (MLlib draws as many with repeats), and tasks hand on sums by term, so the driver holds the model
 only: a number for each topic and term. A bag begins with ones in the first round, and then with what the last round left it.
 """
@@ -22,6 +23,7 @@ from millrace.runtime import release, settle
 SETTLED = 1e-3
 OFFSET, DECAY = 1024.0, 0.51
 SHAPE = 100.0
+PAIRS = 1 << 17  # terms of bags that settle together
 
 
 def _series(x: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,53 +98,90 @@ def settle_bags(starts: np.ndarray, terms: np.ndarray, counts: np.ndarray, beta:
     return gamma
 
 
+def in_slices(starts: np.ndarray, terms: np.ndarray, counts: np.ndarray, beta: np.ndarray, alpha: np.ndarray,
+              gamma: np.ndarray | None = None) -> Iterator[tuple[slice, slice, np.ndarray, np.ndarray]]:
+    """settle_bags for bags of at most PAIRS pairs together (or one): the bags, their pairs, where each begins there, and gamma."""
+    edges = np.append(starts, len(terms))
+    a = 0
+    while a < len(starts):
+        b = max(int(np.searchsorted(edges, edges[a] + PAIRS, side="right")) - 1, a + 1)
+        own, pairs = slice(a, b), slice(int(edges[a]), int(edges[b]))
+        begin = starts[own] - edges[a]
+        yield own, pairs, begin, settle_bags(begin, terms[pairs], counts[pairs], beta, alpha, None if gamma is None else gamma[:, own])
+        a = b
+
+
+def _binary(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Bytes of the values between each two edges."""
+    edges = (edges * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """What _binary was made of: the values and the edges, from 0."""
+    column = column.cast(pa.binary())
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[edges[0]:edges[-1]]
+    return data.view(kind), (edges - edges[0]) // np.dtype(kind).itemsize
+
+
+def _kind(size: int) -> np.dtype:
+    """Of the terms of a vocabulary of this size."""
+    return np.dtype(np.uint16 if size <= 1 << 16 else np.int32)
+
+
 def _packed(df: DataFrame, words: Column, vocabulary: list[str]) -> DataFrame:
-    """Rows of many bags: where each begins, and the terms and counts of all. Texts without a known word have none."""
+    """A bag for each text that has a known word: terms and counts as bytes."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(vocabulary, pa.string())
         for batch in batches:
             rows, terms, n = bags(batch.column(0), known)
             if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32)], pa.list_(pa.int32()))
-                                                  for x in (starts_of(rows), terms, n)], ["starts", "terms", "counts"])
+                edges = np.append(starts_of(rows), len(rows))
+                yield pa.RecordBatch.from_arrays([_binary(terms.astype(_kind(len(vocabulary))), edges), _binary(n.astype(np.int32), edges)],
+                                                 ["terms", "counts"])
 
-    return bounded_batches(df).select(words.alias("words")).mapInArrow(pack, "starts array<int>, terms array<int>, counts array<int>")
+    return bounded_batches(df).select(words.alias("words")).mapInArrow(pack, "terms binary, counts binary")
 
 
 def _round(table: DataFrame, beta: np.ndarray, alpha: np.ndarray) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
     """The bags with their new parameters, and sums over all: by topic and term, of the expected logarithms of shares, and of bags."""
     k, size = beta.shape
     names = [f"s{i}" for i in range(k)]
-    ints, doubles = pa.list_(pa.int32()), pa.list_(pa.float64())
-    schema = pa.schema([("starts", ints), ("terms", ints), ("counts", ints), ("gamma", doubles), ("term", pa.int64()),
+    schema = pa.schema([("terms", pa.binary()), ("counts", pa.binary()), ("gamma", pa.binary()), ("term", pa.int64()),
                         *[(c, pa.float64()) for c in names], ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats, logs, n = np.zeros((k, size)), np.zeros(k), 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                starts, terms, counts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("starts", "terms", "counts"))
-                before = batch.column("gamma")[i].values if "gamma" in batch.schema.names else None
-                if before is not None:
-                    before = before.to_numpy(zero_copy_only=False).reshape(k, -1)
-                gamma = settle_bags(starts, terms, counts, beta, alpha, before)
+            if not batch.num_rows:
+                continue
+            terms, edges = _values(batch.column("terms"), _kind(size))
+            counts = _values(batch.column("counts"), np.int32)[0]
+            before = _values(batch.column("gamma"), np.float64)[0].reshape(-1, k).T if "gamma" in batch.schema.names else None
+            after = np.empty((batch.num_rows, k))
+            for own, pairs, begin, gamma in in_slices(edges[:-1], terms, counts, beta, alpha, before):
+                at = terms[pairs]
                 log_theta = expected_log(gamma)
-                theta = np.repeat(np.exp(log_theta), np.diff(np.append(starts, len(terms))), axis=1)
-                share = counts / (np.einsum("kn,kn->n", beta[:, terms], theta) + 1e-100)
+                theta = np.repeat(np.exp(log_theta), np.diff(np.append(begin, len(at))), axis=1)
+                share = counts[pairs] / (np.einsum("kn,kn->n", beta[:, at], theta) + 1e-100)
                 for t in range(k):
-                    stats[t] += np.bincount(terms, theta[t] * share, size)
-                logs, n = logs + log_theta.sum(axis=1), n + len(starts)
-                yield _batch(schema, 1, starts=pa.array([starts], ints), terms=pa.array([terms], ints),
-                             counts=pa.array([counts], ints), gamma=pa.array([gamma.ravel()], doubles))
+                    stats[t] += np.bincount(at, theta[t] * share, size)
+                logs, n = logs + log_theta.sum(axis=1), n + len(begin)
+                after[own] = gamma.T
+            yield _batch(schema, batch.num_rows, terms=batch.column("terms"), counts=batch.column("counts"),
+                         gamma=_binary(after.ravel(), k * np.arange(batch.num_rows + 1)))
         if n:
             hit = np.flatnonzero(stats.any(axis=0))
             # Term -1 has the sums over bags.
             yield _batch(schema, len(hit) + 1, term=pa.array(np.append(hit, -1)), n=pa.array(np.append(np.zeros(len(hit), np.int64), n)),
                          **{c: pa.array(np.append(stats[t, hit], logs[t])) for t, c in enumerate(names)})
 
-    types = "starts array<int>, terms array<int>, counts array<int>, gamma array<double>, term long, "
-    made = settle(table.mapInArrow(run, types + ", ".join([*[f"{c} double" for c in names], "n long"])), "topics")
+    types = "terms binary, counts binary, gamma binary, term long, "
+    made = settle(bounded_batches(table).mapInArrow(run, types + ", ".join([*[f"{c} double" for c in names], "n long"])), "topics")
     sums = made.filter("term is not null").groupBy("term").agg(*[F.sum(c).alias(c) for c in names], F.sum("n").alias("n"))
     stats, logs, n = np.zeros((k, size)), np.zeros(k), 0
     for r in sums.collect():  # at most the vocabulary
@@ -150,7 +189,7 @@ def _round(table: DataFrame, beta: np.ndarray, alpha: np.ndarray) -> tuple[DataF
             logs, n = np.array([r[c] for c in names]), r["n"]
         else:
             stats[:, r["term"]] = [r[c] for c in names]
-    return made.filter("term is null").select("starts", "terms", "counts", "gamma"), stats, logs, n
+    return made.filter("term is null").select("terms", "counts", "gamma"), stats, logs, n
 
 
 def _batch(schema: pa.Schema, rows: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -191,8 +230,8 @@ def shares(words: Column, vocabulary: list[str], topics: np.ndarray, alpha: np.n
         out = np.full((len(words), len(alpha)), 1 / len(alpha))
         if len(rows):
             starts = starts_of(rows)
-            gamma = settle_bags(starts, terms, n, beta, alpha)
-            out[rows[starts]] = (gamma / gamma.sum(axis=0)).T
+            for own, _, _, gamma in in_slices(starts, terms, n, beta, alpha):
+                out[rows[starts[own]]] = (gamma / gamma.sum(axis=0)).T
         return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * len(alpha)), pa.array(out.ravel()))
 
     return run(words)

@@ -60,3 +60,27 @@ def test_topics_part_two_subjects(spark):
     assert "the" not in model.vocabulary and len(model.metadata["top_words"]["topic_1"]) == 10
     mains = [{got[i]["dominant_topic"] for i in range(s, 80, 2)} for s in (0, 1)]
     assert all(len(m) == 1 for m in mains) and mains[0] != mains[1]
+
+
+def test_slices_settle_as_the_whole_does(monkeypatch):
+    rng = np.random.default_rng(8)
+    beta, alpha = np.exp(T.expected_log(rng.gamma(2.0, 1.0, (3, 40)).T)).T, np.array([0.3, 0.5, 0.2])
+    texts = [[f"t{w}" for w in rng.integers(0, 40, size)] for size in (9, 1, 30, 400, 0, 7, 80)]
+    rows, terms, counts = T.bags(pa.array(texts, pa.list_(pa.string())), pa.array([f"t{i}" for i in range(40)]))
+    starts = T.starts_of(rows)
+    whole = T.settle_bags(starts, terms, counts, beta, alpha)
+    monkeypatch.setattr(T, "PAIRS", 30)
+    sizes = []
+    for own, pairs, _, gamma in T.in_slices(starts, terms, counts, beta, alpha):
+        assert np.allclose(gamma, whole[:, own])
+        sizes.append((own.stop - own.start, pairs.stop - pairs.start))
+    assert sum(n for n, _ in sizes) == 6 and all(n == 1 or size <= 30 for n, size in sizes) and len(sizes) > 2
+
+
+def test_no_row_of_bags_holds_many_texts(spark):
+    """A reader takes thousands of rows at once, whatever a row holds."""
+    df = spark.range(900).selectExpr("id", "concat('sun moon rock ', id) as t").coalesce(1)
+    table = T._packed(df, F.split("t", " "), ["moon", "rock", "sun"])
+    assert table.count() == 900
+    again = T._round(table, np.full((2, 3), 0.3), np.full(2, 0.5))[0]
+    assert again.count() == 900 and max(len(r["terms"]) + len(r["counts"]) + len(r["gamma"]) for r in again.collect()) < 100
